@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +30,20 @@ def local_session(cores: int = 8, partitions: int = 8, **extra: str) -> SparkSes
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that they need no install."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    name = f"{package.name}-{os.getpid()}.zip"
+    if any(name in path for path in context._python_includes):
+        return
+    target = Path(tempfile.mkdtemp(prefix=f"{package.name}-"), name)
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: spark.checkpoint.dir where it is set.
 

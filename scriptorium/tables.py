@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.session import ship
+
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
