@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,9 @@ from scriptorium.session import cut
 from scriptorium.tables import spread
 
 #: Chains that one bucket should hold; a task sorts one bucket in memory at a time.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 2_000_000
+#: Pairs that a bucket lists before it counts and passes them on.
+PAIR_ROWS = 2_000_000
 _CHAINS_A_TEXT = 160
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -64,10 +67,40 @@ def _pack(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
+def _split(by: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each value of an array of part numbers, in their order."""
+    order = np.argsort(by, kind="stable")
+    bounds = np.searchsorted(by[order], np.arange(parts + 1))
+    for part in range(parts):
+        if bounds[part] < bounds[part + 1]:
+            yield part, order[bounds[part] : bounds[part + 1]]
+
+
+def _lists(classes: np.ndarray, sizes: np.ndarray, *values: np.ndarray) -> list[bytes]:
+    """Values that come class by class, packed: each class and its size once, and how many are its own."""
+    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
+    lengths = np.diff(np.r_[starts, len(classes)]).astype(np.uint32)
+    return _pack(classes[starts], sizes[starts], lengths, *values)
+
+
+def _unpacked(rows: pd.DataFrame, *kinds: tuple[str, type]) -> list[np.ndarray]:
+    """Classes and sizes, repeated for each value, and the values of rows of _lists."""
+    classes, sizes, lengths = (
+        np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in (("cls", np.int64), ("size", np.uint32), ("own", np.uint32))
+    )
+    values = [np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in kinds]
+    return [np.repeat(classes, lengths), np.repeat(sizes, lengths), *values]
+
+
+_LISTS = ["cls", "size", "own", "chain"]
+_BINARY = ", ".join(f"{name} binary" for name in _LISTS)
+
+
 def _chains(batches: Iterator[pd.DataFrame], buckets: int, size: int, min_words: int) -> Iterator[pd.DataFrame]:
-    """Classes to packed chains by bucket: for each chain its lower 32 bits and its class."""
+    """Classes to packed chains by bucket: the lower 32 bits of each chain."""
     for batch in batches:
         classes, rings = [], []
+        batch = batch.drop_duplicates("cls")
         for cls, text in zip(batch["cls"], batch["text"]):
             found = words(text)
             if len(found) >= min_words:
@@ -77,225 +110,180 @@ def _chains(batches: Iterator[pd.DataFrame], buckets: int, size: int, min_words:
                     rings.append(neighbours(ring))
         if not rings:
             continue
-        sizes = np.array([len(r) for r in rings], dtype=np.uint32)
+        lengths = np.array([len(r) for r in rings], dtype=np.uint32)
         chains = np.concatenate(rings)
-        text = np.repeat(np.arange(len(rings), dtype=np.uint32), sizes)
-        bucket = (chains >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        classes = np.array(classes, dtype=np.int64)
-        out = []
-        for b in range(buckets):
-            at = order[bounds[b] : bounds[b + 1]]
-            if len(at):
-                used, local = np.unique(text[at], return_inverse=True)
-                local = local.astype(np.uint16 if len(used) < 65536 else np.uint32)
-                out.append((b, *_pack((chains[at] & _LOW).astype(np.uint32), local, classes[used], sizes[used])))
-        yield pd.DataFrame(out, columns=["bucket", "chain", "local", "cls", "size"])
-
-
-def _read(packed: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chains, classes and sizes of packed rows."""
-    chains, classes, sizes = [], [], []
-    for chain, local, cls, size in zip(packed["chain"], packed["local"], packed["cls"], packed["size"]):
-        c = np.frombuffer(chain, np.uint32)
-        at = np.frombuffer(local, np.uint16 if len(local) == 2 * len(c) else np.uint32)
-        chains.append(c)
-        classes.append(np.frombuffer(cls, np.int64)[at])
-        sizes.append(np.frombuffer(size, np.uint32)[at])
-    return np.concatenate(chains), np.concatenate(classes), np.concatenate(sizes)
-
-
-def _counted(key: tuple, packed: pd.DataFrame, buckets: int, groups: int) -> pd.DataFrame:
+        owner = np.repeat(np.array(classes, np.int64), lengths)
+        sizes = np.repeat(lengths, lengths)
+        bucket = ((chains >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        chains = (chains & _LOW).astype(np.uint32)
+        out = [(b, *_lists(owner[at], sizes[at], chains[at])) for b, at in _split(bucket, buckets)]
+        yield pd.DataFrame(out, columns=["bucket", *_LISTS])
+
+
+def _counted(key: tuple, packed: pd.DataFrame, groups: int) -> pd.DataFrame:
     """A bucket's chains that more than one class has, with their counts, packed by group of classes."""
-    chains, classes, sizes = _read(packed)
-    _, inverse, counts = np.unique(chains, return_inverse=True, return_counts=True)
-    counts = counts[inverse]
+    classes, sizes, chains = _unpacked(packed, ("chain", np.uint32))
+    order = np.lexsort((classes, chains))
+    classes, sizes, chains = classes[order], sizes[order], chains[order]
+    first = np.r_[True, (chains[1:] != chains[:-1]) | (classes[1:] != classes[:-1])]  # copies in other batches
+    classes, sizes, chains = classes[first], sizes[first], chains[first]
+    starts = np.flatnonzero(np.r_[True, chains[1:] != chains[:-1]])
+    lengths = np.diff(np.r_[starts, len(chains)])
+    counts = np.repeat(lengths, lengths)
     at = np.flatnonzero(counts > 1)
-    columns = ["grp", "key", "cls", "size", "n"]
-    if not len(at):
-        return pd.DataFrame(columns=columns)
-    keys = (np.uint64(key[0]) << np.uint64(32)) | chains[at].astype(np.uint64)
-    classes, sizes, counts = classes[at], sizes[at], counts[at].astype(np.uint32)
+    at = at[np.argsort(classes[at], kind="stable")]
+    classes, sizes, chains, counts = classes[at], sizes[at], chains[at], np.minimum(counts[at], 255).astype(np.uint8)
     group = (classes.view(np.uint64) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(groups + 1))
-    out = []
-    for g in range(groups):
-        i = order[bounds[g] : bounds[g + 1]]
-        if len(i):
-            out.append((g, *_pack(keys[i], classes[i], sizes[i], counts[i])))
-    return pd.DataFrame(out, columns=columns)
-
-
-def _rarest(key: tuple, packed: pd.DataFrame, buckets: int, similarity: float, need: float) -> pd.DataFrame:
-    """For each class its rarest chains, packed by bucket again."""
-    keys, classes, sizes, counts = (
-        np.concatenate([np.frombuffer(x, kind) for x in packed[name]])
-        for name, kind in (("key", np.uint64), ("cls", np.int64), ("size", np.uint32), ("n", np.uint32))
-    )
-    order = np.lexsort((keys, counts, classes))
-    keys, classes, sizes = keys[order], classes[order], sizes[order]
+    out = [(g, int(key[0]), *_lists(classes[i], sizes[i], chains[i], counts[i])) for g, i in _split(group, groups)]
+    return pd.DataFrame(out, columns=["grp", "bucket", *_LISTS, "n"])
+
+
+def _rarest(packed: pd.DataFrame, buckets: int, similarity: float, need: float) -> pd.DataFrame:
+    """For each class of a group its rarest chains, packed by bucket again."""
+    classes, sizes, chains, counts = _unpacked(packed, ("chain", np.uint32), ("n", np.uint8))
+    bucket = np.repeat(packed["bucket"].to_numpy(), [len(x) for x in packed["n"]]).astype(np.int64)
+    order = np.lexsort((chains, bucket, counts, classes))
+    classes, sizes, chains, bucket = classes[order], sizes[order], chains[order], bucket[order]
     starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
     lengths = np.diff(np.r_[starts, len(classes)])
-    rule = {n: _kept(int(n), similarity, need) for n in np.unique(sizes)}
-    keep = np.array([rule[n][0] for n in sizes[starts]])
-    want = np.array([rule[n][1] for n in sizes[starts]], dtype=np.uint32)
-    rank = np.arange(len(keys)) - np.repeat(starts, lengths)
-    alone = sizes[starts].astype(np.int64) - lengths  # chains of the class that no other has come first
-    at = np.flatnonzero(rank + np.repeat(alone, lengths) < np.repeat(keep, lengths))
-    keys, classes, want = keys[at], classes[at], np.repeat(want, lengths)[at]
-    bucket = (keys >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    out = []
-    for b in range(buckets):
-        i = order[bounds[b] : bounds[b + 1]]
-        if len(i):
-            out.append((b, *_pack((keys[i] & _LOW).astype(np.uint32), classes[i], want[i])))
-    return pd.DataFrame(out, columns=["bucket", "chain", "cls", "want"])
-
-
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs of classes with an equal chain, bucket by bucket: (a, b, need, shared)."""
-
-    def pairs(held: list) -> Iterator[pd.DataFrame]:
-        chains, classes, want = (
-            np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in ((0, np.uint32), (1, np.int64), (2, np.uint32))
-        )
-        order = np.lexsort((classes, chains))
-        chains, classes, want = chains[order], classes[order], want[order]
-        n = len(chains)
-        reach = np.searchsorted(chains, chains, side="right") - np.arange(n) - 1  # later rows with the same chain
-        step = 0
-        block: list = []
-        rows = 0
-        at = np.flatnonzero(reach > 0)
-        while len(at):
-            step += 1
-            block.append((classes[at], classes[at + step], np.minimum(want[at], want[at + step])))
-            rows += len(at)
-            at = at[reach[at] > step]
-            if rows > 2_000_000 or not len(at):
-                a, b, w = (np.concatenate(x) for x in zip(*block))
-                block, rows = [], 0
-                o = np.lexsort((b, a))
-                a, b, w = a[o], b[o], w[o]
-                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                shared = np.diff(np.r_[new, len(a)])
-                yield pd.DataFrame({"a": a[new], "b": b[new], "need": w[new].astype(np.int32), "shared": shared.astype(np.int32)})
-
-    held, current = [], None
-    for batch in batches:  # rows come sorted by bucket
-        for bucket, chain, cls, want in zip(batch["bucket"], batch["chain"], batch["cls"], batch["want"]):
-            if bucket != current and held:
-                yield from pairs(held)
-                held = []
-            current = bucket
-            held.append((chain, cls, want))
-    if held:
-        yield from pairs(held)
-
-
-def similar_classes(classes: DataFrame, similarity: float = 0.8, size: int = 5, min_words: int = 1, need: float = 0.05) -> DataFrame:
-    """(a, b, common, either), a < b: all pairs of classes (cls, text) of at least the similarity.
-
-    `classes` has one row per class. Similarity must be above 0.5, else a chain of two
-    boxes may hold a difference and the filter would not be exact.
-    """
+    keep = {n: _kept(int(n), similarity, need)[0] for n in np.unique(sizes)}
+    alone = sizes[starts].astype(np.int64) - lengths  # its chains that no other class has are rarer than all
+    left = np.array([keep[n] for n in sizes[starts]]) - alone
+    at = np.flatnonzero(np.arange(len(classes)) - np.repeat(starts, lengths) < np.repeat(left, lengths))
+    classes, sizes, chains, bucket = classes[at], sizes[at], chains[at], bucket[at]
+    out = [(b, *_lists(classes[i], sizes[i], chains[i])) for b, i in _split(bucket, buckets)]
+    return pd.DataFrame(out, columns=["bucket", *_LISTS])
+
+
+def _shared(packed: pd.DataFrame, groups: int, similarity: float, need: float) -> Iterator[pd.DataFrame]:
+    """A bucket's pairs of classes with equal chains and possible sizes, packed by group of the first."""
+    classes, sizes, chains = _unpacked(packed, ("chain", np.uint32))
+    order = np.lexsort((classes, chains))
+    classes, sizes, chains = classes[order], sizes[order].astype(np.int64), chains[order]
+    reach = np.searchsorted(chains, chains, side="right") - np.arange(len(chains)) - 1  # later rows with the same chain
+    wants = np.zeros(int(sizes.max(initial=0)) + 1, np.uint16)
+    for n in np.unique(sizes):
+        wants[n] = min(_kept(int(n), similarity, need)[1], 65535)
+    step, block, rows = 0, [], 0
+    at = np.flatnonzero(reach > 0)
+    while len(at):
+        step += 1
+        small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
+        fit = at[small >= similarity * large - 1e-9]
+        block.append((classes[fit], classes[fit + step], np.minimum(wants[sizes[fit]], wants[sizes[fit + step]])))
+        rows += len(fit)
+        at = at[reach[at] > step]
+        if rows > PAIR_ROWS or not len(at):
+            a, b, want = (np.concatenate(x) for x in zip(*block))
+            block, rows = [], 0
+            order = np.lexsort((b, a))
+            a, b, want = a[order], b[order], want[order]
+            new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else order
+            shared = np.diff(np.r_[new, len(a)]).astype(np.uint16)
+            a, b, want = a[new], b[new], want[new]
+            group = (a.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+            out = [(g, *_lists(a[i], np.zeros(len(i), np.uint32), b[i], want[i], shared[i])) for g, i in _split(group, groups)]
+            yield pd.DataFrame(out, columns=["grp", "cls", "size", "own", "b", "want", "shared"])
+
+
+def _enough(packed: pd.DataFrame) -> pd.DataFrame:
+    """A group's pairs that share as many chains in all buckets as they need."""
+    a, _, b, want, shared = _unpacked(packed, ("b", np.int64), ("want", np.uint16), ("shared", np.uint16))
+    order = np.lexsort((b, a))
+    a, b, want, shared = a[order], b[order], want[order], shared[order].astype(np.int64)
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    ok = np.add.reduceat(shared, new) >= want[new]
+    return pd.DataFrame({"a": a[new][ok], "b": b[new][ok]})
+
+
+def candidate_classes(rows: DataFrame, total: int, similarity: float, size: int, min_words: int, need: float = 0.05) -> DataFrame:
+    """(a, b), a < b: the pairs of classes that the filter leaves. `rows` has (cls, text), copies too."""
     if not 0.5 < similarity <= 1:
         raise ValueError("the similarity must be above 0.5 and at most 1")
-    spark = classes.sparkSession
-    total = classes.count()
-    buckets = max(16, math.ceil(total * _CHAINS_A_TEXT / BUCKET_ROWS))
+    spark = rows.sparkSession
+    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total * _CHAINS_A_TEXT / BUCKET_ROWS))
     groups = buckets
-    parts = max(spark.sparkContext.defaultParallelism, buckets // 4)
 
     def chains(batches):
         return _chains(batches, buckets, size, min_words)
 
-    packed = classes.select("cls", "text").mapInPandas(chains, "bucket int, chain binary, local binary, cls binary, size binary")
-    counted = (
-        packed.repartition(parts, "bucket")
-        .groupBy("bucket")
-        .applyInPandas(lambda key, rows: _counted(key, rows, buckets, groups), "grp int, key binary, cls binary, size binary, n binary")
-    )
-    rarest = (
-        counted.repartition(parts, "grp")
-        .groupBy("grp")
-        .applyInPandas(lambda key, rows: _rarest(key, rows, buckets, similarity, need), "bucket int, chain binary, cls binary, want binary")
-    )
-    pairs = (
-        rarest.repartition(parts, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInPandas(_shared, "a long, b long, need int, shared int")
-        .groupBy("a", "b")
-        .agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
-        .where("shared >= need")
-        .select("a", "b")
+    def counted(key, packed):
+        return _counted(key, packed, groups)
+
+    def rarest(packed):
+        return _rarest(packed, buckets, similarity, need)
+
+    def shared(packed):
+        found = list(_shared(packed, groups, similarity, need))
+        return pd.concat(found) if found else pd.DataFrame(columns=["grp", "cls", "size", "own", "b", "want", "shared"])
+
+    packed = rows.select("cls", "text").mapInPandas(chains, f"bucket int, {_BINARY}")
+    several = packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(counted, f"grp int, bucket int, {_BINARY}, n binary")
+    rare = several.repartition(groups, "grp").groupBy("grp").applyInPandas(rarest, f"bucket int, {_BINARY}")
+    pairs = rare.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
+        shared, "grp int, cls binary, size binary, own binary, b binary, want binary, shared binary"
     )
-    pairs = cut(pairs)
-    return _full_check(pairs, classes, similarity, size)
+    return pairs.repartition(groups, "grp").groupBy("grp").applyInPandas(_enough, "a long, b long")
 
 
-def _full_check(pairs: DataFrame, classes: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The candidate pairs whose word runs have at least the similarity."""
+def _full_check(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(a, b) of the candidate pairs whose word runs have at least the similarity. `texts` has one row per class."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"cls": batch["cls"], "runs": [shingles(words(t), size).tobytes() for t in batch["text"]]})
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    runs = classes.join(used, "cls", "left_semi").select("cls", "text").mapInPandas(sets, "cls long, runs binary")
+    runs = texts.select("cls", "text").mapInPandas(sets, "cls long, runs binary")
     left, right = runs.select(F.col("cls").alias("a"), F.col("runs").alias("x")), runs.select(F.col("cls").alias("b"), F.col("runs").alias("y"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            common, either = [], []
+            alike = []
             for x, y in zip(batch["x"], batch["y"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                common.append(both)
-                either.append(len(x) + len(y) - both)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "common": common, "either": either})
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield batch.loc[np.array(alike, bool), ["a", "b"]]
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    checked = joined.mapInPandas(compare, "a long, b long, common int, either int")
-    return checked.where(F.col("common") >= F.lit(similarity) * F.col("either") - 1e-9)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
-def representatives(rows: DataFrame) -> DataFrame:
-    """One (cls, text) per class of text_classes."""
-    return rows.groupBy("cls").agg(F.min("text").alias("text"))
+@dataclass
+class Links:
+    """What a run found: members (id, cls), links (a, b) between classes, fit (cls) of enough words with copies."""
 
-
-def near_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, min_words: int = 1) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: ids whose texts have at least the similarity, copies expanded."""
-    rows = text_classes(spread(df.select(id_col, text_col)), id_col, text_col)
-    classes = representatives(rows)
-    linked = similar_classes(classes, similarity, size, min_words)
-    members = rows.select("id", "cls").distinct()
-    other = members.select(F.col("id").alias("id_b"), F.col("cls").alias("b"))
-    mine = members.select(F.col("id").alias("id_a"), F.col("cls").alias("a"))
-    between = linked.select("a", "b").join(mine, "a").join(other, "b").select("id_a", "id_b")
-    within = _within(rows, members, size, min_words)
-    both = between.unionByName(within).where("id_a <> id_b")
-    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    members: DataFrame
+    links: DataFrame
+    fit: DataFrame
 
 
-def _within(rows: DataFrame, members: DataFrame, size: int, min_words: int) -> DataFrame:
-    """Pairs of ids of one class of enough words."""
+def find_links(df: DataFrame, id_col: str, text_col: str, similarity: float, size: int, min_words: int) -> Links:
+    """All links between classes of different texts, and the classes that several ids share."""
+    rows = text_classes(spread(df.select(id_col, text_col)), id_col, text_col)
+    members = cut(rows.select("id", "cls").distinct())
+    pairs = cut(candidate_classes(rows, members.count(), similarity, size, min_words))
+    several = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(several).distinct()
+    texts = cut(rows.join(used, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")))
 
     def enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[len(words(t)) >= max(min_words, size) for t in batch["text"]]][["cls"]]
+            yield batch.loc[[len(words(t)) >= max(min_words, size) for t in batch["text"]], ["cls"]]
+
+    fit = texts.mapInPandas(enough, "cls long").join(several, "cls", "left_semi")
+    return Links(members, cut(_full_check(pairs, texts, similarity, size)), fit)
 
-    several = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    kept = rows.join(several, "cls", "left_semi")
-    fit = representatives(kept).mapInPandas(enough, "cls long")
-    own = members.join(fit, "cls", "left_semi")
-    a, b = own.select(F.col("id").alias("id_a"), "cls"), own.select(F.col("id").alias("id_b"), "cls")
-    return a.join(b, "cls").where("id_a < id_b").select("id_a", "id_b")
+
+def near_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, min_words: int = 1) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: ids whose texts have at least the similarity, copies expanded."""
+    found = find_links(df, id_col, text_col, similarity, size, min_words)
+    members = found.members
+    mine, other = members.select(F.col("id").alias("x"), F.col("cls").alias("a")), members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
+    between = found.links.join(mine, "a").join(other, "b").select("x", "y")
+    own = members.join(found.fit, "cls", "left_semi")
+    within = own.select(F.col("id").alias("x"), "cls").join(own.select(F.col("id").alias("y"), "cls"), "cls").where("x < y").select("x", "y")
+    both = between.unionByName(within).where("x <> y")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def near_groups(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, min_words: int = 1) -> DataFrame:
@@ -304,13 +292,9 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, similarity: float = 0
     A group is a connected component of links between classes; `group` is its smallest
     class. Ids with null texts, which have no class, are left out.
     """
-    rows = text_classes(spread(df.select(id_col, text_col)), id_col, text_col)
-    linked = similar_classes(representatives(rows), similarity, size, min_words).select("a", "b")
-    linked = cut(linked)
-    groups = components(linked)
-    links = linked.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    members = rows.select("id", "cls").distinct()
-    out = members.join(groups, "cls", "left").join(links, "cls", "left")
+    found = find_links(df, id_col, text_col, similarity, size, min_words)
+    links = found.links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    out = found.members.join(components(found.links), "cls", "left").join(links, "cls", "left")
     return out.select("id", "cls", F.coalesce("group", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
