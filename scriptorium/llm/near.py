@@ -45,6 +45,8 @@ from scriptorium.tables import spread
 BUCKET_ROWS = 2_000_000
 #: Pairs that a bucket lists before it counts and passes them on.
 PAIR_ROWS = 2_000_000
+#: Classes, of eight bytes each, that may be broadcast.
+FEW = 1_000_000
 _CHAINS_A_TEXT = 160
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -264,6 +266,8 @@ def find_links(df: DataFrame, id_col: str, text_col: str, similarity: float, siz
     pairs = cut(candidate_classes(rows, members.count(), similarity, size, min_words))
     several = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
     used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(several).distinct()
+    if used.limit(FEW + 1).count() <= FEW:  # then the other texts need not be shuffled
+        used = F.broadcast(used)
     texts = cut(rows.join(used, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")))
 
     def enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
