@@ -38,10 +38,10 @@ LANDMARKS = 8
 #: Boundaries from worst to best.
 LEVELS = ["token", "mark", "word", "sentence", "line", "paragraph", "end"]
 _BREAK = r"(?:\r\n|\n|\r| | |\x85)"
-_PARAGRAPH = re.compile(_BREAK + r"[^\S\r\n]*" + _BREAK + r"\s*")
-_LINE = re.compile(_BREAK + r"[^\S\r\n]*")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[」』）]*")
-_WORD = re.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\S)")
+_PARAGRAPH = re.compile(r"[^\S\r\n]*" + _BREAK + r"[^\S\r\n]*" + _BREAK)
+_LINE = re.compile(r"[^\S\r\n]*" + _BREAK)
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?=\s)|(?<=[。！？])[」』）]*(?![。！？])")
+_WORD = re.compile(r"(?<=\S)(?=\s)")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,14 +65,18 @@ class Cutter:
         self.tokens = tokens
         self.inside = {i for i, t in tokens.items() if 0x80 <= t[0] <= 0xBF}  # begins within a character
 
-    def _boundaries(self, text: str, ends: np.ndarray) -> np.ndarray:
-        """The level of the boundary after each word of the pattern."""
-        level = np.ones(len(ends), np.int8)
-        for rank, found in ((2, _WORD), (3, _SENTENCE), (4, _LINE), (5, _PARAGRAPH)):
-            places = np.fromiter((m.end() for m in found.finditer(text)), np.int64)
+    def _boundaries(self, text: str, words: list[str], ends: np.ndarray) -> np.ndarray:
+        """The level of the boundary after each word of the pattern.
+
+        Cuts fall before white space, never within it, so that a piece has the same
+        tokens when it is encoded alone.
+        """
+        level = np.fromiter((not w.isspace() for w in words), np.int8, len(words))
+        for rank, found, side in ((2, _WORD, 0), (3, _SENTENCE, 1), (4, _LINE, 0), (5, _PARAGRAPH, 0)):
+            places = np.fromiter((m.end() if side else m.start() for m in found.finditer(text)), np.int64)
             if len(places):
                 at = np.searchsorted(ends, places, side="right") - 1
-                at = at[at >= 0]
+                at = at[(at >= 0) & (level[at] > 0)]
                 level[at] = np.maximum(level[at], rank)
         return level
 
@@ -90,7 +94,7 @@ class Cutter:
         ids = [i for x in lists for i in x]
         ends_t = np.cumsum(lengths)
         ends_c = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        level = self._boundaries(text, ends_c)
+        level = self._boundaries(text, words, ends_c)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
         rolled = np.zeros_like(hashes)
         factor = np.uint64(1)
