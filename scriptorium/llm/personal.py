@@ -217,7 +217,7 @@ def _names(text: str, lexicon: Lexicon, spans: list) -> list[tuple[int, int, str
                 continue
         elif _FIRM.match(text, end) and text[end : end + 2] == " &":
             continue
-        out.append((start, end, "name"))
+        out.append((start, end, "name" if full or kind == "f" else "given"))
     return out
 
 
@@ -314,7 +314,7 @@ def _numbers(text: str, spans: list) -> None:
 
 
 def find_items(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal items of a text, in order, without overlap."""
+    """(start, end, kind) of the personal items of a text, in order, without overlap; `given` is a given name alone."""
     spans: list[tuple[int, int, str]] = []
     _emails(text, spans)
     _numbers(text, spans)
@@ -357,7 +357,10 @@ def _rows_with_names(df: DataFrame, names: DataFrame, fields: list[str]) -> tupl
 
 
 def items(df: DataFrame, id_col: str, fields: list[str], names: DataFrame) -> DataFrame:
-    """(id, field, start, end, kind, found_text) of all items of the text columns, place by place."""
+    """(id, field, start, end, kind, found_text, alone) of all items of the text columns, place by place.
+
+    `alone` tells a given name without a family name.
+    """
     rows = df.select(F.col(id_col).cast("string").alias("id"), *(F.col(f).cast("string").alias(f) for f in fields))
     rows, sent = _rows_with_names(rows, names, fields)
 
@@ -370,10 +373,12 @@ def items(df: DataFrame, id_col: str, fields: list[str], names: DataFrame) -> Da
                 lexicon = own or Lexicon.of([(n["kind"], n["name"]) for n in (held if held is not None else [])])
                 for name, text in zip(fields, texts):
                     if text:
-                        out += [(key, name, s, e, kind, text[s:e]) for s, e, kind in find_items(text, lexicon)]
-            yield pd.DataFrame(out, columns=["id", "field", "start", "end", "kind", "found_text"])
+                        for s, e, kind in find_items(text, lexicon):
+                            alone = kind == "given"
+                            out.append((key, name, s, e, "name" if alone else kind, text[s:e], alone))
+            yield pd.DataFrame(out, columns=["id", "field", "start", "end", "kind", "found_text", "alone"])
 
-    return rows.mapInPandas(find, "id string, field string, start int, end int, kind string, found_text string")
+    return rows.mapInPandas(find, "id string, field string, start int, end int, kind string, found_text string, alone boolean")
 
 
 # Replacements.
@@ -392,7 +397,7 @@ def _number(key: bytes, *parts: str) -> int:
 
 def canonical(kind: str, found: str) -> str:
     """The form under which items of a kind are the same."""
-    if kind == "name":
+    if kind in ("name", "given"):
         return found.casefold()
     if kind == "address":
         return re.sub(r"\W+", " ", found).casefold().strip()
@@ -448,14 +453,14 @@ def surrogate(key: bytes, kind: str, found: str, salts: dict | None = None) -> s
         head = re.match(r"\+\d{1,3}|00\d{1,2}(?=\D)|\(?0", found)
         kept = head.group() if head else ""
         return kept + _shaped(key, kind, seed, found[len(kept) :])
-    if kind == "name":
+    if kind in ("name", "given"):
         words = re.findall(rf"{_W}[\w’'\-]*\.?|[^\w]+|\d+", found)
         plain = [w for w in words if w[0].isalpha() and not w.endswith(".") and w[0].isupper()]
         comma = "," in found
         out = []
         for w in words:
             if w in plain:
-                out.append(_name_word(key, w, (w == plain[-1]) if comma else (w == plain[0] and len(plain) > 1), salt))
+                out.append(_name_word(key, w, (w == plain[-1]) if comma else (w == plain[0] and (len(plain) > 1 or kind == "given")), salt))
             else:
                 out.append(_shaped(key, kind, seed, w) if w.endswith(".") else w)
         return "".join(out)
@@ -473,10 +478,11 @@ def collisions(found: DataFrame, key: bytes) -> dict:
     """{(kind, item): salt} of items whose surrogates would meet others', after `found` of items(); refused above MAX_NAMES."""
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, canonical(k, t), surrogate(key, k, t)) for k, t in zip(batch["kind"], batch["found_text"])]
+            kinds = ["given" if alone else kind for kind, alone in zip(batch["kind"], batch["alone"])]
+            rows = [(k, canonical(k, t), surrogate(key, k, t)) for k, t in zip(kinds, batch["found_text"])]
             yield pd.DataFrame([(k, c, canonical(k, s)) for k, c, s in rows], columns=["kind", "item", "made"]).drop_duplicates()
 
-    made = found.select("kind", "found_text").distinct().mapInPandas(keyed, "kind string, item string, made string").distinct()
+    made = found.select("kind", "found_text", "alone").distinct().mapInPandas(keyed, "kind string, item string, made string").distinct()
     met = made.groupBy("kind", "made").agg(F.array_sort(F.collect_set("item")).alias("met")).where("size(met) > 1")
     rows = met.select("kind", F.posexplode("met").alias("salt", "item")).where("salt > 0").limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
@@ -495,6 +501,7 @@ def replaced(df: DataFrame, fields: list[str], names: DataFrame, key: bytes, how
     def put(kind: str, found: str) -> str:
         if how == "surrogate":
             return surrogate(key, kind, found, salts)
+        kind = "name" if kind == "given" else kind
         return f"[{kind.upper()}_{_number(key, kind, canonical(kind, found)) % 16**8:08x}]"
 
     def write(texts: pd.Series, held: pd.Series) -> pd.Series:
