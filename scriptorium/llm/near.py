@@ -4,17 +4,22 @@ A text is the set of its distinct runs of `size` words. A pair of Jaccard simila
 more, with union U, differs in D <= (1 - s) U elements. Put the union's elements on a ring
 in the order of their hashes, each a box that holds 1 where the texts differ. The
 pigeonring principle asks for a chain of boxes whose cumulative differences stay within
-the proportional budget: a chain of two has budget 2 (1 - s), which is below one for
-s > 0.5, so it holds no difference, and the two elements stand side by side in the rings
-of both texts. Of the U - D common boxes at most D are followed by a differing one, so a
-pair shares at least (2 s - 1) U such chains. Each text of n elements may therefore leave
-out its ceil((2 s - 1) n) - need most frequent chains, and a pair still has `need` in
-common, `need` being the smaller of the texts' own. No cap is set: the filter is exact.
+the proportional budget at each length: a chain of two has budget 2 (1 - s), which is
+below one for s > 0.5, so it holds no difference, and the two elements stand side by side
+in the rings of both texts; a chain of four has budget below two, so of the next two boxes
+one at least is common. Let a good chain be one that keeps both budgets. At most D of the
+U - D common boxes are followed by a differing one, and taking out of the ring each run
+common-common-differing-differing takes as many differing as common boxes with it, so a
+pair shares at least (2 s - 1) U good chains. Each text of n elements may therefore leave
+out its ceil((2 s - 1) n) - need most frequent chains, and a pair still has `need` good
+ones in common, `need` being the smaller of the texts' own. No cap is set: the filter is
+exact. Chains are compared by a hash of their first two elements, the next two by four
+bits of each.
 
 1. Texts equal but for spaces, marks and case are one class, so copies are never compared.
 2. Each class's chains go to hash buckets as packed arrays, where chains that only one
    class has are dropped and the rest counted.
-3. Classes keep their rarest chains; classes that share enough of them are candidates.
+3. Classes keep their rarest chains; classes that share enough good ones are candidates.
 4. The full Hamming check compares the word runs of the candidates.
 
 Buckets are as many as keep each near BUCKET_ROWS chains, whatever the input's size. A
@@ -78,30 +83,39 @@ def _split(by: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield part, order[bounds[part] : bounds[part + 1]]
 
 
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in as few bytes each as they need."""
+    most = int(numbers.max(initial=0))
+    return numbers.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(packed) // n]).astype(np.uint32)
+
+
 def _lists(classes: np.ndarray, sizes: np.ndarray, *values: np.ndarray) -> list[bytes]:
     """Values that come class by class, packed: each class and its size once, and how many are its own."""
     starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
-    lengths = np.diff(np.r_[starts, len(classes)]).astype(np.uint32)
-    return _pack(classes[starts], sizes[starts], lengths, *values)
+    lengths = np.diff(np.r_[starts, len(classes)])
+    return _pack(classes[starts], _small(sizes[starts]), _small(lengths), *values)
 
 
 def _unpacked(rows: pd.DataFrame, *kinds: tuple[str, type]) -> list[np.ndarray]:
     """Classes and sizes, repeated for each value, and the values of rows of _lists."""
-    classes, sizes, lengths = (
-        np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in (("cls", np.int64), ("size", np.uint32), ("own", np.uint32))
-    )
+    classes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["cls"]])
+    sizes, lengths = (np.concatenate([_wide(x, len(c) // 8) for x, c in zip(rows[name], rows["cls"])]) for name in ("size", "own"))
     values = [np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in kinds]
     return [np.repeat(classes, lengths), np.repeat(sizes, lengths), *values]
 
 
-_LISTS = ["cls", "size", "own", "chain"]
+_LISTS = ["cls", "size", "own", "chain", "next"]
 _BINARY = ", ".join(f"{name} binary" for name in _LISTS)
 
 
 def _chains(batches: Iterator[pd.DataFrame], buckets: int, size: int, min_words: int) -> Iterator[pd.DataFrame]:
     """Classes to packed chains by bucket: the lower 32 bits of each chain."""
     for batch in batches:
-        classes, rings = [], []
+        classes, rings, nexts = [], [], []
         batch = batch.drop_duplicates("cls")
         for cls, text in zip(batch["cls"], batch["text"]):
             found = words(text)
@@ -110,58 +124,61 @@ def _chains(batches: Iterator[pd.DataFrame], buckets: int, size: int, min_words:
                 if len(ring):
                     classes.append(cls)
                     rings.append(neighbours(ring))
+                    low = (ring & np.uint64(15)).astype(np.uint8)
+                    nexts.append(np.roll(low, -2) << 4 | np.roll(low, -3))
         if not rings:
             continue
         lengths = np.array([len(r) for r in rings], dtype=np.uint32)
-        chains = np.concatenate(rings)
+        chains, after = np.concatenate(rings), np.concatenate(nexts)
         owner = np.repeat(np.array(classes, np.int64), lengths)
         sizes = np.repeat(lengths, lengths)
         bucket = ((chains >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         chains = (chains & _LOW).astype(np.uint32)
-        out = [(b, *_lists(owner[at], sizes[at], chains[at])) for b, at in _split(bucket, buckets)]
+        out = [(b, *_lists(owner[at], sizes[at], chains[at], after[at])) for b, at in _split(bucket, buckets)]
         yield pd.DataFrame(out, columns=["bucket", *_LISTS])
 
 
 def _counted(key: tuple, packed: pd.DataFrame, groups: int) -> pd.DataFrame:
     """A bucket's chains that more than one class has, with their counts, packed by group of classes."""
-    classes, sizes, chains = _unpacked(packed, ("chain", np.uint32))
+    classes, sizes, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
     order = np.lexsort((classes, chains))
-    classes, sizes, chains = classes[order], sizes[order], chains[order]
-    first = np.r_[True, (chains[1:] != chains[:-1]) | (classes[1:] != classes[:-1])]  # copies in other batches
-    classes, sizes, chains = classes[first], sizes[first], chains[first]
+    first = np.r_[True, (chains[order][1:] != chains[order][:-1]) | (classes[order][1:] != classes[order][:-1])]  # copies in other batches
+    order = order[first]
+    classes, sizes, chains, after = classes[order], sizes[order], chains[order], after[order]
     starts = np.flatnonzero(np.r_[True, chains[1:] != chains[:-1]])
     lengths = np.diff(np.r_[starts, len(chains)])
     counts = np.repeat(lengths, lengths)
     at = np.flatnonzero(counts > 1)
     at = at[np.argsort(classes[at], kind="stable")]
-    classes, sizes, chains, counts = classes[at], sizes[at], chains[at], np.minimum(counts[at], 255).astype(np.uint8)
+    classes, sizes, chains, after, counts = classes[at], sizes[at], chains[at], after[at], np.minimum(counts[at], 255).astype(np.uint8)
     group = (classes.view(np.uint64) % np.uint64(groups)).astype(np.int64)
-    out = [(g, int(key[0]), *_lists(classes[i], sizes[i], chains[i], counts[i])) for g, i in _split(group, groups)]
+    out = [(g, int(key[0]), *_lists(classes[i], sizes[i], chains[i], after[i], counts[i])) for g, i in _split(group, groups)]
     return pd.DataFrame(out, columns=["grp", "bucket", *_LISTS, "n"])
 
 
 def _rarest(packed: pd.DataFrame, buckets: int, similarity: float, need: float) -> pd.DataFrame:
     """For each class of a group its rarest chains, packed by bucket again."""
-    classes, sizes, chains, counts = _unpacked(packed, ("chain", np.uint32), ("n", np.uint8))
+    classes, sizes, chains, after, counts = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8), ("n", np.uint8))
     bucket = np.repeat(packed["bucket"].to_numpy(), [len(x) for x in packed["n"]]).astype(np.int64)
     order = np.lexsort((chains, bucket, counts, classes))
-    classes, sizes, chains, bucket = classes[order], sizes[order], chains[order], bucket[order]
+    classes, sizes, chains, after, bucket = classes[order], sizes[order], chains[order], after[order], bucket[order]
     starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
     lengths = np.diff(np.r_[starts, len(classes)])
     keep = {n: _kept(int(n), similarity, need)[0] for n in np.unique(sizes)}
     alone = sizes[starts].astype(np.int64) - lengths  # its chains that no other class has are rarer than all
     left = np.array([keep[n] for n in sizes[starts]]) - alone
     at = np.flatnonzero(np.arange(len(classes)) - np.repeat(starts, lengths) < np.repeat(left, lengths))
-    classes, sizes, chains, bucket = classes[at], sizes[at], chains[at], bucket[at]
-    out = [(b, *_lists(classes[i], sizes[i], chains[i])) for b, i in _split(bucket, buckets)]
+    classes, sizes, chains, after, bucket = classes[at], sizes[at], chains[at], after[at], bucket[at]
+    out = [(b, *_lists(classes[i], sizes[i], chains[i], after[i])) for b, i in _split(bucket, buckets)]
     return pd.DataFrame(out, columns=["bucket", *_LISTS])
 
 
 def _shared(packed: pd.DataFrame, groups: int, similarity: float, need: float) -> Iterator[pd.DataFrame]:
-    """A bucket's pairs of classes with equal chains and possible sizes, packed by group of the first."""
-    classes, sizes, chains = _unpacked(packed, ("chain", np.uint32))
+    """A bucket's pairs of classes with equal good chains and possible sizes, packed by group of the first."""
+    classes, sizes, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
     order = np.lexsort((classes, chains))
-    classes, sizes, chains = classes[order], sizes[order].astype(np.int64), chains[order]
+    classes, sizes, chains, after = classes[order], sizes[order].astype(np.int64), chains[order], after[order]
+    third, fourth = after >> 4, after & 15
     reach = np.searchsorted(chains, chains, side="right") - np.arange(len(chains)) - 1  # later rows with the same chain
     wants = np.zeros(int(sizes.max(initial=0)) + 1, np.uint16)
     for n in np.unique(sizes):
@@ -171,7 +188,8 @@ def _shared(packed: pd.DataFrame, groups: int, similarity: float, need: float) -
     while len(at):
         step += 1
         small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
-        fit = at[small >= similarity * large - 1e-9]
+        good = (third[at] == third[at + step]) | (fourth[at] == third[at + step]) | (third[at] == fourth[at + step])
+        fit = at[good & (small >= similarity * large - 1e-9)]
         block.append((classes[fit], classes[fit + step], np.minimum(wants[sizes[fit]], wants[sizes[fit + step]])))
         rows += len(fit)
         at = at[reach[at] > step]
@@ -198,7 +216,7 @@ def _enough(packed: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a[new][ok], "b": b[new][ok]})
 
 
-def candidate_classes(rows: DataFrame, total: int, similarity: float, size: int, min_words: int, need: float = 0.05) -> DataFrame:
+def candidate_classes(rows: DataFrame, total: int, similarity: float, size: int, min_words: int, need: float = 0.02) -> DataFrame:
     """(a, b), a < b: the pairs of classes that the filter leaves. `rows` has (cls, text), copies too."""
     if not 0.5 < similarity <= 1:
         raise ValueError("the similarity must be above 0.5 and at most 1")
