@@ -1,9 +1,9 @@
 """Nested records to related flat tables by shared inlining.
 
 The schema graph of the JSON column is read from all records: an element is the name
-of the field that holds it, an edge a field of an element. An element whose fields are
-all fields of a repeated element below it (as the root of a mail tree is formed like
-its parts) is of that element's type. Then, over the types,
+of the field that holds it, an edge a field of an element. An element of whose fields half
+or more are fields of a repeated element below it (as the root of a mail tree is formed
+like its parts) is of that element's type. Then, over the types,
 
 * an object that only ever stands once below one type is inlined: its leaves become
   columns of the row above it;
@@ -170,7 +170,7 @@ def shared_inlining(edges: list[tuple[str, str, int, int]]) -> Layout:
     same = {e: e for e in {*fields, *(n for s in nested.values() for n in s)}}
     for element in sorted(fields):
         for child in sorted(nested[element] & repeated):
-            if element != child and child in nested[child] and fields[element] <= fields[child]:
+            if element != child and child in nested[child] and 2 * len(fields[element] & fields[child]) >= len(fields[element]):
                 same[element] = child
     parents: dict = defaultdict(set)
     for element, children in nested.items():
@@ -274,6 +274,6 @@ def flat_tables(df: DataFrame, id_col: str, json_col: str, layout: Layout | None
             while alias.lower() in taken:
                 alias += "_"
             taken.add(alias.lower())
-            columns.append(F.col("leaves").getItem(F.lit(leaf)).alias(alias))
+            columns.append(F.col("leaves")[leaf].alias(alias))
         out[name] = rows.where(F.col("element") == name).select(*keys, *columns)
     return out

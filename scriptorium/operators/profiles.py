@@ -66,10 +66,12 @@ def infer(pairs: DataFrame, personas: DataFrame) -> DataFrame:
     formal = F.when(_has(F.col("_subject"), FORMAL_SUBJECT), 0.3).otherwise(0.0) + F.when(_has(F.col("_sender"), FORMAL_SENDER), 0.3).otherwise(0.0)
     casual = F.when(_has(F.col("_subject"), CASUAL_SUBJECT), 0.3).otherwise(0.0)
     score = hits * 0.2 + F.when(F.col("formality") >= 7, formal).when(F.col("formality") <= 4, casual).otherwise(0.0)
-    best = F.max(F.struct(F.round(score, 6).alias("score"), F.transform(F.array(F.col("persona_id")), lambda x: F.translate(x, "0123456789", "9876543210"))[0].alias("o"), F.col("persona_id").alias("persona_id")))
+    rows = rows.withColumn("_score", F.round(score, 6))
     keep = [c for c in pairs.columns if c != "id"]
-    out = rows.groupBy("id").agg(*(F.first(c).alias(c) for c in keep), best.alias("b"))
-    return out.select("id", *keep, F.col("b.persona_id").alias("inferred_persona"), F.when(F.col("b.score") > 0, F.least(F.col("b.score"), F.lit(1.0))).otherwise(0.3).alias("confidence"))
+    out = rows.groupBy("id").agg(
+        *(F.first(c).alias(c) for c in keep), F.max("_score").alias("_best"), F.min_by("persona_id", F.struct(-F.col("_score"), F.col("persona_id"))).alias("inferred_persona")
+    )
+    return out.select("id", *keep, "inferred_persona", F.when(F.col("_best") > 0, F.least(F.col("_best"), F.lit(1.0))).otherwise(0.3).alias("confidence"))
 
 
 def score(pairs: DataFrame, personas: DataFrame) -> DataFrame:
