@@ -141,7 +141,8 @@ class Cutter:
         if len(marks):
             mark = a + int(marks[0])
             near = np.arange(a, b)
-            near = near[np.abs(ends_t[near] - ends_t[mark]) <= reach]
+            close = near[np.abs(ends_t[near] - ends_t[mark]) <= reach]
+            near = close if level[close].max() >= 2 else near
             best = near[level[near] == level[near].max()]
             return int(best[np.argmin(np.abs(ends_t[best] - ends_t[mark]))])
         near = np.arange(a, b)
