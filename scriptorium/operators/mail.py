@@ -24,19 +24,19 @@ AUTO_REPLY = [
 CALENDAR = ["^Accepted:", "^Declined:", "^Tentative:", "^Invitation:", "has accepted your meeting", "has declined your meeting", "Calendar:"]
 
 
-def original_text(body: Column) -> Column:
-    """The body up to the first line that opens a quoted message, without lines that begin with >.
+def original_text(df: DataFrame, name: str = "original") -> DataFrame:
+    """Adds the body up to the first line that opens a quoted message, without lines that begin with >.
 
-    Mail header lines at the very start are dropped, as in forwarded messages.
+    Mail header lines at the very start are dropped, as in forwarded messages. Each step is
+    a column of its own, so that no step is computed twice.
     """
-    lines = T.lines(body)
-    opens = F.transform(lines, lambda x: x.rlike(r"(?i)^On .+ wrote:$|^-{3,}\s*Original Message\s*-{3,}"))
-    first = F.array_position(opens, True)
-    kept = F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines)
-    kept = F.filter(kept, lambda x: ~x.startswith(">"))
-    start = F.array_position(F.transform(kept, lambda x: ~x.startswith("From:")), True)
-    kept = F.when(start > 0, F.slice(kept, start.cast("int"), F.greatest(F.size(kept), F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(kept, "\n")
+    opens = F.array_position(F.transform("_lines", lambda x: x.rlike(r"(?i)^On .+ wrote:$|^-{3,}\s*Original Message\s*-{3,}")), True)
+    start = F.array_position(F.transform("_kept", lambda x: ~x.startswith("From:")), True)
+    kept = F.when(F.col("_opens") > 0, F.slice("_lines", F.lit(1), (F.col("_opens") - 1).cast("int"))).otherwise(F.col("_lines"))
+    tail = F.when(F.col("_start") > 0, F.slice("_kept", F.col("_start").cast("int"), F.greatest(F.size("_kept"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("_lines", T.lines(F.coalesce("body", F.lit("")))).withColumn("_opens", opens)
+    df = df.withColumn("_kept", F.filter(kept, lambda x: ~x.startswith(">"))).withColumn("_start", start)
+    return df.withColumn(name, F.array_join(tail, "\n")).drop("_lines", "_opens", "_kept", "_start")
 
 
 def addresses(column: Column) -> Column:
@@ -44,12 +44,11 @@ def addresses(column: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(T.ADDRESS), F.lit(0)))
 
 
-def quality(body: Column, original: Column) -> Column:
+def quality(body: Column, original: Column, words: Column) -> Column:
     """0.4 of a length step, 0.3 of the original's share, 0.3 of distinct among all words."""
     n = F.length(original)
     step = F.when(n < 50, 0.1).when(n < 100, 0.3).when(n < 200, 0.6).when(n < 500, 0.8).otherwise(1.0)
     share = F.when(F.length(body) > 0, n / F.length(body)).otherwise(0.0)
-    words = F.regexp_extract_all(F.lower(original), F.lit(T.WORD), F.lit(0))
     variety = F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.size(words)).otherwise(0.0)
     return step * 0.4 + share * 0.3 + variety * 0.3
 
@@ -57,8 +56,9 @@ def quality(body: Column, original: Column) -> Column:
 def accept(df: DataFrame) -> DataFrame:
     """Adds body_length, recipient_count, original_length, quality_score and reason: the first rule that rejects, else ''."""
     body, subject = F.coalesce("body", F.lit("")), F.coalesce("subject", F.lit(""))
-    df = df.withColumn("original", original_text(body)).withColumn("recipient_count", F.size(addresses(F.col("to_addr"))))
-    df = df.withColumn("score", quality(body, F.col("original")))
+    df = original_text(df).withColumn("recipient_count", F.size(addresses(F.col("to_addr"))))
+    df = df.withColumn("_words", F.regexp_extract_all(F.lower("original"), F.lit(T.WORD), F.lit(0)))
+    df = df.withColumn("score", quality(body, F.col("original"), F.col("_words"))).drop("_words")
     reason = (
         F.when(T.strip(body) == "", "empty_body")
         .when(F.length(T.strip(F.col("original"))) < MIN_BODY, "too_short")
@@ -131,24 +131,20 @@ CLOSING = r"(?i)^(?:Best|Thanks|Cheers|Regards|Sincerely|Talk soon|-\s*[\p{L}\p{
 
 def structure(df: DataFrame) -> DataFrame:
     """Adds counts of characters, lines, paragraphs and bullets, greeting, closing and the mean paragraph length."""
-    body = F.replace(F.coalesce("body", F.lit("")), F.lit("\r"), F.lit(""))
-    lines = T.lines(body)
-    filled = T.filled(lines)
-    bare = F.transform(lines, lambda x: F.when(T.strip(x) == "", "").otherwise(x))
-    paragraphs = F.filter(F.split(F.array_join(bare, "\n"), r"\n\n+", -1), lambda p: F.regexp_replace(p, "\n", "") != "")
-    paragraphs = F.transform(paragraphs, lambda p: F.regexp_replace(p, "^\n+|\n+$", ""))
-    bullets = F.size(F.filter(lines, lambda x: x.rlike(r"^[ \t\n\f\r]*(?:[•*-]|\d+[.)-])[ \t\n\f\r]+")))
-    last = F.reverse(F.slice(filled, -F.least(F.size(filled), F.lit(5)), F.lit(5)))
-    last = F.when(F.size(filled) > 0, last).otherwise(F.array().cast("array<string>"))
-    return df.select(
-        "*",
-        F.length(body).alias("char_count"),
-        F.size(lines).alias("line_count"),
-        F.size(paragraphs).alias("paragraph_count"),
-        bullets.alias("bullet_count"),
-        F.get(F.filter(F.slice(filled, 1, 3), lambda x: x.rlike(GREETING)), F.lit(0)).alias("greeting"),
-        F.get(F.filter(last, lambda x: x.rlike(CLOSING)), F.lit(0)).alias("closing"),
-        (F.aggregate(paragraphs, F.lit(0), lambda a, p: a + F.length(p)) / F.greatest(F.size(paragraphs), F.lit(1))).alias("avg_paragraph_length"),
+    bare = F.transform("_lines", lambda x: F.when(T.strip(x) == "", "").otherwise(x))
+    blocks = F.filter(F.split(F.array_join(bare, "\n"), r"\n\n+", -1), lambda p: F.regexp_replace(p, "\n", "") != "")
+    last = F.reverse(F.slice("_filled", -F.least(F.size("_filled"), F.lit(5)), F.lit(5)))
+    rows = df.withColumn("_body", F.replace(F.coalesce("body", F.lit("")), F.lit("\r"), F.lit(""))).withColumn("_lines", T.lines(F.col("_body")))
+    rows = rows.withColumn("_filled", T.filled(F.col("_lines"))).withColumn("_blocks", F.transform(blocks, lambda p: F.regexp_replace(p, "^\n+|\n+$", "")))
+    return rows.withColumn("_last", F.when(F.size("_filled") > 0, last).otherwise(F.array().cast("array<string>"))).select(
+        *df.columns,
+        F.length("_body").alias("char_count"),
+        F.size("_lines").alias("line_count"),
+        F.size("_blocks").alias("paragraph_count"),
+        F.size(F.filter("_lines", lambda x: x.rlike(r"^[ \t\n\f\r]*(?:[•*-]|\d+[.)-])[ \t\n\f\r]+"))).alias("bullet_count"),
+        F.get(F.filter(F.slice("_filled", 1, 3), lambda x: x.rlike(GREETING)), F.lit(0)).alias("greeting"),
+        F.get(F.filter("_last", lambda x: x.rlike(CLOSING)), F.lit(0)).alias("closing"),
+        (F.aggregate("_blocks", F.lit(0), lambda a, p: a + F.length(p)) / F.greatest(F.size("_blocks"), F.lit(1))).alias("avg_paragraph_length"),
     )
 
 
@@ -159,11 +155,11 @@ def split_reply(df: DataFrame) -> DataFrame:
     quoted until a blank line that no such line follows.
     """
     body = F.replace(F.coalesce("body", F.lit("")), F.lit("\r"), F.lit(""))
-    raw = F.split(body, "\n", -1)
     kind = F.transform(
-        raw, lambda x: F.when(T.strip(x).rlike("^[>|]"), "q").when(T.strip(x).rlike(r"(?i)^On .+wrote:?$"), "w").when(T.strip(x) == "", "b").otherwise("o")
+        "_raw", lambda x: F.when(T.strip(x).rlike("^[>|]"), "q").when(T.strip(x).rlike(r"(?i)^On .+wrote:?$"), "w").when(T.strip(x) == "", "b").otherwise("o")
     )
-    numbered = F.arrays_zip(raw.alias("x"), kind.alias("k"), F.concat(F.slice(kind, F.lit(2), F.greatest(F.size(kind), F.lit(1))), F.array(F.lit("end"))).alias("n"))
+    after = F.concat(F.slice("_kind", F.lit(2), F.greatest(F.size("_kind"), F.lit(1))), F.array(F.lit("end")))
+    numbered = F.arrays_zip(F.col("_raw").alias("x"), F.col("_kind").alias("k"), F.col("_after").alias("n"))
     empty = F.struct(F.lit(False).alias("s"), F.array().cast("array<string>").alias("q"), F.array().cast("array<string>").alias("r"))
 
     def step(acc, line):
@@ -175,7 +171,7 @@ def split_reply(df: DataFrame) -> DataFrame:
         add = lambda a, v: F.when(v.isNotNull(), F.concat(a, F.array(v))).otherwise(a)
         return F.struct(state.alias("s"), add(acc["q"], quoted).alias("q"), add(acc["r"], reply).alias("r"))
 
-    done = df.withColumn("_split", F.aggregate(numbered, empty, step))
+    done = df.withColumn("_raw", F.split(body, "\n", -1)).withColumn("_kind", kind).withColumn("_after", after).withColumn("_split", F.aggregate(numbered, empty, step))
     return done.select(
         *df.columns, T.strip(F.array_join("_split.q", "\n")).alias("quoted_text"), T.strip(F.array_join("_split.r", "\n")).alias("reply_text")
     )

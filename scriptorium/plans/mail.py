@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import mail
-from scriptorium.tables import table
+from scriptorium.tables import spread, table
 
 
 def _email(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "email")
+    return spread(table(spark, directory, "email"))
 
 
 def flt_accept(spark: SparkSession, directory: str) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.operators import mail, posts
-from scriptorium.tables import table
+from scriptorium.tables import spread, table
 
 
 def _posts(spark, directory):
-    d = table(spark, directory, "documents")
+    d = spread(table(spark, directory, "documents"))
     source = F.regexp_replace(F.lower(F.trim("source")), "-", "_")
     rows = d.where(source == "linkedin_post")
     number = F.col("doc_id")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.operators import mail, style
-from scriptorium.tables import table
+from scriptorium.tables import spread, table
 
 GROUP = "account_id"
 
 
 def _query(function, enriched: bool = False):
     def query(spark, directory):
-        df = table(spark, directory, "email")
+        df = spread(table(spark, directory, "email"))
         return function(mail.enrich(df) if enriched else df, GROUP)
 
     return query
@@ -20,7 +20,7 @@ def _query(function, enriched: bool = False):
 
 def agg_all(spark, directory):
     """The measures of rhythm, formatting and mechanics in one row an account."""
-    df = table(spark, directory, "email")
+    df = spread(table(spark, directory, "email"))
     out = style.formatting(df, GROUP).join(style.rhythm(df, GROUP), GROUP, "left").join(style.mechanics(df, GROUP), GROUP, "left")
     return out.select(GROUP, "uses_bullets_rate", "avg_words_per_sentence", "contraction_rate", F.coalesce("visual_density", F.lit("medium")).alias("visual_density"))
 
