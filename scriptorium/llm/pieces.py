@@ -25,13 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.tokens import Tokenizer
 from scriptorium.llm.transducer import Encoder
-from scriptorium.llm.words import mix
+from scriptorium.llm.words import mix, word_hashes
 
 WINDOW = 8
 LANDMARKS = 8
@@ -41,7 +40,6 @@ _BREAK = r"(?:\r\n|\n|\r| | |\x85)"
 _PARAGRAPH = re.compile(r"[^\S\r\n]*" + _BREAK + r"[^\S\r\n]*" + _BREAK)
 _LINE = re.compile(r"[^\S\r\n]*" + _BREAK)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?=\s)|(?<=[。！？])[」』）]*(?![。！？])")
-_WORD = re.compile(r"(?<=\S)(?=\s)")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,8 +69,10 @@ class Cutter:
         Cuts fall before white space, never within it, so that a piece has the same
         tokens when it is encoded alone.
         """
+        space = np.fromiter((w[0].isspace() for w in words), bool, len(words))
         level = np.fromiter((not w.isspace() for w in words), np.int8, len(words))
-        for rank, found, side in ((2, _WORD, 0), (3, _SENTENCE, 1), (4, _LINE, 0), (5, _PARAGRAPH, 0)):
+        level[:-1] += level[:-1] * space[1:]
+        for rank, found, side in ((3, _SENTENCE, 1), (4, _LINE, 0), (5, _PARAGRAPH, 0)):
             places = np.fromiter((m.end() if side else m.start() for m in found.finditer(text)), np.int64)
             if len(places):
                 at = np.searchsorted(ends, places, side="right") - 1
@@ -85,17 +85,17 @@ class Cutter:
         encoder = self.encoder
         words = encoder.pattern.findall(text)
         lists = [encoder.piece(w) for w in words]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(lengths.sum())
+        total = sum(map(len, lists))
         if not total:
             return []
         if total <= limit.max_tokens:
             return [(0, total, 0, len(text), "end")]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = [i for x in lists for i in x]
         ends_t = np.cumsum(lengths)
         ends_c = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         level = self._boundaries(text, words, ends_c)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        hashes = word_hashes(words)
         rolled = np.zeros_like(hashes)
         factor = np.uint64(1)
         for back in range(min(WINDOW, len(words))):
