@@ -6,6 +6,7 @@ rank orders break ties by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows on which the density model is fitted; all rows are then assigned.
-DENSITY_SAMPLE = 2000
+from scriptorium.session import cut
+
+#: Rows of a block of vectors; two blocks and the distances between their rows are held by a task.
+DENSITY_BLOCK = 1024
+#: Edges of spanning trees.
+_EDGE = np.dtype([("w", "f8"), ("a", "i8"), ("b", "i8")])
 
 
 def central(df: DataFrame, group: str, id_col: str, vector: str, n: int = 3) -> DataFrame:
@@ -71,29 +76,59 @@ def silhouette(df: DataFrame, vector: str, label: str) -> float:
 # Density clustering.
 
 
-def _tree(x: np.ndarray, samples: int) -> list[tuple[float, int, int]]:
-    """The edges of the least spanning tree of mutual reachability, by length."""
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)) if len(x) <= 400 else np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    core = np.sort(d, 1)[:, min(samples, len(x) - 1)]
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances, rounded to float32 so that a pair has the same in every block it is in."""
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)).astype(np.float32).astype(float)
+
+
+def _spanning(d: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """The edges of the least spanning tree of mutual reachability, as _EDGE, from distances and core distances."""
     reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    left = np.ones(len(x), bool)
+    left = np.ones(len(d), bool)
     left[0] = False
-    near, to = reach[0].copy(), np.zeros(len(x), int)
-    edges = []
-    for _ in range(len(x) - 1):
-        j = int(np.argmin(np.where(left, near, np.inf)))
-        edges.append((float(near[j]), int(to[j]), j))
-        left[j] = False
+    near, to = reach[0].copy(), np.zeros(len(d), int)
+    near[0] = np.inf
+    edges = np.zeros(len(d) - 1, _EDGE)
+    for k in range(len(edges)):
+        j = int(np.argmin(near))
+        edges[k] = (near[j], to[j], j)
+        left[j], near[j] = False, np.inf
         closer = left & (reach[j] < near)
         near[closer], to[closer] = reach[j][closer], j
-    return sorted(edges)
+    return edges
+
+
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """The least spanning forest of edges, by length."""
+    edges = edges[np.lexsort((edges["b"], edges["a"], edges["w"]))]
+    ends = np.unique(np.concatenate([edges["a"], edges["b"]]), return_inverse=True)[1]
+    parent = list(range(len(ends)))
+    kept = np.zeros(len(edges), bool)
+    for k, (a, b) in enumerate(zip(ends[: len(edges)].tolist(), ends[len(edges) :].tolist())):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a != b:
+            parent[a] = b
+            kept[k] = True
+    return edges[kept]
+
+
+def _tree(x: np.ndarray, samples: int) -> list[tuple[float, int, int]]:
+    """The edges of the least spanning tree of mutual reachability, by length."""
+    d = _apart(x, x)
+    return sorted(_spanning(d, np.sort(d, 1)[:, min(samples, len(x) - 1)]).tolist())
 
 
 def density_labels(x: np.ndarray, least: int = 5, samples: int = 2) -> np.ndarray:
     """Labels of dense groups of `least` rows or more, -1 outside them: the hierarchy's most stable groups."""
     n = len(x)
-    if n < max(least, 2):
-        return np.full(n, -1)
+    return _labels(n, _tree(x, samples), least) if n >= max(least, 2) else np.full(n, -1)
+
+
+def _labels(n: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
+    """density_labels from the spanning tree's edges, by length."""
     size, parent, kids, height = [1] * n, list(range(n)), [None] * n, [0.0] * n
 
     def find(i: int) -> int:
@@ -102,7 +137,7 @@ def density_labels(x: np.ndarray, least: int = 5, samples: int = 2) -> np.ndarra
             i = parent[i]
         return i
 
-    for w, a, b in _tree(x, samples):
+    for w, a, b in edges:
         a, b = find(a), find(b)
         node = len(size)
         size.append(size[a] + size[b])
@@ -131,15 +166,22 @@ def density_labels(x: np.ndarray, least: int = 5, samples: int = 2) -> np.ndarra
         if not kids[node]:
             continue
         density = 1 / height[node] if height[node] > 0 else 1e12
-        big = [k for k in kids[node] if size[k] >= least]
-        if len(big) == 2:
+        under, same = [], list(kids[node])
+        while same:  # what meets at one length meets at once, in whatever order its edges came
+            k = same.pop()
+            if kids[k] and height[k] == height[node]:
+                same += kids[k]
+            else:
+                under.append(k)
+        big = [k for k in under if size[k] >= least]
+        if len(big) > 1:
             groups[g]["stability"] += (density - groups[g]["birth"]) * size[node]
             for k in big:
                 groups.append({"node": k, "birth": density, "stability": 0.0, "below": []})
                 groups[g]["below"].append(len(groups) - 1)
                 todo.append((k, len(groups) - 1))
         else:
-            for k in kids[node]:
+            for k in under:
                 if size[k] < least:
                     groups[g]["stability"] += (density - groups[g]["birth"]) * size[k]
                 else:
@@ -163,26 +205,113 @@ def density_labels(x: np.ndarray, least: int = 5, samples: int = 2) -> np.ndarra
     return labels
 
 
-def density(df: DataFrame, id_col: str, vector: str, least: int = 5, sample: int = DENSITY_SAMPLE) -> DataFrame:
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(b, i, v): rows dealt by hash to blocks of about `block`, each block's ids and its vectors' bytes in one row."""
+    parts = max(1, math.ceil(rows.count() / block))
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(batch["v"].to_numpy())
+        order = np.lexsort((*v.T[::-1], batch["i"].to_numpy())) if batch["i"].notna().all() else np.arange(len(v))
+        return pd.DataFrame({"b": [batch["b"].iloc[0]], "i": [batch["i"].to_numpy()[order]], "v": [v[order].tobytes()]})
+
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("i", "v"), F.lit(parts)).cast("int"))
+    return cut(dealt.groupBy("b").applyInPandas(pack, f"b int, i array<{rows.schema['i'].dataType.simpleString()}>, v binary"))
+
+
+def _density_tree(blocks: DataFrame, start: dict[int, int], dims: int, samples: int) -> list[tuple[float, int, int]]:
+    """The spanning tree of mutual reachability over the rows of all blocks, block b's from start[b] on.
+
+    Any two rows are together in a pair of blocks, whose own least tree joins them over no
+    longer an edge; so the least tree of all pairs' trees is that of all rows.
+    """
+    spark = blocks.sparkSession
+    tasks = 2 * max(1, spark.sparkContext.defaultParallelism)
+    pairs = blocks.select("b", "v").crossJoin(blocks.select(F.col("b").alias("c"), F.col("v").alias("w")))
+    vectors = lambda raw: np.frombuffer(raw).reshape(-1, dims)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for b, v, c, w in batch.itertuples(index=False):
+                d = _apart(vectors(v), vectors(w))
+                for at, part in ((b, d), (c, d.T)) if b != c else ((b, d),):
+                    part = np.concatenate([held[at], part], 1) if at in held else part
+                    held[at] = np.partition(part, samples, 1)[:, : samples + 1] if part.shape[1] > samples else part
+        yield pd.DataFrame([(b, d.shape[1], d.tobytes()) for b, d in held.items()], columns=["b", "n", "d"])
+
+    def core(batch: pd.DataFrame) -> pd.DataFrame:
+        d = np.sort(np.concatenate([np.frombuffer(d).reshape(-1, n) for n, d in zip(batch["n"], batch["d"])], 1), 1)
+        return pd.DataFrame({"b": [batch["b"].iloc[0]], "d": [d[:, min(samples, d.shape[1] - 1)].tobytes()]})
+
+    found = pairs.where("b <= c").coalesce(tasks).mapInPandas(nearest, "b int, n int, d binary").groupBy("b").applyInPandas(core, "b int, d binary")
+    sent = spark.sparkContext.broadcast({r.b: np.frombuffer(r.d) for r in found.collect()})
+
+    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, most = np.zeros(0, _EDGE), 100_000
+        for batch in batches:
+            for b, v, c, w in batch.itertuples(index=False):
+                own = [b] if b == c else [b, c]
+                x = np.concatenate([vectors(v), vectors(w)][: len(own)])
+                at = np.concatenate([np.arange(len(sent.value[k])) + start[k] for k in own])
+                edges = _spanning(_apart(x, x), np.concatenate([sent.value[k] for k in own]))
+                edges["a"], edges["b"] = at[edges["a"]], at[edges["b"]]
+                held = np.concatenate([held, edges])
+                if len(held) > most:
+                    held = _forest(held)
+                    most = max(most, 2 * len(held))
+        if len(held):
+            yield pd.DataFrame({"t": [int(held["a"][0] % 1009)], "e": [_forest(held).tobytes()]})
+
+    def join(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"t": [batch["t"].iloc[0]], "e": [_forest(np.concatenate([np.frombuffer(e, _EDGE) for e in batch["e"]])).tobytes()]})
+
+    made = cut(pairs.where("b < c" if len(start) > 1 else "b = c").coalesce(tasks).mapInPandas(trees, "t int, e binary"))
+    for groups in (8, 1):
+        made = made.withColumn("t", F.pmod(F.col("t"), F.lit(groups))).groupBy("t").applyInPandas(join, "t int, e binary")
+    return np.frombuffer(made.first().e, _EDGE).tolist()
+
+
+def density(df: DataFrame, id_col: str, vector: str, least: int = 5, sample: int | None = None, samples: int = 2) -> DataFrame:
     """(id, cluster): dense groups of any form, -1 for rows outside them.
 
-    The groups are fitted on the `sample` rows with the lowest hashes, all rows where there
-    are no more; then each row gets the group of its nearest sampled row if it is not
-    farther than twice that group's mean nearest distance.
+    The groups are fitted on all rows: core distances and the spanning tree come from the
+    pairs of blocks of DENSITY_BLOCK rows, so time grows with the square of the rows; the
+    driver holds the tree, an edge a row, and the labels. Only where `sample` is given are
+    they fitted on so many rows with the lowest hashes; then each row gets the group of its
+    nearest sampled row if it is not farther than twice that group's mean nearest distance.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    if sample is not None:
+        return _density_sampled(rows, id_col, least, sample, samples)
+    blocks = _blocks(rows, DENSITY_BLOCK)
+    sizes = sorted(tuple(r) for r in blocks.select("b", F.size("i"), (F.length("v") / 8 / F.size("i")).cast("int")).collect())
+    start, n = {}, 0
+    for b, size, _ in sizes:
+        start[b], n = n, n + size
+    labels = _labels(n, _density_tree(blocks, start, sizes[0][2], samples), least) if n >= max(least, 2) else np.full(n, -1)
+    sent = df.sparkSession.sparkContext.broadcast(labels.astype("int32"))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b, ids in batch.itertuples(index=False):
+                yield pd.DataFrame({id_col: ids, "cluster": sent.value[start[b] : start[b] + len(ids)]})
+
+    return blocks.select("b", "i").mapInPandas(assign, f"{id_col} {rows.schema['i'].dataType.simpleString()}, cluster int")
+
+
+def _density_sampled(rows: DataFrame, id_col: str, least: int, sample: int, samples: int) -> DataFrame:
     picked = rows.orderBy(F.xxhash64("i"), "i").limit(sample).collect()
     if not picked:
         return rows.select(F.col("i").alias(id_col), F.lit(-1).alias("cluster"))
     x = np.array([r.v for r in picked])
-    labels = density_labels(x, least)
+    labels = density_labels(x, least, samples)
     gap = np.full(max(1, labels.max() + 1), 0.0)
     for g in range(labels.max() + 1):
         own = x[labels == g]
         d = np.sqrt(np.maximum((own**2).sum(1)[:, None] + (own**2).sum(1)[None] - 2 * own @ own.T, 0))
         np.fill_diagonal(d, np.inf)
         gap[g] = 2 * d.min(1).mean()
-    sent = df.sparkSession.sparkContext.broadcast((x, labels, gap))
+    sent = rows.sparkSession.sparkContext.broadcast((x, labels, gap))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, labels, gap = sent.value

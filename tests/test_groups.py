@@ -41,6 +41,20 @@ def test_density_edges():
     assert labels[-1] == -1 and len(set(labels[:30])) == 2
 
 
+def test_density_is_fitted_on_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.uniform(0, 100, (3000, 6)), *(rng.normal(0, 0.01, (7, 6)) + 100 + 20 * k for k in range(30))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>")
+    got = {r.id: r.cluster for r in groups.density(df, "id", "v").collect()}
+    want = groups.density_labels(x)
+    assert len(got) == len(x)
+    for k in range(30):  # each small group is found whole and alone
+        ids = range(3000 + 7 * k, 3007 + 7 * k)
+        assert len({got[i] for i in ids}) == 1 and got[ids[0]] >= 0 and sum(c == got[ids[0]] for c in got.values()) == 7
+    names = {(int(want[i]), got[i]) for i in got}
+    assert len(names) == len({a for a, _ in names}) == len({b for _, b in names})  # the same groups as of all rows at once
+
+
 def runs(spark):
     schema = "run_id bigint, clusters array<struct<id int, size int, is_noise boolean, sample_ids array<string>, centroid_emails array<string>>>"
     ids = lambda p, n: [f"{p}{i}" for i in range(n)]
