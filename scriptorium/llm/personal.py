@@ -105,6 +105,26 @@ _DE_BEFORE = re.compile(
 )
 _DE_NUMBER = re.compile(rf"\d{{1,4}}{_S}?[a-h]?(?!\w)(?:,{_S}(?:\d{{1,2}}\.{_S}(?:OG|Stock|Etage)|EG|Whg\.?{_S}\w+))?")
 
+# The parts of a found address: the name of its street, and the codes around it.
+_BOX_WHOLE = re.compile(rf"({_BOX.pattern[:-1]})(.*)", re.S)
+_UNIT_FIRST = re.compile(rf"{_UNIT},{_S}")
+_STREET_FORMS = [
+    re.compile(form, re.S)
+    for form in (
+        rf"\d{{1,5}}[A-Za-z]?{_S}(?P<name>(?:[{_U}][\w’'\-]+{_S}){{1,3}}?)(?:{_EN_STREET})(?!\w)\.?(?:{_AFTER})",
+        rf"\d{{1,4}}(?:{_S}?(?:bis|ter|[A-D]))?,?{_S}(?:{_FR_STREET}){_S}(?:(?:de{_S}la|de{_S}l[’']|des|du|de|d[’']|l[’']|la|le|les){_S}?)?(?P<name>{_WORDS})(?:,.*)?",
+        rf"(?:{_ES_STREET}){_S}(?:(?:de{_S}las|de{_S}los|de{_S}la|del|de|las|los|la|el){_S})?(?P<name>{_WORDS})(?:,{_S}|{_S}(?:n\.?º{_S})?)\d.*",
+        rf"(?P<name>[{_U}][\wäöüß\-]+){_S}(?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ring|Damm|Ufer|Markt){_S}\d.*",
+        rf"(?:Am|An{_S}der|Im|Zum|Zur|Auf{_S}dem){_S}(?P<name>[{_U}][\w’'\-]+){_S}\d.*",
+        rf"(?P<name>[{_U}][a-zäöüß\-]*?[a-zäöüß])-?(?:{_DE_STREET}){_S}\d.*",
+    )
+]
+_NAME_WORD = re.compile(rf"[{_U}](?:[\w’'\-]*\w)?")
+_CODES = re.compile(
+    rf"((?<!\w)(?:Flat|Apt|Apartment|Unit|Suite|Ste|Room|Floor|Fl|apt|appt|bât|app|Whg)\.?{_S}#?|#{_S}?)\w+|\d+|(?<![\w.])[A-Z](?![\w.])"
+    rf"|(?<=\d)(?:[A-Z]|[a-dfgh]|e(?!{_S}étage))(?!\w)|(?<=\d{_S})[a-h](?!\w)"
+)
+
 _CAPS = re.compile(rf"[{_U}][\w’'\-]*")
 _INITIAL = re.compile(rf"(?<![\w.])([{_U}]\.)(?:{_S}?[{_U}]\.)?{_S}$")
 _MIDDLE = re.compile(rf"{_S}[{_U}]\.(?:{_S}?[{_U}]\.)?(?={_S})")
@@ -443,6 +463,38 @@ def _name_word(key: bytes, word: str, given: bool, salt: int) -> str:
     return out.upper() if word.isupper() and len(word) > 1 else out
 
 
+def _address_like(key: bytes, seed: str, found: str) -> str:
+    """An address of the same form: numbers, codes and each word of the street's name replaced; street types, particles and unit words stay."""
+    place = 0
+
+    def next_seed() -> str:
+        nonlocal place
+        place += 1
+        return f"{seed}\x1f{place}"
+
+    def code(m: re.Match) -> str:
+        head = m.group(1) or ""
+        return head + _shaped(key, "address", next_seed(), m.group()[len(head) :])
+
+    def word(m: re.Match) -> str:
+        n, a = divmod(_number(key, "address", next_seed()), len(_HEADS))
+        n, b = divmod(n, len(_HEADS))
+        out = _HEADS[a] + _HEADS[b].lower() + _TAILS[n % len(_TAILS)]
+        return out.upper() if m.group().isupper() and len(m.group()) > 1 else out
+
+    box = _BOX_WHOLE.fullmatch(found)
+    if box:
+        return box.group(1) + _CODES.sub(code, box.group(2))
+    unit = _UNIT_FIRST.match(found)
+    at = unit.end() if unit else 0
+    for form in _STREET_FORMS:
+        m = form.fullmatch(found, at)
+        if m:
+            start, end = m.span("name")
+            return _CODES.sub(code, found[:start]) + _NAME_WORD.sub(word, found[start:end]) + _CODES.sub(code, found[end:])
+    return _NAME_WORD.sub(word, _CODES.sub(code, found))
+
+
 def surrogate(key: bytes, kind: str, found: str, salts: dict | None = None) -> str:
     """A keyed replacement of the same kind and form."""
     salt = (salts or {}).get((kind, canonical(kind, found)), 0)
@@ -465,12 +517,7 @@ def surrogate(key: bytes, kind: str, found: str, salts: dict | None = None) -> s
                 out.append(_shaped(key, kind, seed, w) if w.endswith(".") else w)
         return "".join(out)
     if kind == "address":
-        n = _number(key, kind, seed)
-        return re.sub(
-            rf"\d+|[{_U}][\w’'\-]{{3,}}(?={_S}(?:{_EN_STREET})\b)",
-            lambda m: _shaped(key, kind, seed + str(m.start()), m.group()) if m.group()[0].isdigit() else _HEADS[n % 24] + _TAILS[n // 24 % 20],
-            found,
-        )
+        return _address_like(key, seed, found)
     return _shaped(key, kind, seed, found)
 
 
