@@ -10,8 +10,9 @@ A replacement is keyed: the same item gets the same one everywhere (names by the
 so that parts of a name stay parts of one), different items different ones. Surrogates
 keep the form of the item: digits for digits, letters of the same script and case, given
 names of the same gender where it is known, mail domains under a reserved one. Keyed
-hashes can meet; `collisions` finds all such items of the corpus, and replacing again with
-its result gives all but the first of them the next free hash.
+hashes can meet; `collisions` finds all such items of the corpus, for names their words, and
+salts for all but one of them with which none meet, in rounds that check the new surrogates
+too. Placeholders have codes of 80 bits, which do not meet in practice and are not checked.
 
 Defined cases: null and empty texts have no item and stay as they are; a text is read
 whole; overlapping finds count for the first of email, identity number, phone, address,
@@ -20,16 +21,18 @@ name; repeated rows are treated each; other columns pass unchanged.
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut
+
 #: Names that may be broadcast; with more, each row is joined with the names it holds.
 MAX_NAMES = 500_000
 
@@ -412,7 +415,7 @@ _FEMALE = re.compile(r"(?:a|e|ë|th|ie|y|is|ine|ette)$")
 
 
 def _number(key: bytes, *parts: str) -> int:
-    return int.from_bytes(hmac.new(key, "\x1f".join(parts).encode(), hashlib.sha256).digest()[:12], "big")
+    return int.from_bytes(hmac.digest(key, "\x1f".join(parts).encode(), "sha256")[:12], "big")
 
 
 def canonical(kind: str, found: str) -> str:
@@ -451,18 +454,43 @@ def _shaped(key: bytes, kind: str, seed: str, found: str) -> str:
 
 
 def _name_word(key: bytes, word: str, given: bool, salt: int) -> str:
+    """The surrogate of a name's word; each salt has a syllable more, so that the space grows with the collisions."""
     n = _number(key, "g" if given else "f", word.casefold(), str(salt))
     if given:
         names = _WOMEN if _FEMALE.search(word.casefold()) else _MEN
         n, a = divmod(n, len(names))
-        out = names[a] + ("" if n % 4 == 0 else _TAILS[n // 4 % len(_TAILS)][:2])
+        n, b = divmod(n, 4 * len(_TAILS))
+        out = names[a] + ("" if b % 4 == 0 else _TAILS[b // 4][:2])
     else:
         n, a = divmod(n, len(_HEADS))
         n, b = divmod(n, len(_HEADS))
-        out = _HEADS[a] + _HEADS[b].lower() + _TAILS[n % len(_TAILS)]
+        n, c = divmod(n, len(_TAILS))
+        out = _HEADS[a] + _HEADS[b].lower() + _TAILS[c]
+    for _ in range(salt):
+        n, d = divmod(n, len(_HEADS))
+        out += _HEADS[d].lower()
     return out.upper() if word.isupper() and len(word) > 1 else out
 
 
+@lru_cache(1000)
+def _initial(key: bytes, letter: str) -> str:
+    """An initial's surrogate: a keyed order of the alphabet, so that different initials stay different."""
+    letters = [c for c in _INITIALS if c.isascii() == letter.isascii()]
+    order = sorted(letters, key=lambda c: _number(key, "initial", c))
+    return order[letters.index(letter)] if letter in letters else letter
+
+
+_INITIALS = "".join(c for c in map(chr, range(65, 0x17F)) if re.match(f"[{_U}]", c))
+
+
+def name_parts(kind: str, found: str) -> list[tuple[str, str]]:
+    """(role, text) of the parts of a name: g given and f family names, i initials, and what lies between as it is."""
+    words = re.findall(rf"{_W}[\w’'\-]*\.?|[^\w]+|\d+", found)
+    plain = [k for k, w in enumerate(words) if w[0].isalpha() and not w.endswith(".") and w[0].isupper()]
+    first = plain and (plain[-1] if "," in found else plain[0] if len(plain) > 1 or kind == "given" else None)
+    return [("" if not w[0].isalpha() else "i" if w.endswith(".") else "" if k not in plain else "g" if k == first else "f", w) for k, w in enumerate(words)]
+
+
 def _address_like(key: bytes, seed: str, found: str) -> str:
     """An address of the same form: numbers, codes and each word of the street's name replaced; street types, particles and unit words stay."""
     place = 0
@@ -496,42 +524,72 @@ def _address_like(key: bytes, seed: str, found: str) -> str:
 
 
 def surrogate(key: bytes, kind: str, found: str, salts: dict | None = None) -> str:
-    """A keyed replacement of the same kind and form."""
+    """A keyed replacement of the same kind and form; salts are those of items, for names of their words."""
+    if kind in ("g", "f"):
+        return _name_word(key, found, kind == "g", (salts or {}).get((kind, found.casefold()), 0))
     salt = (salts or {}).get((kind, canonical(kind, found)), 0)
     seed = f"{canonical(kind, found)}\x1f{salt}" if salt else canonical(kind, found)
+    more = "0" * max(0, salt - 3)  # room where all numbers of the form are taken
     if kind == "email":
         return f"u{_number(key, kind, seed) % 10**12:012d}@mail.example"
     if kind == "phone":
         head = re.match(r"\+\d{1,3}|00\d{1,2}(?=\D)|\(?0", found)
         kept = head.group() if head else ""
-        return kept + _shaped(key, kind, seed, found[len(kept) :])
+        return kept + _shaped(key, kind, seed, found[len(kept) :] + more)
     if kind in ("name", "given"):
-        words = re.findall(rf"{_W}[\w’'\-]*\.?|[^\w]+|\d+", found)
-        plain = [w for w in words if w[0].isalpha() and not w.endswith(".") and w[0].isupper()]
-        comma = "," in found
         out = []
-        for w in words:
-            if w in plain:
-                out.append(_name_word(key, w, (w == plain[-1]) if comma else (w == plain[0] and (len(plain) > 1 or kind == "given")), salt))
-            else:
-                out.append(_shaped(key, kind, seed, w) if w.endswith(".") else w)
+        for role, w in name_parts(kind, found):
+            if role == "i":
+                w = "".join(_initial(key, c) if c.isupper() else c for c in w)
+            elif role:
+                w = _name_word(key, w, role == "g", (salts or {}).get((role, w.casefold()), 0))
+            out.append(w)
         return "".join(out)
     if kind == "address":
-        return _address_like(key, seed, found)
-    return _shaped(key, kind, seed, found)
+        return _address_like(key, seed, re.sub(r"\d+", lambda m: m.group() + more, found, count=1))
+    return _shaped(key, kind, seed, found + more)
 
 
 def collisions(found: DataFrame, key: bytes) -> dict:
-    """{(kind, item): salt} of items whose surrogates would meet others', after `found` of items(); refused above MAX_NAMES."""
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kinds = ["given" if alone else kind for kind, alone in zip(batch["kind"], batch["alone"])]
-            rows = [(k, canonical(k, t), surrogate(key, k, t)) for k, t in zip(kinds, batch["found_text"])]
-            yield pd.DataFrame([(k, c, canonical(k, s)) for k, c, s in rows], columns=["kind", "item", "made"]).drop_duplicates()
+    """{(kind, item): salt} with which no two items have one surrogate, after `found` of items(); refused above MAX_NAMES.
+
+    Names are told apart by their words, kinds g and f, so that a word has one surrogate in
+    all names. Of the items that meet, the one with the lowest salt, then the first, keeps
+    its surrogate and the others take the next salt, until none meet.
+    """
+    schema = "kind string, item string, found string, salt int, made string"
 
-    made = found.select("kind", "found_text", "alone").distinct().mapInPandas(keyed, "kind string, item string, made string").distinct()
-    met = made.groupBy("kind", "made").agg(F.array_sort(F.collect_set("item")).alias("met")).where("size(met) > 1")
-    rows = met.select("kind", F.posexplode("met").alias("salt", "item")).where("salt > 0").limit(MAX_NAMES + 1).collect()
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = set()
+            for kind, text, alone in zip(batch["kind"], batch["found_text"], batch["alone"]):
+                if kind == "name":
+                    out |= {(role, w.casefold(), w.casefold()) for role, w in name_parts("given" if alone else kind, text) if role in ("g", "f")}
+                else:
+                    out.add((kind, canonical(kind, text), text))
+            yield pd.DataFrame(sorted(out), columns=["kind", "item", "found"])
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for kind, item, text, salt, before in batch[["kind", "item", "found", "salt", "made"]].itertuples(index=False):
+                like = "name" if kind in ("g", "f") else kind
+                made.append(before or canonical(like, surrogate(key, kind, text, {(kind, item): salt} if salt else None)))
+            yield batch.assign(made=made)[["kind", "item", "found", "salt", "made"]]
+
+    rows = found.select("kind", "found_text", "alone").distinct().mapInPandas(units, "kind string, item string, found string")
+    rows = rows.groupBy("kind", "item").agg(F.min("found").alias("found")).select("*", F.lit(0).alias("salt"), F.lit(None).cast("string").alias("made"))
+    space = F.when(F.col("kind").isin("g", "f"), "name").otherwise(F.col("kind"))
+    state = cut(rows.mapInPandas(make, schema))
+    while True:
+        shared = state.groupBy(space.alias("space"), "made").agg(F.min(F.struct("salt", "kind", "item")).alias("keeps"), F.count("*").alias("n")).where("n > 1")
+        if shared.isEmpty():
+            break
+        held = state.withColumn("space", space).join(shared.select("space", "made", "keeps"), ["space", "made"], "left")
+        meets = F.col("keeps").isNotNull() & (F.struct("salt", "kind", "item") != F.col("keeps"))
+        again = held.select("kind", "item", "found", F.when(meets, F.col("salt") + 1).otherwise(F.col("salt")).alias("salt"), F.when(~meets, F.col("made")).alias("made"))
+        state = cut(again.mapInPandas(make, schema))
+    rows = state.where("salt > 0").select("kind", "item", "salt").limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
         raise ValueError("too many collisions: the surrogates' space is too small")
     return {(r.kind, r["item"]): r.salt for r in rows}
@@ -549,10 +607,10 @@ def replaced(df: DataFrame, fields: list[str], names: DataFrame, key: bytes, how
         if how == "surrogate":
             return surrogate(key, kind, found, salts)
         kind = "name" if kind == "given" else kind
-        return f"[{kind.upper()}_{_number(key, kind, canonical(kind, found)) % 16**8:08x}]"
+        return f"[{kind.upper()}_{_number(key, kind, canonical(kind, found)) % 16**20:020x}]"
 
     def write(texts: pd.Series, held: pd.Series) -> pd.Series:
-        out = []
+        out, once = [], lru_cache(100_000)(put)
         for text, own in zip(texts, held):
             if not text:
                 out.append(text)
@@ -560,7 +618,7 @@ def replaced(df: DataFrame, fields: list[str], names: DataFrame, key: bytes, how
             lexicon = sent.value if sent is not None else Lexicon.of([(n["kind"], n["name"]) for n in (own if own is not None else [])])
             parts, at = [], 0
             for s, e, kind in find_items(text, lexicon):
-                parts += [text[at:s], put(kind, text[s:e])]
+                parts += [text[at:s], once(kind, text[s:e])]
                 at = e
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)

@@ -117,3 +117,27 @@ def test_streets_are_replaced(text, kept, gone):
     made = personal.surrogate(b"k", "address", text)
     assert re.fullmatch(kept, made), made
     assert not any(w.casefold() in made.casefold() for w in gone.split())
+
+
+def test_no_surrogate_is_shared(spark):
+    """More names than the given and family names' space has, and short numbers that fill theirs."""
+    syllables = [a + b for a in "bcdfghjklmnprstvwz" for b in "aeiou"]
+    words = ["Q" + a + b for a in syllables for b in syllables]
+    given, family = words[:1000], words[-6000:]
+    people = [f"{given[i % 1000]} {f}" for i, f in enumerate(family)] + [f"{family[0]}, {given[1]}"] + [f"{c}. {family[7]}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    rows = [("name", p, False) for p in people] + [("name", g, True) for g in given] + [("name", f, False) for f in family]
+    rows += [("address", f"PO Box {i}", False) for i in range(1, 100)] + [("phone", f"555-{i:04d}", False) for i in range(2000)]
+    salts = personal.collisions(spark.createDataFrame(rows, "kind string, found_text string, alone boolean"), b"k")
+    made = lambda kind, text: personal.surrogate(b"k", kind, text, salts)
+    items = {("given" if alone else kind, text) for kind, text, alone in rows}
+    for kinds in (("name", "given"), ("address",), ("phone",)):
+        own = [x for x in items if x[0] in kinds]
+        assert len({personal.canonical(kinds[0], made(*x)) for x in own}) == len({personal.canonical(*x) for x in own})
+    for i, f in enumerate(family):  # parts of a name stay parts of it
+        assert made("name", f"{given[i % 1000]} {f}") == f"{made('given', given[i % 1000])} {made('name', f)}"
+    assert made("name", f"{family[0]}, {given[1]}") == f"{made('name', family[0])}, {made('given', given[1])}"
+
+
+def test_placeholder_codes_are_long(spark):
+    body = personal.replaced(mails(spark), FIELDS, names(spark), b"k").where("id = '1'").first().body
+    assert all(len(code) >= 16 for code in re.findall(r"\[[A-Z]+_(\w+)\]", body)) and "[NAME_" in body
