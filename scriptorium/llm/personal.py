@@ -179,9 +179,8 @@ def _taken(start: int, end: int, spans: list) -> bool:
     return any(s < end and start < e for s, e, _ in spans)
 
 
-def _names(text: str, lexicon: Lexicon, spans: list) -> list[tuple[int, int, str]]:
-    given, family = lexicon.given, lexicon.family
-    parts = []  # (start, end, kind)
+def _capitals(text: str) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words that may be names, without possessives and marks at their ends."""
     for m in _CAPS.finditer(text):
         word = m.group()
         start, end = m.span()
@@ -191,6 +190,13 @@ def _names(text: str, lexicon: Lexicon, spans: list) -> list[tuple[int, int, str
             word, end = word[:-2], end - 2
         while word and word[-1] in "-'’":
             word, end = word[:-1], end - 1
+        yield word, start, end
+
+
+def _names(text: str, lexicon: Lexicon, spans: list) -> list[tuple[int, int, str]]:
+    given, family = lexicon.given, lexicon.family
+    parts = []  # (start, end, kind)
+    for word, start, end in _capitals(text):
         kind = None
         if word in family:
             for particles in family[word]:
@@ -370,11 +376,28 @@ def _rows_with_names(df: DataFrame, names: DataFrame, fields: list[str]) -> tupl
     if few:
         lexicon = df.sparkSession.sparkContext.broadcast(Lexicon.of([tuple(r) for r in names.collect()]))
         return df.withColumn("_names", F.lit(None).cast("array<struct<kind:string,name:string>>")), lexicon
-    text = F.concat_ws(" ", *(F.col(f) for f in fields))
-    held = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}’'\-]+"), F.lit(0)))
     keyed = df.withColumn("_row", F.xxhash64(*fields))
-    last = names.select("kind", "name", F.lower(F.regexp_extract("name", r"(\S+)$", 1)).alias("word"))
-    used = keyed.select("_row", F.explode(F.transform(held, lambda w: F.lower(w))).alias("word")).distinct().join(last, "word")
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row, *texts in batch.itertuples(index=False):
+                words = {w for text in texts if text for w, _, _ in _capitals(text)}
+                words |= {part for w in words if "-" in w for part in w.split("-")}
+                out += [(row, w) for w in words if w]
+            yield pd.DataFrame(out, columns=["_row", "word"])
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for kind, name in batch.itertuples(index=False):
+                last = name.rpartition(" ")[2]
+                out += [(kind, name, word) for word in {last, last.upper()}]
+            yield pd.DataFrame(out, columns=["kind", "name", "word"])
+
+    last = names.select("kind", "name").mapInPandas(forms, "kind string, name string, word string")
+    words = keyed.select("_row", *fields).mapInPandas(held, "_row long, word string")
+    used = words.distinct().join(last, "word")
     used = used.groupBy("_row").agg(F.collect_set(F.struct("kind", "name")).alias("_names"))
     return keyed.join(used, "_row", "left").drop("_row"), None
 

@@ -141,3 +141,15 @@ def test_no_surrogate_is_shared(spark):
 def test_placeholder_codes_are_long(spark):
     body = personal.replaced(mails(spark), FIELDS, names(spark), b"k").where("id = '1'").first().body
     assert all(len(code) >= 16 for code in re.findall(r"\[[A-Z]+_(\w+)\]", body)) and "[NAME_" in body
+
+
+@pytest.mark.parametrize("text", ["see Thalelby’s plan", "Thalelby's own", "Bye\n-Anna", "Bye\nAnna-", "Dear Anna-Peter,", "Dear ANNA-PETER,", "ask d'Anna now", "GROSSELBY called", "de la Torvena-", "O'Dranley’s and Kestrow-Vale's"])
+def test_large_lexicon_reads_words_alike(spark, monkeypatch, text):
+    df = spark.createDataFrame([("1", text, None, None)], "id string, body string, subject string, to_addr string")
+    lexicon = names(spark).union(spark.createDataFrame([("f", "Großelby")], "kind string, name string"))
+    get = lambda: sorted((r.start, r.end, r.kind, r.alone) for r in personal.items(df, "id", FIELDS, lexicon).collect())
+    want = get()
+    assert want
+    monkeypatch.setattr(personal, "MAX_NAMES", 3)
+    assert get() == want
+    assert personal.replaced(df, FIELDS, lexicon, b"k").first().body != text
