@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.automaton import SuffixAutomaton
@@ -268,7 +268,7 @@ def _inherit(rows: pd.DataFrame, least: int = RUN, share: float = SHARE) -> pd.D
     """Own lines of a thread's messages that are inherited from others' text."""
     automata: dict = {}
     parsed = []
-    for row in rows.sort_values(["at", "item"], na_position="last").itertuples(index=False):
+    for row in rows.sort_values(["at", "item", "field"], na_position="last").itertuples(index=False):
         lines, marks = structure(row.text)
         parsed.append((row, lines, marks))
     quoted = SuffixAutomaton()
@@ -320,11 +320,11 @@ def old_lines(messages: DataFrame) -> DataFrame:
 
     keyed = rows.where("thread is not null")
     sizes = keyed.groupBy("thread").agg(F.countDistinct("item", "field").alias("n")).where("n > 1")
-    small = keyed.join(sizes.where(F.col("n") <= MAX_THREAD).select("thread"), "thread", "left_semi")
-    small = small.groupBy("thread", "item", "field").agg(F.min(F.struct("text", "sender", "at")).alias("m"))
-    small = small.select("thread", "item", "field", "m.sender", "m.at", "m.text")
+    once = keyed.groupBy("thread", "item", "field").agg(F.min(F.struct("text", "sender", "at")).alias("m"))
+    once = once.select("thread", "item", "field", "m.sender", "m.at", "m.text")
+    small = once.join(sizes.where(F.col("n") <= MAX_THREAD).select("thread"), "thread", "left_semi")
     inherited = small.groupBy("thread").applyInPandas(lambda r: _inherit(r), _OUT)
-    large = keyed.join(sizes.where(F.col("n") > MAX_THREAD).select("thread"), "thread", "left_semi")
+    large = once.join(sizes.where(F.col("n") > MAX_THREAD).select("thread"), "thread", "left_semi")
 
     tails = read.where("reason is null").drop("reason").distinct()
     common = tails.groupBy("sender", "line").agg(F.countDistinct("item").alias("n")).where(F.col("n") >= RECUR).select("sender", "line")
@@ -359,14 +359,21 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _inherited_by_join(rows: DataFrame) -> DataFrame:
-    """Inherited lines of threads too large for a task: per run only its first quote or its first two senders matter."""
+    """Inherited lines of threads too large for a task: of each run only quotes and its first messages by two senders matter.
+
+    Messages come in the order of _inherit: by time, those without one last, then by item and field.
+    """
     schema = "thread string, run long, own boolean, item string, field string, sender string, at timestamp, lines array<int>, start int"
     runs = rows.select("item", "field", "thread", "sender", "at", "text").mapInPandas(_runs, schema)
-    first = runs.where("own").groupBy("thread", "run", "sender").agg(F.min("at").alias("at"))
-    first = first.groupBy("thread", "run").agg(F.min(F.struct("at", "sender")).alias("f"), F.countDistinct("sender").alias("senders"))
+    runs = runs.withColumn("place", F.struct(F.col("at").isNull().alias("late"), F.coalesce("at", F.lit(0).cast("timestamp")).alias("at"), "item", "field"))
+    by = runs.where("own").groupBy("thread", "run", "sender").agg(F.min("place").alias("place"))
+    by = by.withColumn("k", F.row_number().over(Window.partitionBy("thread", "run").orderBy("place"))).where("k <= 2")
+    of = lambda c, k: F.min(F.when(F.col("k") == k, F.col(c)))
+    first = by.groupBy("thread", "run").agg(of("place", 1).alias("first"), of("sender", 1).alias("first_sender"), of("place", 2).alias("other"))
     quoted = runs.where("not own").select("thread", "run").distinct().withColumn("quoted", F.lit(True))
     hit = runs.where("own").join(quoted, ["thread", "run"], "left").join(first, ["thread", "run"], "left")
-    hit = hit.where(F.coalesce("quoted", F.lit(False)) | ((F.col("f.at") < F.col("at")) & (F.col("f.sender") != F.col("sender"))))
+    before = F.when(F.col("sender").eqNullSafe(F.col("first_sender")), F.col("other")).otherwise(F.col("first"))
+    hit = hit.where(F.coalesce("quoted", F.lit(False)) | F.coalesce(before < F.col("place"), F.lit(False)))
     touched = hit.select("item", "field", F.explode(F.arrays_zip(F.col("lines").alias("l"), F.sequence("start", F.col("start") + RUN - 1).alias("w"))).alias("x"))
     covered = touched.select("item", "field", F.col("x.l").alias("line"), F.col("x.w").alias("word")).distinct().groupBy("item", "field", "line").count()
 

@@ -70,3 +70,21 @@ def test_standing_endings(spark):
     got = {(r.item, r.line_no, r.reason) for r in newtext.old_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(f"i{k}", 4, "r") for k in range(4)}
     assert newtext.old_lines(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_large_threads_inherit_alike(spark, monkeypatch):
+    """A-B-A threads, null times and senders, equal times, an item that comes twice."""
+    at = dt.datetime(2024, 1, 1)
+    text = lambda k: " ".join(f"{w}{k}" for w in OLD.split())
+    sent = [
+        ("a", [("ann", 1), ("bob", 2), ("ann", 3), ("bob", 4)]), ("b", [("cy", None), ("ann", 1), ("bob", 2)]), ("c", [("ann", 1), ("bob", 1), ("cy", 1)]),
+        ("d", [("ann", None), ("bob", None)]), ("e", [(None, 1), ("ann", 2), (None, 3)]), ("f", [("ann", 1), (None, 2), (None, 3)]), ("g", [("ann", 1), ("ann", 2)]),
+    ]
+    rows = [(f"{k}{n}", "body", "t", who, when and at + dt.timedelta(when), f"Number {k} {n}\n{text(k)}", 1) for k, messages in sent for n, (who, when) in enumerate(messages)]
+    rows += [("a0", "body", "t", "ann", at + dt.timedelta(1), f"zzz\n{text('g')}", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    get = lambda: {(r.item, r.line_no, r.reason) for r in newtext.old_lines(df).collect()}
+    want = get()
+    assert {i for i, _, _ in want} == {"a1", "a2", "a3", "b0", "b2", "c1", "c2", "d1", "e1", "e2", "f1", "f2"}
+    monkeypatch.setattr(newtext, "MAX_THREAD", 3)
+    assert get() == want
