@@ -20,11 +20,19 @@ bits of each.
 2. Each class's chains go to hash buckets as packed arrays, where chains that only one
    class has are dropped and the rest counted.
 3. Classes keep their rarest chains; classes that share enough good ones are candidates.
-4. The full Hamming check compares the word runs of the candidates.
-
-Buckets are as many as keep each near BUCKET_ROWS chains, whatever the input's size. A
-chain that m classes share costs m^2/2 candidates in its bucket, but only while it is
-among the rarest of these classes, each of which is a different text.
+4. Chains of `hot` classes or more (a disclaimer's, a template's) generate no candidates. Most
+   classes leave them out anyway, as they may leave out their most frequent chains. Classes
+   whose share of hot chains is greater are heavy; a pair with a class that is not heavy
+   is found by other chains. Pairs of two heavy classes are found by single elements, chains
+   of one: of n elements a class keeps the n - s n + 1 rarest, so that a pair shares one. Texts
+   that are boilerplate for the greater part keep some hot elements even so; their lists are
+   compared in blocks of that many by as many classes.
+5. The full Hamming check compares the word runs of the candidates.
+
+Buckets are as many as keep each near a fixed number of chains, whatever the input's size. What
+so many classes have that a bucket would grow with the input is known beforehand from a
+sample of classes: it counts as most frequent of all and is sent to no bucket. The order of
+chains only has to be the same for all classes, so no sample changes the result.
 
 Defined cases: null and empty texts and those with fewer than `min_words` words take no
 part; repeated rows of one id count once; an id with several texts takes part with each;
@@ -35,19 +43,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import neighbours, shingles, words
+from scriptorium.llm.words import mix, neighbours, shingles, words
 from scriptorium.session import cut
 from scriptorium.tables import spread
 
-#: Chains that one bucket should hold; a task sorts one bucket in memory at a time.
-BUCKET_ROWS = 2_000_000
 #: Pairs that a bucket lists before it counts and passes them on.
 PAIR_ROWS = 2_000_000
 #: Classes, of eight bytes each, that may be broadcast.
@@ -63,24 +69,16 @@ def text_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(bare).alias("cls")).where("id is not null and text is not null")
 
 
-def _kept(n: int, similarity: float, need: float) -> tuple[int, int]:
-    """Of n chains: how many of the rarest to keep, and how many of these a partner shares."""
-    common = math.ceil((2 * similarity - 1) * n - 1e-9)
-    want = max(1, min(common, int(need * n)))
-    return n - common + want, want
-
-
 def _pack(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
-def _split(by: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of each value of an array of part numbers, in their order."""
+def _split(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each part number that occurs in an array, in their order."""
     order = np.argsort(by, kind="stable")
-    bounds = np.searchsorted(by[order], np.arange(parts + 1))
-    for part in range(parts):
-        if bounds[part] < bounds[part + 1]:
-            yield part, order[bounds[part] : bounds[part + 1]]
+    starts = np.flatnonzero(np.r_[True, by[order][1:] != by[order][:-1]]) if len(by) else []
+    for start, end in zip(starts, [*starts[1:], len(by)]):
+        yield int(by[order[start]]), order[start:end]
 
 
 def _small(numbers: np.ndarray) -> np.ndarray:
@@ -93,103 +91,199 @@ def _wide(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(packed) // n]).astype(np.uint32)
 
 
-def _lists(classes: np.ndarray, sizes: np.ndarray, *values: np.ndarray) -> list[bytes]:
-    """Values that come class by class, packed: each class and its size once, and how many are its own."""
+def _lists(classes: np.ndarray, sizes: np.ndarray, common: np.ndarray, *values: np.ndarray) -> list[bytes]:
+    """Values that come class by class, packed: each class, its size and its number of frequent chains once, and how many are its own."""
     starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
     lengths = np.diff(np.r_[starts, len(classes)])
-    return _pack(classes[starts], _small(sizes[starts]), _small(lengths), *values)
+    return _pack(classes[starts], _small(sizes[starts]), _small(common[starts]), _small(lengths), *values)
 
 
 def _unpacked(rows: pd.DataFrame, *kinds: tuple[str, type]) -> list[np.ndarray]:
-    """Classes and sizes, repeated for each value, and the values of rows of _lists."""
+    """Classes, sizes and numbers of frequent chains, repeated for each value, and the values of rows of _lists."""
+    if not len(rows):
+        return [np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32), *(np.empty(0, kind) for _, kind in kinds)]
     classes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["cls"]])
-    sizes, lengths = (np.concatenate([_wide(x, len(c) // 8) for x, c in zip(rows[name], rows["cls"])]) for name in ("size", "own"))
+    sizes, common, lengths = (np.concatenate([_wide(x, len(c) // 8) for x, c in zip(rows[name], rows["cls"])]) for name in ("size", "common", "own"))
     values = [np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in kinds]
-    return [np.repeat(classes, lengths), np.repeat(sizes, lengths), *values]
+    return [np.repeat(classes, lengths), np.repeat(sizes, lengths), np.repeat(common, lengths), *values]
 
 
-_LISTS = ["cls", "size", "own", "chain", "next"]
+_LISTS = ["cls", "size", "common", "own", "chain", "next"]
 _BINARY = ", ".join(f"{name} binary" for name in _LISTS)
+_NONE = [b""] * 5
 
 
-def _chains(batches: Iterator[pd.DataFrame], buckets: int, size: int, min_words: int) -> Iterator[pd.DataFrame]:
-    """Classes to packed chains by bucket: the lower 32 bits of each chain."""
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that steer the work and change no result.
+
+    bucket: chains that one bucket should hold, as a task sorts one in memory at a time; hot:
+    classes with which a chain generates no candidates any more; sample: classes above which
+    frequent chains are looked for in a sample of as many; frequent: sampled classes that
+    make a chain frequent.
+    """
+
+    bucket: int = 500_000
+    hot: int = 4000
+    sample: int = 200_000
+    frequent: int = 500
+
+
+@dataclass(frozen=True)
+class Filter:
+    """What is compared: `chains` of four boxes or single elements; `frequent` are the sorted hashes that go to no bucket.
+
+    Part numbers from `parts` on carry classes that are heavy for the frequent chains alone.
+    """
+
+    similarity: float
+    size: int
+    min_words: int
+    need: float
+    parts: int
+    limits: Limits
+    chains: bool = True
+    frequent: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+
+    def kept(self, n: int) -> tuple[int, int]:
+        """Of n chains: how many of the rarest to keep, and how many of these a partner shares."""
+        if not self.chains:
+            return n - math.ceil(self.similarity * n - 1e-9) + 1, 1
+        common = math.ceil((2 * self.similarity - 1) * n - 1e-9)
+        want = max(1, min(common, int(self.need * n)))
+        return n - common + want, want
+
+    def table(self, sizes: np.ndarray) -> np.ndarray:
+        """kept() of each size that occurs, by size."""
+        out = np.zeros((int(sizes.max(initial=0)) + 1, 2), np.int64)
+        for n in np.unique(sizes):
+            out[n] = self.kept(int(n))
+        return out
+
+
+def _rings(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[tuple]:
+    """The classes of each batch with their chains and the bits of the boxes after."""
     for batch in batches:
         classes, rings, nexts = [], [], []
         batch = batch.drop_duplicates("cls")
         for cls, text in zip(batch["cls"], batch["text"]):
             found = words(text)
-            if len(found) >= min_words:
-                ring = shingles(found, size)
+            if len(found) >= rule.min_words:
+                ring = shingles(found, rule.size)
                 if len(ring):
                     classes.append(cls)
-                    rings.append(neighbours(ring))
+                    rings.append(neighbours(ring) if rule.chains else ring)
                     low = (ring & np.uint64(15)).astype(np.uint8)
-                    nexts.append(np.roll(low, -2) << 4 | np.roll(low, -3))
-        if not rings:
-            continue
-        lengths = np.array([len(r) for r in rings], dtype=np.uint32)
-        chains, after = np.concatenate(rings), np.concatenate(nexts)
-        owner = np.repeat(np.array(classes, np.int64), lengths)
-        sizes = np.repeat(lengths, lengths)
-        bucket = ((chains >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    nexts.append(np.roll(low, -2) << 4 | np.roll(low, -3) if rule.chains else np.zeros(len(ring), np.uint8))
+        if rings:
+            yield np.array(classes, np.int64), np.array([len(r) for r in rings], np.uint32), np.concatenate(rings), np.concatenate(nexts)
+
+
+def _chains(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[pd.DataFrame]:
+    """Classes to packed chains by bucket: the lower 32 bits of each chain."""
+    for classes, lengths, chains, after in _rings(batches, rule):
+        place = np.repeat(np.arange(len(classes)), lengths)
+        common = np.zeros(len(classes), np.uint32)
+        out = []
+        if len(rule.frequent):
+            often = rule.frequent[np.minimum(np.searchsorted(rule.frequent, chains), len(rule.frequent) - 1)] == chains
+            common = np.bincount(place[often], minlength=len(classes)).astype(np.uint32)
+            place, chains, after = place[~often], chains[~often], after[~often]
+            keep = rule.table(lengths)[lengths, 0]
+            heavy = classes[keep > lengths.astype(np.int64) - common]
+            if len(heavy):
+                out.append((rule.parts, heavy.tobytes(), *_NONE))
+        owner, sizes, many = classes[place], lengths[place], common[place]
+        bucket = ((chains >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64)
         chains = (chains & _LOW).astype(np.uint32)
-        out = [(b, *_lists(owner[at], sizes[at], chains[at], after[at])) for b, at in _split(bucket, buckets)]
+        out += [(b, *_lists(owner[at], sizes[at], many[at], chains[at], after[at])) for b, at in _split(bucket)]
         yield pd.DataFrame(out, columns=["bucket", *_LISTS])
 
 
-def _counted(key: tuple, packed: pd.DataFrame, groups: int) -> pd.DataFrame:
+def _counted(key: tuple, packed: pd.DataFrame, rule: Filter) -> pd.DataFrame:
     """A bucket's chains that more than one class has, with their counts, packed by group of classes."""
-    classes, sizes, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
+    names = ["grp", "bucket", *_LISTS, "n"]
+    if key[0] >= rule.parts:
+        return pd.DataFrame([(i % rule.parts, rule.parts, x, *_NONE, b"") for i, x in enumerate(packed["cls"])], columns=names)
+    classes, sizes, common, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
     order = np.lexsort((classes, chains))
     first = np.r_[True, (chains[order][1:] != chains[order][:-1]) | (classes[order][1:] != classes[order][:-1])]  # copies in other batches
     order = order[first]
-    classes, sizes, chains, after = classes[order], sizes[order], chains[order], after[order]
+    classes, sizes, common, chains, after = classes[order], sizes[order], common[order], chains[order], after[order]
     starts = np.flatnonzero(np.r_[True, chains[1:] != chains[:-1]])
     lengths = np.diff(np.r_[starts, len(chains)])
     counts = np.repeat(lengths, lengths)
     at = np.flatnonzero(counts > 1)
     at = at[np.argsort(classes[at], kind="stable")]
-    classes, sizes, chains, after, counts = classes[at], sizes[at], chains[at], after[at], np.minimum(counts[at], 255).astype(np.uint8)
-    group = (classes.view(np.uint64) % np.uint64(groups)).astype(np.int64)
-    out = [(g, int(key[0]), *_lists(classes[i], sizes[i], chains[i], after[i], counts[i])) for g, i in _split(group, groups)]
-    return pd.DataFrame(out, columns=["grp", "bucket", *_LISTS, "n"])
-
-
-def _rarest(packed: pd.DataFrame, buckets: int, similarity: float, need: float) -> pd.DataFrame:
-    """For each class of a group its rarest chains, packed by bucket again."""
-    classes, sizes, chains, after, counts = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8), ("n", np.uint8))
-    bucket = np.repeat(packed["bucket"].to_numpy(), [len(x) for x in packed["n"]]).astype(np.int64)
+    classes, sizes, common, chains, after = classes[at], sizes[at], common[at], chains[at], after[at]
+    counts = np.minimum(counts[at], 65535).astype(np.uint16)
+    group = (classes.view(np.uint64) % np.uint64(rule.parts)).astype(np.int64)
+    out = [(g, int(key[0]), *_lists(classes[i], sizes[i], common[i], chains[i], after[i]), counts[i].tobytes()) for g, i in _split(group)]
+    return pd.DataFrame(out, columns=names)
+
+
+def _rarest(packed: pd.DataFrame, rule: Filter) -> pd.DataFrame:
+    """For each class of a group its rarest chains, packed by bucket again; hot ones make a class heavy, hot elements are dealt to blocks."""
+    heavy = [np.frombuffer(x, np.int64) for x in packed.loc[packed["bucket"] >= rule.parts, "cls"]]
+    packed = packed[packed["bucket"] < rule.parts]
+    classes, sizes, common, chains, after, counts = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8), ("n", np.uint16))
+    bucket = np.repeat(packed["bucket"].to_numpy(), [len(x) // 2 for x in packed["n"]]).astype(np.int64)
     order = np.lexsort((chains, bucket, counts, classes))
-    classes, sizes, chains, after, bucket = classes[order], sizes[order], chains[order], after[order], bucket[order]
-    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
+    classes, sizes, common, chains, after, counts, bucket = (x[order] for x in (classes, sizes, common, chains, after, counts, bucket))
+    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]]) if len(classes) else np.empty(0, np.int64)
     lengths = np.diff(np.r_[starts, len(classes)])
-    keep = {n: _kept(int(n), similarity, need)[0] for n in np.unique(sizes)}
-    alone = sizes[starts].astype(np.int64) - lengths  # its chains that no other class has are rarer than all
-    left = np.array([keep[n] for n in sizes[starts]]) - alone
+    alone = sizes[starts].astype(np.int64) - lengths - common[starts]  # its chains that no other class has are rarer than all
+    left = rule.table(sizes)[sizes[starts], 0] - alone
     at = np.flatnonzero(np.arange(len(classes)) - np.repeat(starts, lengths) < np.repeat(left, lengths))
-    classes, sizes, chains, after, bucket = classes[at], sizes[at], chains[at], after[at], bucket[at]
-    out = [(b, *_lists(classes[i], sizes[i], chains[i], after[i])) for b, i in _split(bucket, buckets)]
+    classes, sizes, chains, after, counts, bucket = classes[at], sizes[at], chains[at], after[at], counts[at], bucket[at]
+    most = rule.limits.hot
+    hot = counts >= most
+    out = []
+    if rule.chains:
+        heavy.append(np.unique(classes[hot]))
+        classes, sizes, chains, after, bucket = classes[~hot], sizes[~hot], chains[~hot], after[~hot], bucket[~hot]
+    elif hot.any():
+        blocks = np.where(hot, -(-counts.astype(np.int64) // most), 1)
+        own = (classes.view(np.uint64) >> np.uint64(7)) % blocks.astype(np.uint64)
+        rows = np.repeat(np.arange(len(classes)), blocks)
+        other = (np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
+        own, blocks = own[rows], blocks[rows]
+        classes, sizes, chains, after, bucket = classes[rows], sizes[rows], chains[rows], after[rows], bucket[rows]
+        pair = np.minimum(own, other) << np.uint64(16) | np.maximum(own, other)
+        dealt = mix((bucket.astype(np.uint64) << np.uint64(32) | chains) * np.uint64(0x9E3779B97F4A7C15) + pair)
+        split = blocks > 1
+        bucket = np.where(split, ((dealt >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64), bucket)
+        chains = np.where(split, (dealt & _LOW).astype(np.uint32), chains)
+        order = np.argsort(classes, kind="stable")
+        classes, sizes, chains, after, bucket = classes[order], sizes[order], chains[order], after[order], bucket[order]
+    none = np.zeros(len(classes), np.uint32)
+    out += [(b, *_lists(classes[i], sizes[i], none[i], chains[i], after[i])) for b, i in _split(bucket)]
+    found = np.unique(np.concatenate(heavy)) if heavy else np.empty(0, np.int64)
+    out += [(rule.parts + g, found[i].tobytes(), *_NONE) for g, i in _split((found.view(np.uint64) % np.uint64(min(64, rule.parts))).astype(np.int64))]
     return pd.DataFrame(out, columns=["bucket", *_LISTS])
 
 
-def _shared(packed: pd.DataFrame, groups: int, similarity: float, need: float) -> Iterator[pd.DataFrame]:
+_PAIRS = ["grp", "cls", "size", "common", "own", "b", "want", "shared"]
+
+
+def _shared(key: tuple, packed: pd.DataFrame, rule: Filter) -> Iterator[pd.DataFrame]:
     """A bucket's pairs of classes with equal good chains and possible sizes, packed by group of the first."""
-    classes, sizes, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
+    if key[0] >= rule.parts:
+        yield pd.DataFrame([(i % rule.parts, x, *_NONE, b"") for i, x in enumerate(packed["cls"])], columns=_PAIRS)
+        return
+    classes, sizes, _, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
     order = np.lexsort((classes, chains))
     classes, sizes, chains, after = classes[order], sizes[order].astype(np.int64), chains[order], after[order]
     third, fourth = after >> 4, after & 15
     reach = np.searchsorted(chains, chains, side="right") - np.arange(len(chains)) - 1  # later rows with the same chain
-    wants = np.zeros(int(sizes.max(initial=0)) + 1, np.uint16)
-    for n in np.unique(sizes):
-        wants[n] = min(_kept(int(n), similarity, need)[1], 65535)
+    wants = np.minimum(rule.table(sizes)[:, 1], 65535).astype(np.uint16)
     step, block, rows = 0, [], 0
     at = np.flatnonzero(reach > 0)
     while len(at):
         step += 1
         small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
         good = (third[at] == third[at + step]) | (fourth[at] == third[at + step]) | (third[at] == fourth[at + step])
-        fit = at[good & (small >= similarity * large - 1e-9)]
+        fit = at[good & (small >= rule.similarity * large - 1e-9)]
         block.append((classes[fit], classes[fit + step], np.minimum(wants[sizes[fit]], wants[sizes[fit + step]])))
         rows += len(fit)
         at = at[reach[at] > step]
@@ -201,49 +295,88 @@ def _shared(packed: pd.DataFrame, groups: int, similarity: float, need: float) -
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else order
             shared = np.diff(np.r_[new, len(a)]).astype(np.uint16)
             a, b, want = a[new], b[new], want[new]
-            group = (a.view(np.uint64) % np.uint64(groups)).astype(np.int64)
-            out = [(g, *_lists(a[i], np.zeros(len(i), np.uint32), b[i], want[i], shared[i])) for g, i in _split(group, groups)]
-            yield pd.DataFrame(out, columns=["grp", "cls", "size", "own", "b", "want", "shared"])
+            none = np.zeros(len(a), np.uint32)
+            group = (a.view(np.uint64) % np.uint64(rule.parts)).astype(np.int64)
+            out = [(g, *_lists(a[i], none[i], none[i], b[i], want[i], shared[i])) for g, i in _split(group)]
+            yield pd.DataFrame(out, columns=_PAIRS)
 
 
 def _enough(packed: pd.DataFrame) -> pd.DataFrame:
-    """A group's pairs that share as many chains in all buckets as they need."""
-    a, _, b, want, shared = _unpacked(packed, ("b", np.int64), ("want", np.uint16), ("shared", np.uint16))
+    """A group's pairs that share as many chains in all buckets as they need; heavy classes come as pairs without a second."""
+    lone = packed["b"].map(len) == 0
+    heavy = [np.frombuffer(x, np.int64) for x in packed.loc[lone, "cls"]]
+    a, _, _, b, want, shared = _unpacked(packed[~lone], ("b", np.int64), ("want", np.uint16), ("shared", np.uint16))
     order = np.lexsort((b, a))
     a, b, want, shared = a[order], b[order], want[order], shared[order].astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    ok = np.add.reduceat(shared, new) >= want[new]
-    return pd.DataFrame({"a": a[new][ok], "b": b[new][ok]})
+    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else order
+    ok = np.add.reduceat(shared, new) >= want[new] if len(a) else np.empty(0, bool)
+    out = [pd.DataFrame({"a": a[new][ok], "b": pd.array(b[new][ok], dtype="Int64")})]
+    out += [pd.DataFrame({"a": h, "b": pd.array([None] * len(h), dtype="Int64")}) for h in heavy]
+    return pd.concat(out)
 
 
-def candidate_classes(rows: DataFrame, total: int, similarity: float, size: int, min_words: int, need: float = 0.05) -> DataFrame:
-    """(a, b), a < b: the pairs of classes that the filter leaves. `rows` has (cls, text), copies too."""
-    if not 0.5 < similarity <= 1:
-        raise ValueError("the similarity must be above 0.5 and at most 1")
-    spark = rows.sparkSession
-    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(total * _CHAINS_A_TEXT / BUCKET_ROWS))
-    groups = buckets
+def _frequent(rows: DataFrame, total: int, rule: Filter) -> np.ndarray:
+    """The hashes of chains that many classes have, from a sample of classes where there are more than it holds."""
+    limits = rule.limits
+    if total <= limits.sample:
+        return np.empty(0, np.uint64)
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, chains, _ in _rings(batches, rule):
+            values, n = np.unique(chains, return_counts=True)
+            yield pd.DataFrame({"chain": values.view(np.int64), "n": n})
+
+    sampled = rows.where(F.pmod("cls", F.lit(-(-total // limits.sample))) == 0).select("cls", "text")
+    often = sampled.mapInPandas(counts, "chain long, n long").groupBy("chain").agg(F.sum("n").alias("n")).where(F.col("n") >= limits.frequent)
+    found = often.orderBy(F.desc("n"), "chain").limit(FEW).select("chain").collect()
+    return np.sort(np.array([r.chain for r in found], np.int64).view(np.uint64))
+
+
+def _candidates(rows: DataFrame, rule: Filter) -> DataFrame:
+    """(a, b): pairs of classes that the filter leaves, and (a, null) heavy classes."""
 
     def chains(batches):
-        return _chains(batches, buckets, size, min_words)
+        return _chains(batches, rule)
 
     def counted(key, packed):
-        return _counted(key, packed, groups)
+        return _counted(key, packed, rule)
 
     def rarest(packed):
-        return _rarest(packed, buckets, similarity, need)
+        return _rarest(packed, rule)
 
-    def shared(packed):
-        found = list(_shared(packed, groups, similarity, need))
-        return pd.concat(found) if found else pd.DataFrame(columns=["grp", "cls", "size", "own", "b", "want", "shared"])
+    def shared(key, packed):
+        found = list(_shared(key, packed, rule))
+        return pd.concat(found) if found else pd.DataFrame(columns=_PAIRS)
 
     packed = rows.select("cls", "text").mapInPandas(chains, f"bucket int, {_BINARY}")
-    several = packed.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(counted, f"grp int, bucket int, {_BINARY}, n binary")
-    rare = several.repartition(groups, "grp").groupBy("grp").applyInPandas(rarest, f"bucket int, {_BINARY}")
-    pairs = rare.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(
-        shared, "grp int, cls binary, size binary, own binary, b binary, want binary, shared binary"
-    )
-    return pairs.repartition(groups, "grp").groupBy("grp").applyInPandas(_enough, "a long, b long")
+    several = packed.repartition(rule.parts, "bucket").groupBy("bucket").applyInPandas(counted, f"grp int, bucket int, {_BINARY}, n binary")
+    rare = several.repartition(rule.parts, "grp").groupBy("grp").applyInPandas(rarest, f"bucket int, {_BINARY}")
+    columns = "grp int, " + ", ".join(f"{name} binary" for name in _PAIRS[1:])
+    pairs = rare.repartition(rule.parts, "bucket").groupBy("bucket").applyInPandas(shared, columns)
+    return cut(pairs.repartition(rule.parts, "grp").groupBy("grp").applyInPandas(_enough, "a long, b long"))
+
+
+def candidate_classes(rows: DataFrame, total: int, similarity: float, size: int, min_words: int, need: float = 0.05, limits: Limits = Limits()) -> DataFrame:
+    """(a, b), a < b: the pairs of classes that the filter leaves. `rows` has (cls, text), copies too.
+
+    By chains among all classes; by elements among those that are heavy there; and once
+    more, with no element left out as frequent, among those that are heavy even so.
+    """
+    if not 0.5 < similarity <= 1:
+        raise ValueError("the similarity must be above 0.5 and at most 1")
+    least = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    pairs = None
+    for chains, sampled in ((True, True), (False, True), (False, False)):
+        rule = Filter(similarity, size, min_words, need, max(least, math.ceil(total * _CHAINS_A_TEXT / limits.bucket)), limits, chains)
+        found = _candidates(rows, replace(rule, frequent=_frequent(rows, total, rule)) if sampled else rule)
+        some = found.where("b is not null")
+        pairs = some if pairs is None else pairs.unionByName(some).distinct()
+        heavy = found.where("b is null").select(F.col("a").alias("cls")).distinct()
+        total = heavy.count()
+        if not total:
+            break
+        rows = rows.join(heavy, "cls", "left_semi")
+    return pairs
 
 
 def _full_check(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -277,11 +410,11 @@ class Links:
     fit: DataFrame
 
 
-def find_links(df: DataFrame, id_col: str, text_col: str, similarity: float, size: int, min_words: int) -> Links:
+def find_links(df: DataFrame, id_col: str, text_col: str, similarity: float, size: int, min_words: int, limits: Limits = Limits()) -> Links:
     """All links between classes of different texts, and the classes that several ids share."""
     rows = text_classes(spread(df.select(id_col, text_col)), id_col, text_col)
     members = cut(rows.select("id", "cls").distinct())
-    pairs = cut(candidate_classes(rows, members.count(), similarity, size, min_words))
+    pairs = cut(candidate_classes(rows, members.count(), similarity, size, min_words, limits=limits))
     several = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
     used = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(several).distinct()
     if used.limit(FEW + 1).count() <= FEW:  # then the other texts need not be shuffled
@@ -296,9 +429,9 @@ def find_links(df: DataFrame, id_col: str, text_col: str, similarity: float, siz
     return Links(members, cut(_full_check(pairs, texts, similarity, size)), fit)
 
 
-def near_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, min_words: int = 1) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, min_words: int = 1, limits: Limits = Limits()) -> DataFrame:
     """(id_a, id_b), id_a < id_b: ids whose texts have at least the similarity, copies expanded."""
-    found = find_links(df, id_col, text_col, similarity, size, min_words)
+    found = find_links(df, id_col, text_col, similarity, size, min_words, limits)
     members = found.members
     mine, other = members.select(F.col("id").alias("x"), F.col("cls").alias("a")), members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
     between = found.links.join(mine, "a").join(other, "b").select("x", "y")
@@ -308,13 +441,13 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def near_groups(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, min_words: int = 1) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, size: int = 5, min_words: int = 1, limits: Limits = Limits()) -> DataFrame:
     """(id, cls, group, links): every id with its class of copies, its group of near-duplicates and its class's links.
 
     A group is a connected component of links between classes; `group` is its smallest
     class. Ids with null texts, which have no class, are left out.
     """
-    found = find_links(df, id_col, text_col, similarity, size, min_words)
+    found = find_links(df, id_col, text_col, similarity, size, min_words, limits)
     links = found.links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     out = found.members.join(components(found.links), "cls", "left").join(links, "cls", "left")
     return out.select("id", "cls", F.coalesce("group", "cls").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -47,6 +47,32 @@ def test_equals_brute_force(spark, similarity, size, least):
     assert got == brute(rows, similarity, size, least) and got
 
 
+def boilerplate():
+    """Texts with a disclaimer of varying weight, some of them near-copies: hot chains, heavy classes and boilerplate-dominated ones."""
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(400)]
+    notice = " ".join(f"n{i}" for i in range(30))
+    rows = []
+    for i in range(60):
+        own = [rng.choice(vocabulary) for _ in range(rng.choice([4, 25, 60, 120]))]
+        rows.append((f"b{i}", " ".join(own) + " " + notice))
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = "edit"
+            rows.append((f"b{i}_e", notice + " " + " ".join(own)))
+    return rows
+
+
+LIMITS = [near.Limits(hot=5), near.Limits(hot=5, sample=20, frequent=4), near.Limits(hot=3, bucket=40), near.Limits(hot=5, sample=1, frequent=1)]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_hot_chains_lose_no_pair(spark, limits):
+    rows = boilerplate() + corpus(9)[:60]
+    df = spark.createDataFrame(rows, "id string, body string")
+    got = {tuple(r) for r in near.near_pairs(df, "id", "body", 0.6, 3, 20, limits).collect()}
+    assert got == brute(rows, 0.6, 3, 20) and len(got) > 30
+
+
 def test_groups(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "id string, body string")
