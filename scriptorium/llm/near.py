@@ -17,8 +17,8 @@ exact. Chains are compared by a hash of their first two elements, the next two b
 bits of each.
 
 1. Texts equal but for spaces, marks and case are one class, so copies are never compared.
-2. Each class's chains go to hash buckets as packed arrays, where chains that only one
-   class has are dropped and the rest counted.
+2. Chains go to hash buckets as packed arrays, each with its class's place in a block of
+   classes, and come back to the block counted; those that only one class has don't.
 3. Classes keep their rarest chains; classes that share enough good ones are candidates.
 4. Chains of `hot` classes or more (a disclaimer's, a template's) generate no candidates. Most
    classes leave them out anyway, as they may leave out their most frequent chains. Classes
@@ -47,6 +47,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,36 +82,13 @@ def _split(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(by[order[start]]), order[start:end]
 
 
-def _small(numbers: np.ndarray) -> np.ndarray:
-    """The numbers in as few bytes each as they need."""
-    most = int(numbers.max(initial=0))
-    return numbers.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+def _joined(rows: pd.DataFrame, **kinds: type) -> list[np.ndarray]:
+    """The packed arrays of columns, each as one."""
+    return [np.frombuffer(b"".join(rows[name]), kind) for name, kind in kinds.items()]
 
 
-def _wide(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(packed, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(packed) // n]).astype(np.uint32)
-
-
-def _lists(classes: np.ndarray, sizes: np.ndarray, common: np.ndarray, *values: np.ndarray) -> list[bytes]:
-    """Values that come class by class, packed: each class, its size and its number of frequent chains once, and how many are its own."""
-    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
-    lengths = np.diff(np.r_[starts, len(classes)])
-    return _pack(classes[starts], _small(sizes[starts]), _small(common[starts]), _small(lengths), *values)
-
-
-def _unpacked(rows: pd.DataFrame, *kinds: tuple[str, type]) -> list[np.ndarray]:
-    """Classes, sizes and numbers of frequent chains, repeated for each value, and the values of rows of _lists."""
-    if not len(rows):
-        return [np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32), *(np.empty(0, kind) for _, kind in kinds)]
-    classes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["cls"]])
-    sizes, common, lengths = (np.concatenate([_wide(x, len(c) // 8) for x, c in zip(rows[name], rows["cls"])]) for name in ("size", "common", "own"))
-    values = [np.concatenate([np.frombuffer(x, kind) for x in rows[name]]) for name, kind in kinds]
-    return [np.repeat(classes, lengths), np.repeat(sizes, lengths), np.repeat(common, lengths), *values]
-
-
-_LISTS = ["cls", "size", "common", "own", "chain", "next"]
-_BINARY = ", ".join(f"{name} binary" for name in _LISTS)
-_NONE = [b""] * 5
+_CHAIN = "chain binary, next binary"
+_MANY = 8192  # classes whose places in a block fit 16 bits
 
 
 @dataclass(frozen=True)
@@ -123,7 +101,7 @@ class Limits:
     make a chain frequent.
     """
 
-    bucket: int = 500_000
+    bucket: int = 1_000_000
     hot: int = 4000
     sample: int = 200_000
     frequent: int = 500
@@ -131,10 +109,7 @@ class Limits:
 
 @dataclass(frozen=True)
 class Filter:
-    """What is compared: `chains` of four boxes or single elements; `frequent` are the sorted hashes that go to no bucket.
-
-    Part numbers from `parts` on carry classes that are heavy for the frequent chains alone.
-    """
+    """What is compared: `chains` of four boxes or single elements; `frequent` are the sorted hashes that go to no bucket."""
 
     similarity: float
     size: int
@@ -180,100 +155,107 @@ def _rings(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[tuple]:
 
 
 def _chains(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[pd.DataFrame]:
-    """Classes to packed chains by bucket: the lower 32 bits of each chain."""
-    for classes, lengths, chains, after in _rings(batches, rule):
-        place = np.repeat(np.arange(len(classes)), lengths)
+    """Blocks of classes to packed chains by bucket: the lower 32 bits of each, and the class's place in its block.
+
+    The classes themselves go with part -1, once a block.
+    """
+    names = ["part", "block", "who", "chain", "next", "cls", "size", "common"]
+    for classes, lengths, chains, after in _rings(_slices(batches), rule):
+        block = xxhash.xxh64_intdigest(classes.tobytes()) >> 1
+        place = np.repeat(np.arange(len(classes), dtype=np.uint16), lengths)
         common = np.zeros(len(classes), np.uint32)
-        out = []
         if len(rule.frequent):
             often = rule.frequent[np.minimum(np.searchsorted(rule.frequent, chains), len(rule.frequent) - 1)] == chains
             common = np.bincount(place[often], minlength=len(classes)).astype(np.uint32)
             place, chains, after = place[~often], chains[~often], after[~often]
-            keep = rule.table(lengths)[lengths, 0]
-            heavy = classes[keep > lengths.astype(np.int64) - common]
-            if len(heavy):
-                out.append((rule.parts, heavy.tobytes(), *_NONE))
-        owner, sizes, many = classes[place], lengths[place], common[place]
         bucket = ((chains >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64)
         chains = (chains & _LOW).astype(np.uint32)
-        out += [(b, *_lists(owner[at], sizes[at], many[at], chains[at], after[at])) for b, at in _split(bucket)]
-        yield pd.DataFrame(out, columns=["bucket", *_LISTS])
+        out = [(-1, block, b"", b"", b"", *_pack(classes, lengths, common))]
+        out += [(b, block, *_pack(place[at], chains[at], after[at]), b"", b"", b"") for b, at in _split(bucket)]
+        yield pd.DataFrame(out, columns=names)
 
 
-def _counted(key: tuple, packed: pd.DataFrame, rule: Filter) -> pd.DataFrame:
-    """A bucket's chains that more than one class has, with their counts, packed by group of classes."""
-    names = ["grp", "bucket", *_LISTS, "n"]
-    if key[0] >= rule.parts:
-        return pd.DataFrame([(i % rule.parts, rule.parts, x, *_NONE, b"") for i, x in enumerate(packed["cls"])], columns=names)
-    classes, sizes, common, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
-    order = np.lexsort((classes, chains))
-    first = np.r_[True, (chains[order][1:] != chains[order][:-1]) | (classes[order][1:] != classes[order][:-1])]  # copies in other batches
-    order = order[first]
-    classes, sizes, common, chains, after = classes[order], sizes[order], common[order], chains[order], after[order]
-    starts = np.flatnonzero(np.r_[True, chains[1:] != chains[:-1]])
-    lengths = np.diff(np.r_[starts, len(chains)])
-    counts = np.repeat(lengths, lengths)
-    at = np.flatnonzero(counts > 1)
-    at = at[np.argsort(classes[at], kind="stable")]
-    classes, sizes, common, chains, after = classes[at], sizes[at], common[at], chains[at], after[at]
-    counts = np.minimum(counts[at], 65535).astype(np.uint16)
-    group = (classes.view(np.uint64) % np.uint64(rule.parts)).astype(np.int64)
-    out = [(g, int(key[0]), *_lists(classes[i], sizes[i], common[i], chains[i], after[i]), counts[i].tobytes()) for g, i in _split(group)]
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), _MANY):
+            yield batch.iloc[start : start + _MANY]
+
+
+def _counted(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's chains that occur more than once, with their counts, by block; the blocks' classes pass."""
+    names = ["block", "part", "who", "chain", "next", "n", "cls", "size", "common"]
+    if key[0] < 0:
+        return packed.assign(n=b"")[names]
+    (chains,) = _joined(packed, chain=np.uint32)
+    _, at, counts = np.unique(chains, return_inverse=True, return_counts=True)
+    counts = np.minimum(counts, 65535).astype(np.uint16)[at]
+    out, start = [], 0
+    for block, who, chain, after in zip(packed["block"], packed["who"], packed["chain"], packed["next"]):
+        n = counts[start : start + len(after)]
+        start += len(after)
+        k = n > 1
+        arrays = np.frombuffer(who, np.uint16)[k], np.frombuffer(chain, np.uint32)[k], np.frombuffer(after, np.uint8)[k], n[k]
+        out.append((block, key[0], *_pack(*arrays), b"", b"", b""))
     return pd.DataFrame(out, columns=names)
 
 
 def _rarest(packed: pd.DataFrame, rule: Filter) -> pd.DataFrame:
-    """For each class of a group its rarest chains, packed by bucket again; hot ones make a class heavy, hot elements are dealt to blocks."""
-    heavy = [np.frombuffer(x, np.int64) for x in packed.loc[packed["bucket"] >= rule.parts, "cls"]]
-    packed = packed[packed["bucket"] < rule.parts]
-    classes, sizes, common, chains, after, counts = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8), ("n", np.uint16))
-    bucket = np.repeat(packed["bucket"].to_numpy(), [len(x) // 2 for x in packed["n"]]).astype(np.int64)
-    order = np.lexsort((chains, bucket, counts, classes))
-    classes, sizes, common, chains, after, counts, bucket = (x[order] for x in (classes, sizes, common, chains, after, counts, bucket))
-    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]]) if len(classes) else np.empty(0, np.int64)
-    lengths = np.diff(np.r_[starts, len(classes)])
-    alone = sizes[starts].astype(np.int64) - lengths - common[starts]  # its chains that no other class has are rarer than all
-    left = rule.table(sizes)[sizes[starts], 0] - alone
-    at = np.flatnonzero(np.arange(len(classes)) - np.repeat(starts, lengths) < np.repeat(left, lengths))
-    classes, sizes, chains, after, counts, bucket = classes[at], sizes[at], chains[at], after[at], counts[at], bucket[at]
+    """For each class of a block its rarest chains, by bucket again; hot ones make a class heavy, hot elements are dealt to blocks.
+
+    Heavy classes go to parts beyond the buckets, without chains.
+    """
+    names = ["bucket", "cls", "size", "chain", "next"]
+    known = packed[packed["part"] < 0].iloc[:1]
+    classes, sizes, common = _joined(known, cls=np.int64, size=np.uint32, common=np.uint32)
+    packed = packed[packed["part"] >= 0].drop_duplicates("part")  # a block that came twice has the same chains twice
+    who, chains, after, counts = _joined(packed, who=np.uint16, chain=np.uint32, next=np.uint8, n=np.uint16)
+    bucket = np.repeat(packed["part"].to_numpy().astype(np.int64), [len(x) for x in packed["next"]])
+    order = np.lexsort((chains, bucket, counts, who))
+    who, chains, after, counts, bucket = who[order], chains[order], after[order], counts[order], bucket[order]
+    own = np.bincount(who, minlength=len(classes))
+    alone = sizes.astype(np.int64) - own - common  # chains that no other class has are rarer than all
+    left = rule.table(sizes)[sizes, 0] - alone
+    at = np.flatnonzero(np.arange(len(who)) - (np.cumsum(own) - own)[who] < left[who])
+    who, chains, after, counts, bucket = who[at], chains[at], after[at], counts[at], bucket[at]
+    is_heavy = left > own  # it would keep frequent ones
     most = rule.limits.hot
     hot = counts >= most
-    out = []
     if rule.chains:
-        heavy.append(np.unique(classes[hot]))
-        classes, sizes, chains, after, bucket = classes[~hot], sizes[~hot], chains[~hot], after[~hot], bucket[~hot]
+        is_heavy[who[hot]] = True
+        who, chains, after, bucket = who[~hot], chains[~hot], after[~hot], bucket[~hot]
     elif hot.any():
         blocks = np.where(hot, -(-counts.astype(np.int64) // most), 1)
-        own = (classes.view(np.uint64) >> np.uint64(7)) % blocks.astype(np.uint64)
-        rows = np.repeat(np.arange(len(classes)), blocks)
+        mine = (classes[who].view(np.uint64) >> np.uint64(7)) % blocks.astype(np.uint64)
+        rows = np.repeat(np.arange(len(who)), blocks)
         other = (np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
-        own, blocks = own[rows], blocks[rows]
-        classes, sizes, chains, after, bucket = classes[rows], sizes[rows], chains[rows], after[rows], bucket[rows]
-        pair = np.minimum(own, other) << np.uint64(16) | np.maximum(own, other)
+        mine, hot = mine[rows], hot[rows]
+        who, chains, after, bucket = who[rows], chains[rows], after[rows], bucket[rows]
+        pair = np.minimum(mine, other) << np.uint64(16) | np.maximum(mine, other)
         dealt = mix((bucket.astype(np.uint64) << np.uint64(32) | chains) * np.uint64(0x9E3779B97F4A7C15) + pair)
-        split = blocks > 1
-        bucket = np.where(split, ((dealt >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64), bucket)
-        chains = np.where(split, (dealt & _LOW).astype(np.uint32), chains)
-        order = np.argsort(classes, kind="stable")
-        classes, sizes, chains, after, bucket = classes[order], sizes[order], chains[order], after[order], bucket[order]
-    none = np.zeros(len(classes), np.uint32)
-    out += [(b, *_lists(classes[i], sizes[i], none[i], chains[i], after[i])) for b, i in _split(bucket)]
-    found = np.unique(np.concatenate(heavy)) if heavy else np.empty(0, np.int64)
-    out += [(rule.parts + g, found[i].tobytes(), *_NONE) for g, i in _split((found.view(np.uint64) % np.uint64(min(64, rule.parts))).astype(np.int64))]
-    return pd.DataFrame(out, columns=["bucket", *_LISTS])
+        bucket = np.where(hot, ((dealt >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64), bucket)
+        chains = np.where(hot, (dealt & _LOW).astype(np.uint32), chains)
+    small = sizes.astype(np.uint16 if sizes.max(initial=0) < 1 << 16 else np.uint32)
+    out = [(b, *_pack(classes[who[i]], small[who[i]], chains[i], after[i])) for b, i in _split(bucket)]
+    heavy = classes[is_heavy]
+    if len(heavy):
+        out.append((rule.parts + int(heavy[0] % 64), heavy.tobytes(), b"", b"", b""))
+    return pd.DataFrame(out, columns=names)
 
 
-_PAIRS = ["grp", "cls", "size", "common", "own", "b", "want", "shared"]
+_PAIRS = ["grp", "a", "b", "want", "shared"]
 
 
 def _shared(key: tuple, packed: pd.DataFrame, rule: Filter) -> Iterator[pd.DataFrame]:
     """A bucket's pairs of classes with equal good chains and possible sizes, packed by group of the first."""
     if key[0] >= rule.parts:
-        yield pd.DataFrame([(i % rule.parts, x, *_NONE, b"") for i, x in enumerate(packed["cls"])], columns=_PAIRS)
+        yield pd.DataFrame([(i % rule.parts, x, b"", b"", b"") for i, x in enumerate(packed["cls"])], columns=_PAIRS)
         return
-    classes, sizes, _, chains, after = _unpacked(packed, ("chain", np.uint32), ("next", np.uint8))
-    order = np.lexsort((classes, chains))
+    classes, chains, after = _joined(packed, cls=np.int64, chain=np.uint32, next=np.uint8)
+    sizes = np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * len(y) else np.uint32) for x, y in zip(packed["size"], packed["next"])])
+    order = np.lexsort((after, classes, chains))
     classes, sizes, chains, after = classes[order], sizes[order].astype(np.int64), chains[order], after[order]
+    first = np.r_[True, (chains[1:] != chains[:-1]) | (classes[1:] != classes[:-1])]  # copies in other blocks
+    classes, sizes, chains, after = classes[first], sizes[first], chains[first], after[first]
     third, fourth = after >> 4, after & 15
     reach = np.searchsorted(chains, chains, side="right") - np.arange(len(chains)) - 1  # later rows with the same chain
     wants = np.minimum(rule.table(sizes)[:, 1], 65535).astype(np.uint16)
@@ -293,26 +275,23 @@ def _shared(key: tuple, packed: pd.DataFrame, rule: Filter) -> Iterator[pd.DataF
             order = np.lexsort((b, a))
             a, b, want = a[order], b[order], want[order]
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else order
-            shared = np.diff(np.r_[new, len(a)]).astype(np.uint16)
+            shared = np.minimum(np.diff(np.r_[new, len(a)]), 65535).astype(np.uint16)
             a, b, want = a[new], b[new], want[new]
-            none = np.zeros(len(a), np.uint32)
             group = (a.view(np.uint64) % np.uint64(rule.parts)).astype(np.int64)
-            out = [(g, *_lists(a[i], none[i], none[i], b[i], want[i], shared[i])) for g, i in _split(group)]
-            yield pd.DataFrame(out, columns=_PAIRS)
+            yield pd.DataFrame([(g, *_pack(a[i], b[i], want[i], shared[i])) for g, i in _split(group)], columns=_PAIRS)
 
 
 def _enough(packed: pd.DataFrame) -> pd.DataFrame:
     """A group's pairs that share as many chains in all buckets as they need; heavy classes come as pairs without a second."""
     lone = packed["b"].map(len) == 0
-    heavy = [np.frombuffer(x, np.int64) for x in packed.loc[lone, "cls"]]
-    a, _, _, b, want, shared = _unpacked(packed[~lone], ("b", np.int64), ("want", np.uint16), ("shared", np.uint16))
+    (heavy,) = _joined(packed[lone], a=np.int64)
+    a, b, want, shared = _joined(packed[~lone], a=np.int64, b=np.int64, want=np.uint16, shared=np.uint16)
     order = np.lexsort((b, a))
     a, b, want, shared = a[order], b[order], want[order], shared[order].astype(np.int64)
     new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else order
     ok = np.add.reduceat(shared, new) >= want[new] if len(a) else np.empty(0, bool)
-    out = [pd.DataFrame({"a": a[new][ok], "b": pd.array(b[new][ok], dtype="Int64")})]
-    out += [pd.DataFrame({"a": h, "b": pd.array([None] * len(h), dtype="Int64")}) for h in heavy]
-    return pd.concat(out)
+    pairs = pd.DataFrame({"a": a[new][ok], "b": pd.array(b[new][ok], dtype="Int64")})
+    return pd.concat([pairs, pd.DataFrame({"a": heavy, "b": pd.array([None] * len(heavy), dtype="Int64")})])
 
 
 def _frequent(rows: DataFrame, total: int, rule: Filter) -> np.ndarray:
@@ -338,9 +317,6 @@ def _candidates(rows: DataFrame, rule: Filter) -> DataFrame:
     def chains(batches):
         return _chains(batches, rule)
 
-    def counted(key, packed):
-        return _counted(key, packed, rule)
-
     def rarest(packed):
         return _rarest(packed, rule)
 
@@ -348,11 +324,12 @@ def _candidates(rows: DataFrame, rule: Filter) -> DataFrame:
         found = list(_shared(key, packed, rule))
         return pd.concat(found) if found else pd.DataFrame(columns=_PAIRS)
 
-    packed = rows.select("cls", "text").mapInPandas(chains, f"bucket int, {_BINARY}")
-    several = packed.repartition(rule.parts, "bucket").groupBy("bucket").applyInPandas(counted, f"grp int, bucket int, {_BINARY}, n binary")
-    rare = several.repartition(rule.parts, "grp").groupBy("grp").applyInPandas(rarest, f"bucket int, {_BINARY}")
-    columns = "grp int, " + ", ".join(f"{name} binary" for name in _PAIRS[1:])
-    pairs = rare.repartition(rule.parts, "bucket").groupBy("bucket").applyInPandas(shared, columns)
+    table = "cls binary, size binary, common binary"
+    packed = rows.select("cls", "text").mapInPandas(chains, f"part int, block long, who binary, {_CHAIN}, {table}")
+    several = packed.repartition(rule.parts, "part", F.when(F.col("part") < 0, F.col("block"))).groupBy("part", F.when(F.col("part") < 0, F.col("block")).alias("b"))
+    several = several.applyInPandas(_counted, f"block long, part int, who binary, {_CHAIN}, n binary, {table}")
+    rare = several.repartition(rule.parts, "block").groupBy("block").applyInPandas(rarest, f"bucket int, cls binary, size binary, {_CHAIN}")
+    pairs = rare.repartition(rule.parts, "bucket").groupBy("bucket").applyInPandas(shared, "grp int, a binary, b binary, want binary, shared binary")
     return cut(pairs.repartition(rule.parts, "grp").groupBy("grp").applyInPandas(_enough, "a long, b long"))
 
 
