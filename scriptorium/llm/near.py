@@ -10,11 +10,13 @@ in the rings of both texts; a chain of four has budget below two, so of the next
 one at least is common. Let a good chain be one that keeps both budgets. At most D of the
 U - D common boxes are followed by a differing one, and taking out of the ring each run
 common-common-differing-differing takes as many differing as common boxes with it, so a
-pair shares at least (2 s - 1) U good chains. Each text of n elements may therefore leave
-out its ceil((2 s - 1) n) - need most frequent chains, and a pair still has `need` good
-ones in common, `need` being the smaller of the texts' own. No cap is set: the filter is
-exact. Chains are compared by a hash of their first two elements, the next two by four
-bits of each.
+pair shares at least (2 s - 1) U good chains. Of a good chain's next two boxes the first
+common one is, in either text, one or two places after the first two elements, as at most
+one box lies between. So each text has for each place two chains of three elements, with
+the next element and the one after it, and a pair has one in common for each good chain.
+A text of n elements may therefore leave out its ceil((2 s - 1) n) - need most frequent
+chains, and a pair still has `need` in common, `need` being the smaller of the texts' own.
+No cap is set: the filter is exact.
 
 1. Texts equal but for spaces, marks and case are one class, so copies are never compared.
 2. Chains go to hash buckets as packed arrays, each with its class's place in a block of
@@ -51,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import mix, neighbours, shingles, words
+from scriptorium.llm.words import chains, mix, shingles, words
 from scriptorium.session import cut
 from scriptorium.tables import spread
 
@@ -59,7 +61,7 @@ from scriptorium.tables import spread
 PAIR_ROWS = 2_000_000
 #: Classes, of eight bytes each, that may be broadcast.
 FEW = 1_000_000
-_CHAINS_A_TEXT = 160
+_CHAINS_A_TEXT = 320
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -87,7 +89,6 @@ def _joined(rows: pd.DataFrame, **kinds: type) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(rows[name]), kind) for name, kind in kinds.items()]
 
 
-_CHAIN = "chain binary, next binary"
 _MANY = 8192  # classes whose places in a block fit 16 bits
 
 
@@ -102,14 +103,14 @@ class Limits:
     """
 
     bucket: int = 1_000_000
-    hot: int = 4000
+    hot: int = 1000
     sample: int = 200_000
     frequent: int = 500
 
 
 @dataclass(frozen=True)
 class Filter:
-    """What is compared: `chains` of four boxes or single elements; `frequent` are the sorted hashes that go to no bucket."""
+    """What is compared: chains, or single elements; `frequent` are the sorted hashes that go to no bucket."""
 
     similarity: float
     size: int
@@ -117,29 +118,23 @@ class Filter:
     need: float
     parts: int
     limits: Limits
-    chains: bool = True
+    in_chains: bool = True
     frequent: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
 
-    def kept(self, n: int) -> tuple[int, int]:
-        """Of n chains: how many of the rarest to keep, and how many of these a partner shares."""
-        if not self.chains:
-            return n - math.ceil(self.similarity * n - 1e-9) + 1, 1
-        common = math.ceil((2 * self.similarity - 1) * n - 1e-9)
-        want = max(1, min(common, int(self.need * n)))
-        return n - common + want, want
-
-    def table(self, sizes: np.ndarray) -> np.ndarray:
-        """kept() of each size that occurs, by size."""
-        out = np.zeros((int(sizes.max(initial=0)) + 1, 2), np.int64)
-        for n in np.unique(sizes):
-            out[n] = self.kept(int(n))
-        return out
+    def shared(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For texts of so many elements: how many chains a partner shares, and how many of these are to be among the kept."""
+        n = sizes.astype(np.float64)
+        if not self.in_chains:
+            common = np.ceil(self.similarity * n - 1e-9)
+            return common.astype(np.int64), np.ones(len(n), np.int64)
+        common = np.ceil((2 * self.similarity - 1) * n - 1e-9)
+        return common.astype(np.int64), np.clip(np.floor(self.need * n), 1, np.maximum(common, 1)).astype(np.int64)
 
 
 def _rings(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[tuple]:
-    """The classes of each batch with their chains and the bits of the boxes after."""
+    """The classes of each batch, their numbers of elements, the numbers of their chains, and these."""
     for batch in batches:
-        classes, rings, nexts = [], [], []
+        classes, sizes, out = [], [], []
         batch = batch.drop_duplicates("cls")
         for cls, text in zip(batch["cls"], batch["text"]):
             found = words(text)
@@ -147,11 +142,20 @@ def _rings(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[tuple]:
                 ring = shingles(found, rule.size)
                 if len(ring):
                     classes.append(cls)
-                    rings.append(neighbours(ring) if rule.chains else ring)
-                    low = (ring & np.uint64(15)).astype(np.uint8)
-                    nexts.append(np.roll(low, -2) << 4 | np.roll(low, -3) if rule.chains else np.zeros(len(ring), np.uint8))
-        if rings:
-            yield np.array(classes, np.int64), np.array([len(r) for r in rings], np.uint32), np.concatenate(rings), np.concatenate(nexts)
+                    sizes.append(len(ring))
+                    out.append(chains(ring) if rule.in_chains else ring)
+        if out:
+            yield np.array(classes, np.int64), np.array(sizes, np.uint32), np.array([len(x) for x in out]), np.concatenate(out)
+
+
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places, as the steps between them, in a byte each where these are small."""
+    steps = np.diff(places, prepend=0)
+    return steps.astype(np.uint8 if steps.max(initial=0) < 256 else np.uint16).tobytes()
+
+
+def _places(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8 if len(packed) == n else np.uint16), dtype=np.int64)
 
 
 def _chains(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[pd.DataFrame]:
@@ -159,19 +163,19 @@ def _chains(batches: Iterator[pd.DataFrame], rule: Filter) -> Iterator[pd.DataFr
 
     The classes themselves go with part -1, once a block.
     """
-    names = ["part", "block", "who", "chain", "next", "cls", "size", "common"]
-    for classes, lengths, chains, after in _rings(_slices(batches), rule):
+    names = ["part", "block", "who", "chain", "cls", "size", "common"]
+    for classes, sizes, lengths, found in _rings(_slices(batches), rule):
         block = xxhash.xxh64_intdigest(classes.tobytes()) >> 1
-        place = np.repeat(np.arange(len(classes), dtype=np.uint16), lengths)
+        place = np.repeat(np.arange(len(classes)), lengths)
         common = np.zeros(len(classes), np.uint32)
         if len(rule.frequent):
-            often = rule.frequent[np.minimum(np.searchsorted(rule.frequent, chains), len(rule.frequent) - 1)] == chains
+            often = rule.frequent[np.minimum(np.searchsorted(rule.frequent, found), len(rule.frequent) - 1)] == found
             common = np.bincount(place[often], minlength=len(classes)).astype(np.uint32)
-            place, chains, after = place[~often], chains[~often], after[~often]
-        bucket = ((chains >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64)
-        chains = (chains & _LOW).astype(np.uint32)
-        out = [(-1, block, b"", b"", b"", *_pack(classes, lengths, common))]
-        out += [(b, block, *_pack(place[at], chains[at], after[at]), b"", b"", b"") for b, at in _split(bucket)]
+            place, found = place[~often], found[~often]
+        bucket = ((found >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64)
+        found = (found & _LOW).astype(np.uint32)
+        out = [(-1, block, b"", b"", *_pack(classes, sizes, common))]
+        out += [(b, block, _steps(place[at]), found[at].tobytes(), b"", b"", b"") for b, at in _split(bucket)]
         yield pd.DataFrame(out, columns=names)
 
 
@@ -183,19 +187,19 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _counted(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
     """A bucket's chains that occur more than once, with their counts, by block; the blocks' classes pass."""
-    names = ["block", "part", "who", "chain", "next", "n", "cls", "size", "common"]
+    names = ["block", "part", "who", "chain", "n", "cls", "size", "common"]
     if key[0] < 0:
         return packed.assign(n=b"")[names]
-    (chains,) = _joined(packed, chain=np.uint32)
-    _, at, counts = np.unique(chains, return_inverse=True, return_counts=True)
+    (found,) = _joined(packed, chain=np.uint32)
+    _, at, counts = np.unique(found, return_inverse=True, return_counts=True)
     counts = np.minimum(counts, 65535).astype(np.uint16)[at]
     out, start = [], 0
-    for block, who, chain, after in zip(packed["block"], packed["who"], packed["chain"], packed["next"]):
-        n = counts[start : start + len(after)]
-        start += len(after)
+    for block, who, chain in zip(packed["block"], packed["who"], packed["chain"]):
+        chain = np.frombuffer(chain, np.uint32)
+        n = counts[start : start + len(chain)]
+        start += len(chain)
         k = n > 1
-        arrays = np.frombuffer(who, np.uint16)[k], np.frombuffer(chain, np.uint32)[k], np.frombuffer(after, np.uint8)[k], n[k]
-        out.append((block, key[0], *_pack(*arrays), b"", b"", b""))
+        out.append((block, key[0], _steps(_places(who, len(chain))[k]), *_pack(chain[k], n[k]), b"", b"", b""))
     return pd.DataFrame(out, columns=names)
 
 
@@ -204,41 +208,42 @@ def _rarest(packed: pd.DataFrame, rule: Filter) -> pd.DataFrame:
 
     Heavy classes go to parts beyond the buckets, without chains.
     """
-    names = ["bucket", "cls", "size", "chain", "next"]
+    names = ["bucket", "cls", "size", "chain"]
     known = packed[packed["part"] < 0].iloc[:1]
     classes, sizes, common = _joined(known, cls=np.int64, size=np.uint32, common=np.uint32)
     packed = packed[packed["part"] >= 0].drop_duplicates("part")  # a block that came twice has the same chains twice
-    who, chains, after, counts = _joined(packed, who=np.uint16, chain=np.uint32, next=np.uint8, n=np.uint16)
-    bucket = np.repeat(packed["part"].to_numpy().astype(np.int64), [len(x) for x in packed["next"]])
-    order = np.lexsort((chains, bucket, counts, who))
-    who, chains, after, counts, bucket = who[order], chains[order], after[order], counts[order], bucket[order]
+    found, counts = _joined(packed, chain=np.uint32, n=np.uint16)
+    who = np.concatenate([np.empty(0, np.int64), *(_places(w, len(c) // 4) for w, c in zip(packed["who"], packed["chain"]))])
+    bucket = np.repeat(packed["part"].to_numpy().astype(np.int64), [len(x) // 4 for x in packed["chain"]])
+    order = np.lexsort((found, bucket, counts, who))
+    who, found, counts, bucket = who[order], found[order], counts[order], bucket[order]
     own = np.bincount(who, minlength=len(classes))
-    alone = sizes.astype(np.int64) - own - common  # chains that no other class has are rarer than all
-    left = rule.table(sizes)[sizes, 0] - alone
+    share, want = rule.shared(sizes)
+    left = own + common.astype(np.int64) - (share - want)  # chains that no other class has are the rarest, frequent ones the last
     at = np.flatnonzero(np.arange(len(who)) - (np.cumsum(own) - own)[who] < left[who])
-    who, chains, after, counts, bucket = who[at], chains[at], after[at], counts[at], bucket[at]
+    who, found, counts, bucket = who[at], found[at], counts[at], bucket[at]
     is_heavy = left > own  # it would keep frequent ones
     most = rule.limits.hot
     hot = counts >= most
-    if rule.chains:
+    if rule.in_chains:
         is_heavy[who[hot]] = True
-        who, chains, after, bucket = who[~hot], chains[~hot], after[~hot], bucket[~hot]
+        who, found, bucket = who[~hot], found[~hot], bucket[~hot]
     elif hot.any():
         blocks = np.where(hot, -(-counts.astype(np.int64) // most), 1)
         mine = (classes[who].view(np.uint64) >> np.uint64(7)) % blocks.astype(np.uint64)
         rows = np.repeat(np.arange(len(who)), blocks)
         other = (np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
         mine, hot = mine[rows], hot[rows]
-        who, chains, after, bucket = who[rows], chains[rows], after[rows], bucket[rows]
+        who, found, bucket = who[rows], found[rows], bucket[rows]
         pair = np.minimum(mine, other) << np.uint64(16) | np.maximum(mine, other)
-        dealt = mix((bucket.astype(np.uint64) << np.uint64(32) | chains) * np.uint64(0x9E3779B97F4A7C15) + pair)
+        dealt = mix((bucket.astype(np.uint64) << np.uint64(32) | found) * np.uint64(0x9E3779B97F4A7C15) + pair)
         bucket = np.where(hot, ((dealt >> np.uint64(32)) % np.uint64(rule.parts)).astype(np.int64), bucket)
-        chains = np.where(hot, (dealt & _LOW).astype(np.uint32), chains)
+        found = np.where(hot, (dealt & _LOW).astype(np.uint32), found)
     small = sizes.astype(np.uint16 if sizes.max(initial=0) < 1 << 16 else np.uint32)
-    out = [(b, *_pack(classes[who[i]], small[who[i]], chains[i], after[i])) for b, i in _split(bucket)]
+    out = [(b, *_pack(classes[who[i]], small[who[i]], found[i])) for b, i in _split(bucket)]
     heavy = classes[is_heavy]
     if len(heavy):
-        out.append((rule.parts + int(heavy[0] % 64), heavy.tobytes(), b"", b"", b""))
+        out.append((rule.parts + int(heavy[0] % 64), heavy.tobytes(), b"", b""))
     return pd.DataFrame(out, columns=names)
 
 
@@ -250,23 +255,21 @@ def _shared(key: tuple, packed: pd.DataFrame, rule: Filter) -> Iterator[pd.DataF
     if key[0] >= rule.parts:
         yield pd.DataFrame([(i % rule.parts, x, b"", b"", b"") for i, x in enumerate(packed["cls"])], columns=_PAIRS)
         return
-    classes, chains, after = _joined(packed, cls=np.int64, chain=np.uint32, next=np.uint8)
-    sizes = np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * len(y) else np.uint32) for x, y in zip(packed["size"], packed["next"])])
-    order = np.lexsort((after, classes, chains))
-    classes, sizes, chains, after = classes[order], sizes[order].astype(np.int64), chains[order], after[order]
-    first = np.r_[True, (chains[1:] != chains[:-1]) | (classes[1:] != classes[:-1])]  # copies in other blocks
-    classes, sizes, chains, after = classes[first], sizes[first], chains[first], after[first]
-    third, fourth = after >> 4, after & 15
-    reach = np.searchsorted(chains, chains, side="right") - np.arange(len(chains)) - 1  # later rows with the same chain
-    wants = np.minimum(rule.table(sizes)[:, 1], 65535).astype(np.uint16)
+    classes, found = _joined(packed, cls=np.int64, chain=np.uint32)
+    sizes = np.concatenate([np.frombuffer(x, np.uint16 if 2 * len(x) == len(y) else np.uint32) for x, y in zip(packed["size"], packed["chain"])])
+    order = np.lexsort((classes, found))
+    classes, sizes, found = classes[order], sizes[order].astype(np.int64), found[order]
+    first = np.r_[True, (found[1:] != found[:-1]) | (classes[1:] != classes[:-1])]  # copies in other blocks
+    classes, sizes, found = classes[first], sizes[first], found[first]
+    reach = np.searchsorted(found, found, side="right") - np.arange(len(found)) - 1  # later rows with the same chain
+    wants = np.minimum(rule.shared(sizes)[1], 65535).astype(np.uint16)
     step, block, rows = 0, [], 0
     at = np.flatnonzero(reach > 0)
     while len(at):
         step += 1
         small, large = np.minimum(sizes[at], sizes[at + step]), np.maximum(sizes[at], sizes[at + step])
-        good = (third[at] == third[at + step]) | (fourth[at] == third[at + step]) | (third[at] == fourth[at + step])
-        fit = at[good & (small >= rule.similarity * large - 1e-9)]
-        block.append((classes[fit], classes[fit + step], np.minimum(wants[sizes[fit]], wants[sizes[fit + step]])))
+        fit = at[small >= rule.similarity * large - 1e-9]
+        block.append((classes[fit], classes[fit + step], np.minimum(wants[fit], wants[fit + step])))
         rows += len(fit)
         at = at[reach[at] > step]
         if rows > PAIR_ROWS or not len(at):
@@ -301,8 +304,8 @@ def _frequent(rows: DataFrame, total: int, rule: Filter) -> np.ndarray:
         return np.empty(0, np.uint64)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, _, chains, _ in _rings(batches, rule):
-            values, n = np.unique(chains, return_counts=True)
+        for *_, found in _rings(batches, rule):
+            values, n = np.unique(found, return_counts=True)
             yield pd.DataFrame({"chain": values.view(np.int64), "n": n})
 
     sampled = rows.where(F.pmod("cls", F.lit(-(-total // limits.sample))) == 0).select("cls", "text")
@@ -314,7 +317,7 @@ def _frequent(rows: DataFrame, total: int, rule: Filter) -> np.ndarray:
 def _candidates(rows: DataFrame, rule: Filter) -> DataFrame:
     """(a, b): pairs of classes that the filter leaves, and (a, null) heavy classes."""
 
-    def chains(batches):
+    def dealt(batches):
         return _chains(batches, rule)
 
     def rarest(packed):
@@ -325,10 +328,10 @@ def _candidates(rows: DataFrame, rule: Filter) -> DataFrame:
         return pd.concat(found) if found else pd.DataFrame(columns=_PAIRS)
 
     table = "cls binary, size binary, common binary"
-    packed = rows.select("cls", "text").mapInPandas(chains, f"part int, block long, who binary, {_CHAIN}, {table}")
+    packed = rows.select("cls", "text").mapInPandas(dealt, f"part int, block long, who binary, chain binary, {table}")
     several = packed.repartition(rule.parts, "part", F.when(F.col("part") < 0, F.col("block"))).groupBy("part", F.when(F.col("part") < 0, F.col("block")).alias("b"))
-    several = several.applyInPandas(_counted, f"block long, part int, who binary, {_CHAIN}, n binary, {table}")
-    rare = several.repartition(rule.parts, "block").groupBy("block").applyInPandas(rarest, f"bucket int, cls binary, size binary, {_CHAIN}")
+    several = several.applyInPandas(_counted, f"block long, part int, who binary, chain binary, n binary, {table}")
+    rare = several.repartition(rule.parts, "block").groupBy("block").applyInPandas(rarest, "bucket int, cls binary, size binary, chain binary")
     pairs = rare.repartition(rule.parts, "bucket").groupBy("bucket").applyInPandas(shared, "grp int, a binary, b binary, want binary, shared binary")
     return cut(pairs.repartition(rule.parts, "grp").groupBy("grp").applyInPandas(_enough, "a long, b long"))
 
@@ -343,8 +346,8 @@ def candidate_classes(rows: DataFrame, total: int, similarity: float, size: int,
         raise ValueError("the similarity must be above 0.5 and at most 1")
     least = 2 * rows.sparkSession.sparkContext.defaultParallelism
     pairs = None
-    for chains, sampled in ((True, True), (False, True), (False, False)):
-        rule = Filter(similarity, size, min_words, need, max(least, math.ceil(total * _CHAINS_A_TEXT / limits.bucket)), limits, chains)
+    for in_chains, sampled in ((True, True), (False, True), (False, False)):
+        rule = Filter(similarity, size, min_words, need, max(least, math.ceil(total * _CHAINS_A_TEXT / limits.bucket)), limits, in_chains)
         found = _candidates(rows, replace(rule, frequent=_frequent(rows, total, rule)) if sampled else rule)
         some = found.where("b is not null")
         pairs = some if pairs is None else pairs.unionByName(some).distinct()

@@ -52,6 +52,7 @@ def shingles(found: list[str], size: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def neighbours(ring: np.ndarray) -> np.ndarray:
-    """A hash of each value of a sorted ring with the value after it."""
-    return mix(ring * _A + np.roll(ring, -1) * _B)
+def chains(ring: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of the chains of a sorted ring: each value with the next, and the one or two places after it."""
+    pair = mix(ring * _A + np.roll(ring, -1) * _B)
+    return np.unique(np.concatenate([mix(pair * _A + np.roll(ring, -k)) for k in (2, 3)]))
