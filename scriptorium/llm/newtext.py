@@ -6,10 +6,13 @@
 2. Per thread, a generalised suffix automaton over the words of what the thread's messages
    quote and of earlier messages by other senders. Lines of which most words lie in runs of
    RUN words or more that it accepts are inherited, however they are wrapped. Threads of
-   more than MAX_THREAD messages, which no task should hold, get the same runs from a join
-   on the hash of each RUN words.
-3. Per sender, lines at the end of the author's own lines that recur in other messages,
-   other than greetings, closing words and bare names, are the sender's standing ending.
+   more than MAX_THREAD messages or MAX_CHARS characters, which no task should hold, get the
+   same runs from a join on the hash of each RUN words, by the same order of messages: by
+   time, those without one last, then by item and field.
+3. Per sender, what recurs at the end of the author's own lines in RECUR messages or more:
+   below the closing words or the name whole endings of any length, sentences too, where
+   the lines above differ (else the messages are copies); elsewhere up to TAIL short lines
+   that are no sentences. Greetings, closing words and bare names stay.
 
 Lines end at line feeds and count from 1; a line without a visible character is no line.
 Defined cases: null and empty messages have no line; null threads and senders share
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,9 @@ from scriptorium.session import cut
 RUN = 12
 SHARE = 0.8
 MAX_THREAD = 500
+MAX_CHARS = 4_000_000
+#: Threads, of a few bytes each, that may be broadcast.
+FEW = 1_000_000
 #: Messages of a sender in which a line must end the text to be its standing ending.
 RECUR = 3
 #: Own lines at the end of a message that may be a standing ending.
@@ -241,129 +248,160 @@ def _contact(lines: list[str], i: int) -> bool:
     return not _CLOSING.match(line) and bool(_TITLE.match(line) or _ADDRESS.match(line))
 
 
+def _standing(lines: list[str], own: list[int]) -> list[tuple[int, str, int]]:
+    """(line, ending, context) of the lines below the last closing words or name among a message's own.
+
+    An ending is the hash of a line with all below it, the context that of the last line of
+    the text above the closing.
+    """
+    at = len(own)
+    while at and not (_CLOSING.match(lines[own[at - 1]].strip()) or _bare_name(lines[own[at - 1]])):
+        at -= 1
+    if not 0 < at < len(own):
+        return []
+    above = at
+    while above and (_CLOSING.match(lines[own[above - 1]].strip()) or _bare_name(lines[own[above - 1]])):
+        above -= 1
+    context = xxhash.xxh64_intdigest(lines[own[above - 1]].strip() if above else "")
+    out, ending = [], ""
+    for i in reversed(own[at:]):
+        ending = xxhash.xxh64_hexdigest(ending + "\n" + lines[i].strip())
+        out.append((i, ending, context))
+    return out
+
+
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The marked lines of each message, and, without a mark, its last own lines that may be a standing ending."""
-    names = ["item", "field", "line_no", "reason", "sender", "line"]
+    names = ["item", "field", "line_no", "reason", "sender", "line", "context"]
     for batch in batches:
         out = []
         for item, field, sender, text in batch.itertuples(index=False):
             lines, marks = structure(text)
-            own = 0
-            for i in range(len(lines) - 1, -1, -1):
-                if not lines[i] or not _VISIBLE.search(lines[i]):
-                    continue
-                if marks[i]:
-                    out.append((item, field, i + 1, marks[i], None, None))
-                    continue
-                own += 1
+            own = []
+            for i, (line, mark) in enumerate(zip(lines, marks)):
+                if line and _VISIBLE.search(line):
+                    if mark:
+                        out.append((item, field, i + 1, mark, None, None, None))
+                    else:
+                        own.append(i)
+            if sender is None:
+                continue
+            for i in own[: -TAIL - 1 : -1]:
                 line = lines[i].strip()
                 if len(line) >= 100 or line.endswith(("!", "?", ".", "-")) or _CLOSING.match(line) or _bare_name(line):
-                    own = TAIL + 1  # what stands above is no ending
-                if own <= TAIL and sender is not None:
-                    out.append((item, field, i + 1, None, sender, line))
+                    break  # what stands above is no ending
+                out.append((item, field, i + 1, None, sender, line, xxhash.xxh64_intdigest(item) >> 1))
+            out += [(item, field, i + 1, None, sender, f"\n{ending}", context >> 1) for i, ending, context in _standing(lines, own)]
         yield pd.DataFrame(out, columns=names)
 
 
 def _inherit(rows: pd.DataFrame, least: int = RUN, share: float = SHARE) -> pd.DataFrame:
     """Own lines of a thread's messages that are inherited from others' text."""
-    automata: dict = {}
     parsed = []
+    quoted, written = SuffixAutomaton(), SuffixAutomaton()
     for row in rows.sort_values(["at", "item", "field"], na_position="last").itertuples(index=False):
         lines, marks = structure(row.text)
-        parsed.append((row, lines, marks))
-    quoted = SuffixAutomaton()
-    for _, lines, marks in parsed:
-        held: list[str] = []
-        for line, mark in zip(lines, marks):
-            if mark == "q":
-                held += words(line)
-        quoted.add(held)
+        parsed.append((row, *_own_words(lines, marks, "")))
+        quoted.add(_own_words(lines, marks, "q")[0])
     out = []
-    earlier: list = []
-    for row, lines, marks in parsed:
-        found, owner = [], []
-        for i, (line, mark) in enumerate(zip(lines, marks)):
-            if not mark:
-                w = words(line)
-                found += w
-                owner += [i] * len(w)
-        flags = quoted.inherited(found, least)
-        for sender, text in earlier:
-            if sender != row.sender:
-                key = id(text)
-                if key not in automata:
-                    automata[key] = SuffixAutomaton()
-                    automata[key].add(text)
-                flags = [a or b for a, b in zip(flags, automata[key].inherited(found, least))]
-        earlier.append((row.sender, found))
-        counts: dict = {}
-        for i, flag in zip(owner, flags):
-            n, m = counts.get(i, (0, 0))
-            counts[i] = (n + 1, m + flag)
-        out += [(row.item, row.field, i + 1, "t") for i, (n, m) in counts.items() if m >= share * n]
+    for row, found, owner in parsed:
+        flags = [a or b for a, b in zip(quoted.inherited(found, least), written.inherited(found, least, row.sender))]
+        written.add(found, row.sender)
+        out += [(row.item, row.field, i + 1, "t") for i in _lines_of(owner, flags, share)]
     return pd.DataFrame(out, columns=["item", "field", "line_no", "reason"])
 
 
 _OUT = "item string, field string, line_no int, reason string"
 
 
-def old_lines(messages: DataFrame) -> DataFrame:
+def old_lines(messages: DataFrame, most: tuple[int, int] = (MAX_THREAD, MAX_CHARS)) -> DataFrame:
     """(item, field, line_no, reason) of the lines not newly written.
 
     `messages` has item, field, thread, sender, at, text; reason is q quoted, s signature,
-    d notice, t inherited in the thread, r recurring ending.
+    d notice, t inherited in the thread, r recurring ending. `most` are the messages and
+    characters of a thread that one task may hold; what is found is the same beyond.
     """
     rows = messages.where("item is not null and text is not null")
-    read = rows.select("item", "field", "sender", "text").mapInPandas(_lines, f"{_OUT}, sender string, line string")
+    read = rows.select("item", "field", "sender", "text").mapInPandas(_lines, f"{_OUT}, sender string, line string, context long")
     read = cut(read)
     marked = read.where("reason is not null").select("item", "field", "line_no", "reason")
 
     keyed = rows.where("thread is not null")
-    sizes = keyed.groupBy("thread").agg(F.countDistinct("item", "field").alias("n")).where("n > 1")
-    once = keyed.groupBy("thread", "item", "field").agg(F.min(F.struct("text", "sender", "at")).alias("m"))
-    once = once.select("thread", "item", "field", "m.sender", "m.at", "m.text")
-    small = once.join(sizes.where(F.col("n") <= MAX_THREAD).select("thread"), "thread", "left_semi")
-    inherited = small.groupBy("thread").applyInPandas(lambda r: _inherit(r), _OUT)
-    large = once.join(sizes.where(F.col("n") > MAX_THREAD).select("thread"), "thread", "left_semi")
+    each = keyed.groupBy("thread", "item", "field").agg(F.max(F.length("text")).alias("n"))
+    sizes = cut(each.groupBy("thread").agg(F.count("*").alias("n"), F.sum("n").alias("chars")).where("n > 1"))
+    big = (F.col("n") > most[0]) | (F.col("chars") > most[1])
+
+    def messages_of(threads: DataFrame) -> DataFrame:
+        if threads.limit(FEW + 1).count() <= FEW:  # then messages alone in their thread are not shuffled
+            threads = F.broadcast(threads)
+        once = keyed.join(threads, "thread", "left_semi").groupBy("thread", "item", "field").agg(F.min(F.struct("text", "sender", "at")).alias("m"))
+        return once.select("thread", "item", "field", "m.sender", "m.at", "m.text")
+
+    inherited = messages_of(sizes.where(~big).select("thread")).groupBy("thread").applyInPandas(lambda r: _inherit(r), _OUT)
+    large = messages_of(sizes.where(big).select("thread"))
 
     tails = read.where("reason is null").drop("reason").distinct()
-    common = tails.groupBy("sender", "line").agg(F.countDistinct("item").alias("n")).where(F.col("n") >= RECUR).select("sender", "line")
+    common = tails.groupBy("sender", "line").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= RECUR).select("sender", "line")
     recurring = tails.join(common, ["sender", "line"], "left_semi").select("item", "field", "line_no", F.lit("r").alias("reason"))
 
     every = marked.unionByName(inherited).unionByName(_inherited_by_join(large)).unionByName(recurring)
     return every.groupBy("item", "field", "line_no").agg(F.min("reason").alias("reason"))
 
 
+def _own_words(lines: list[str], marks: list[str], mark: str) -> tuple[list[str], list[int]]:
+    """The words of the lines with a mark, and the line of each."""
+    found, owner = [], []
+    for i, (line, m) in enumerate(zip(lines, marks)):
+        if m == mark:
+            w = words(line)
+            found += w
+            owner += [i] * len(w)
+    return found, owner
+
+
+def _lines_of(owner: list[int], flags: list[bool], share: float) -> list[int]:
+    """The lines of whose words the share or more is flagged."""
+    counts: dict = {}
+    for i, flag in zip(owner, flags):
+        n, m = counts.get(i, (0, 0))
+        counts[i] = (n + 1, m + flag)
+    return [i for i, (n, m) in counts.items() if m >= share * n]
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The hash of each run of RUN words: of quoted text (own false), and of own text with the lines it touches."""
+    """The hash of each run of RUN words, of quoted text (own false) and of own text, with its first word's place."""
     for batch in batches:
         out = []
         for item, field, thread, sender, at, text in batch.itertuples(index=False):
             lines, marks = structure(text)
-            for own in (False, True):
-                found, owner = [], []
-                for i, (line, mark) in enumerate(zip(lines, marks)):
-                    if (not mark) if own else mark == "q":
-                        w = words(line)
-                        found += w
-                        owner += [i] * len(w)
+            for own, mark in ((False, "q"), (True, "")):
+                found, _ = _own_words(lines, marks, mark)
                 if len(found) < RUN:
                     continue
                 h = word_hashes(found)
                 run = h[: len(h) - RUN + 1].copy()
                 for k in range(1, RUN):
                     run = mix(run * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - RUN + 1 + k])
-                for start, value in enumerate(run.view(np.int64)):
-                    out.append((thread, int(value), own, item, field, sender, at, owner[start : start + RUN], start))
-        yield pd.DataFrame(out, columns=["thread", "run", "own", "item", "field", "sender", "at", "lines", "start"])
+                out += [(thread, int(value), own, item, field, sender, at, start) for start, value in enumerate(run.view(np.int64))]
+        yield pd.DataFrame(out, columns=["thread", "run", "own", "item", "field", "sender", "at", "start"])
 
 
-def _inherited_by_join(rows: DataFrame) -> DataFrame:
-    """Inherited lines of threads too large for a task: of each run only quotes and its first messages by two senders matter.
+def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The inherited lines of messages, from the places of their inherited runs."""
+    for batch in batches:
+        out = []
+        for item, field, text, starts in batch.itertuples(index=False):
+            found, owner = _own_words(*structure(text), "")
+            flags = np.zeros(len(found), bool)
+            for start in starts:
+                flags[start : start + RUN] = True
+            out += [(item, field, i + 1, "t") for i in _lines_of(owner, flags.tolist(), SHARE)]
+        yield pd.DataFrame(out, columns=["item", "field", "line_no", "reason"])
 
-    Messages come in the order of _inherit: by time, those without one last, then by item and field.
-    """
-    schema = "thread string, run long, own boolean, item string, field string, sender string, at timestamp, lines array<int>, start int"
+
+def _inherited_by_join(rows: DataFrame) -> DataFrame:
+    """Inherited lines of threads too large for a task: of each run only quotes and its first messages by two senders matter."""
+    schema = "thread string, run long, own boolean, item string, field string, sender string, at timestamp, start int"
     runs = rows.select("item", "field", "thread", "sender", "at", "text").mapInPandas(_runs, schema)
     runs = runs.withColumn("place", F.struct(F.col("at").isNull().alias("late"), F.coalesce("at", F.lit(0).cast("timestamp")).alias("at"), "item", "field"))
     by = runs.where("own").groupBy("thread", "run", "sender").agg(F.min("place").alias("place"))
@@ -374,17 +412,5 @@ def _inherited_by_join(rows: DataFrame) -> DataFrame:
     hit = runs.where("own").join(quoted, ["thread", "run"], "left").join(first, ["thread", "run"], "left")
     before = F.when(F.col("sender").eqNullSafe(F.col("first_sender")), F.col("other")).otherwise(F.col("first"))
     hit = hit.where(F.coalesce("quoted", F.lit(False)) | F.coalesce(before < F.col("place"), F.lit(False)))
-    touched = hit.select("item", "field", F.explode(F.arrays_zip(F.col("lines").alias("l"), F.sequence("start", F.col("start") + RUN - 1).alias("w"))).alias("x"))
-    covered = touched.select("item", "field", F.col("x.l").alias("line"), F.col("x.w").alias("word")).distinct().groupBy("item", "field", "line").count()
-
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for item, field, text in batch.itertuples(index=False):
-                lines, marks = structure(text)
-                out += [(item, field, i, len(words(line))) for i, (line, mark) in enumerate(zip(lines, marks)) if not mark]
-            yield pd.DataFrame(out, columns=["item", "field", "line", "n"])
-
-    lengths = rows.select("item", "field", "text").mapInPandas(sizes, "item string, field string, line int, n int").distinct()
-    joined = covered.join(lengths, ["item", "field", "line"]).where(F.col("count") >= F.lit(SHARE) * F.col("n"))
-    return joined.select("item", "field", (F.col("line") + 1).alias("line_no"), F.lit("t").alias("reason"))
+    starts = hit.groupBy("thread", "item", "field").agg(F.collect_set("start").alias("starts"))
+    return rows.join(starts, ["thread", "item", "field"]).select("item", "field", "text", "starts").mapInPandas(_covered, _OUT)

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from scriptorium.llm import newtext
 from scriptorium.llm.automaton import SuffixAutomaton
 
@@ -59,10 +61,31 @@ def test_inherited_in_thread(spark):
     assert got == {("m2", 2, "t"), ("m2", 3, "t")}
 
 
-def test_large_threads_alike(spark, monkeypatch):
-    want = {(r.item, r.line_no) for r in newtext.old_lines(thread(spark, 9)).collect()}
-    monkeypatch.setattr(newtext, "MAX_THREAD", 3)
-    assert {(r.item, r.line_no) for r in newtext.old_lines(thread(spark, 9)).collect()} == want
+def random_threads(seed):
+    """Threads whose messages repeat pieces of each other, quoted or not, with null times and senders, ties, and items that come twice."""
+    rng = random.Random(seed)
+    at = dt.datetime(2024, 1, 1)
+    pieces = [" ".join(f"p{k}w{i}" for i in range(rng.choice([6, 12, 13, 25]))) for k in range(12)]
+    rows = []
+    for n in range(60):
+        lines = []
+        for piece in rng.sample(pieces, rng.randint(1, 4)):
+            w = piece.split()
+            cut = rng.randint(0, len(w))
+            mark = rng.choice(["", "", "", "> "])
+            lines += [mark + " ".join(w[:cut]), mark + " ".join(w[cut:])] if rng.random() < 0.5 else [mark + piece]
+        when = rng.choice([None, *(at + dt.timedelta(k) for k in range(5))])
+        rows.append((f"m{n}", "body", f"t{n % 5}", rng.choice([None, "ann", "bob", "cy"]), when, f"Own words {n}\n" + "\n".join(lines), 1))
+    return rows + [(*rows[7][:5], "another text\n" + rows[9][5], 1)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_both_ways_find_the_same(spark, seed):
+    df = spark.createDataFrame(random_threads(seed), SCHEMA)
+    want = {tuple(r) for r in newtext.old_lines(df).collect()}
+    assert {tuple(r) for r in newtext.old_lines(df, (1, 1)).collect()} == want
+    assert {tuple(r) for r in newtext.old_lines(df, (10**6, 500)).collect()} == want
+    assert sum(r[3] == "t" for r in want) > 10
 
 
 def test_standing_endings(spark):
@@ -72,7 +95,29 @@ def test_standing_endings(spark):
     assert newtext.old_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_large_threads_inherit_alike(spark, monkeypatch):
+def test_endings_below_the_name(spark):
+    """A notice of whole sentences in all of a sender's messages; not what stands above the name, nor copies of one message."""
+    notice = "All offers are subject to contract.\nPlease think of the trees, and of " + "very " * 30 + "long lines."
+    rows = [(f"i{k}", "body", None, "ann", None, f"Text number {k} is new.\nThe same sentence ends every one.\nNo. {k}!\n\nBest,\nAnn\n\n{notice}", 1) for k in range(3)]
+    rows += [(f"c{k}", "body", None, "bob", None, f"Number {k}\nOne text sent again and again.\n\nBob\nIt has a line down here.", 1) for k in range(5)]
+    got = {(r.item, r.line_no, r.reason) for r in newtext.old_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(f"i{k}", n, "r") for k in range(3) for n in (8, 9)}
+
+
+def test_owners_of_runs():
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = [([rng.choice("abc") for _ in range(rng.randint(0, 12))], rng.choice("xyz")) for _ in range(rng.randint(1, 6))]
+        automaton = SuffixAutomaton()
+        for t, who in texts:
+            automaton.add(t, who)
+        query, me = [rng.choice("abc") for _ in range(15)], rng.choice("xyz")
+        runs = {tuple(t[i : i + 3]) for t, who in texts if who != me for i in range(len(t) - 2)}
+        want = [any(tuple(query[k : k + 3]) in runs for k in range(max(0, i - 2), min(i, len(query) - 3) + 1)) for i in range(len(query))]
+        assert automaton.inherited(query, 3, me) == want
+
+
+def test_large_threads_inherit_alike(spark):
     """A-B-A threads, null times and senders, equal times, an item that comes twice."""
     at = dt.datetime(2024, 1, 1)
     text = lambda k: " ".join(f"{w}{k}" for w in OLD.split())
@@ -83,8 +128,7 @@ def test_large_threads_inherit_alike(spark, monkeypatch):
     rows = [(f"{k}{n}", "body", "t", who, when and at + dt.timedelta(when), f"Number {k} {n}\n{text(k)}", 1) for k, messages in sent for n, (who, when) in enumerate(messages)]
     rows += [("a0", "body", "t", "ann", at + dt.timedelta(1), f"zzz\n{text('g')}", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    get = lambda: {(r.item, r.line_no, r.reason) for r in newtext.old_lines(df).collect()}
-    want = get()
+    get = lambda most: {(r.item, r.line_no, r.reason) for r in newtext.old_lines(df, most).collect()}
+    want = get((500, 10**6))
     assert {i for i, _, _ in want} == {"a1", "a2", "a3", "b0", "b2", "c1", "c2", "d1", "e1", "e2", "f1", "f2"}
-    monkeypatch.setattr(newtext, "MAX_THREAD", 3)
-    assert get() == want
+    assert get((3, 10**6)) == want
