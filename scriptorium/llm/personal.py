@@ -8,8 +8,9 @@ words too count where a family name, a mark or the words around them say so.
 
 A replacement is keyed: the same item gets the same one everywhere (names by their words,
 so that parts of a name stay parts of one), different items different ones. Surrogates
-keep the form of the item: digits for digits, letters of the same script and case, given
-names of the same gender where it is known, mail domains under a reserved one. Keyed
+keep the form of the item: digits for digits, letters of the same script and case, the
+signs and the disguise of a mail address, whose domain comes under a reserved one. Given
+names get one of the same gender where the name's is known, else one that is anybody's. Keyed
 hashes can meet; `collisions` finds all such items of the corpus, for names their words, and
 salts for all but one of them with which none meet, in rounds that check the new surrogates
 too. Placeholders have codes of 80 bits, which do not meet in practice and are not checked.
@@ -37,7 +38,7 @@ from scriptorium.session import cut
 MAX_NAMES = 500_000
 
 _S = "[ \t\xa0     　]"
-_U = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
+_U = "А-ЯЁЄІЇҐΑ-ΩΆΈΉΊΌΎΏA-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
 _W = r"[^\W\d_]"
 
 _DOMAIN = re.compile(r"@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
@@ -429,12 +430,45 @@ def items(df: DataFrame, id_col: str, fields: list[str], names: DataFrame) -> Da
 
 # Replacements.
 
-# Surrogate given names by gender, and parts of surrogate family names.
+# Surrogate given names by gender and for unknown gender, and parts of surrogate family names.
 _WOMEN = "Ada Berta Carla Dina Elva Flora Gilda Hedda Ilse Jorun Karla Livia Mira Nella Odette Petra Romy Selma Tilda Ulla Vilma Wanda Xenia Yrsa Zelda".split()
 _MEN = "Aldo Bernt Cyril Darius Edgar Fabio Gideon Henrik Igor Jasper Karsten Ludo Milan Nestor Otto Piet Quentin Rufus Silvan Tobias Ulrich Valter Wim Xaver Yannis".split()
+_ANY = "Adri Bente Chris Dany Eike Finley Gerrit Helge Inge Jona Kim Lou Maris Nikola Ode Pauli Quin Reese Sascha Toni Uli Vanja Wynn Yael Zion".split()
 _HEADS = "Ander Bel Cal Dorn Eck Fal Gar Hol Ing Jas Kol Lar Mar Nor Ost Per Rad Sal Tor Urs Val Wes Yar Zel".split()
 _TAILS = "bach bury dale feld gard hart horn kamp land lund mann mere rup sen shaw ström ton vik wald worth".split()
-_FEMALE = re.compile(r"(?:a|e|ë|th|ie|y|is|ine|ette)$")
+# Given names whose ending does not tell their gender, and endings that do.
+_KNOWN_WOMEN = frozenset(
+    "agnes alice anne astrid beatrice birgit carmen carol charlotte chloé chloe claire doris edith elizabeth ellen esther gertrud grace gudrun helen heidi inés ines ingrid irene iris isabel"
+    " jane jennifer joan joy judith karen katherine kathleen lily lucy margaret marie marion mary mercedes miriam nancy patricia pilar rachel rose ruth sarah sigrid simone sophie susan sylvie"
+    " ursula valerie violet yvonne zoé zoe emily emma amy aisling ashling louise chantal margot".split()
+)
+_KNOWN_MEN = frozenset(
+    "alex andré andrea andreas antoine arthur benjamin bernard bruno carlos charles christian daniel david denis diego dmitri edward emil enrique erik eric ernest ethan felix fernando filip"
+    " francis frank friedrich george guy hans harry heinrich henry hugo ian ivan jack jacob jakob james javier jean joão john jonas jonathan jorge josé joseph joshua juan jürgen karl kevin"
+    " klaus lars leo leon louis luca lucas luis luka lukas marc marco marcel mario mark martin mateo matteo matthew max michael miguel mika nicholas nikita noah oliver oscar pablo patrick paul"
+    " pedro peter philip pierre rafael raj ralph raphael raymond rené richard robert roger rolf samuel sebastian sergio simon stefan stephen sven theo thomas tim timothy tom victor vincent walter"
+    " wolfgang wei ryan liam".split()
+)
+_FEMALE = re.compile(r"(?:[^\Wo]a|ette|elle|ina|ine|trud|hild)$")
+_MALE = re.compile(r"(?:us|os|[^\Wa]o|rd|rt|ert|bert|fried)$")
+# Letters of other scripts for those of surrogates.
+_CYRILLIC = str.maketrans("abcdefghijklmnopqrstuvwxyzöABCDEFGHIJKLMNOPQRSTUVWXYZ", "абцдефгхийклмнопкрстуввкызоАБЦДЕФГХИЙКЛМНОПКРСТУВВКЫЗ")
+_GREEK = str.maketrans("abcdefghijklmnopqrstuvwxyzöABCDEFGHIJKLMNOPQRSTUVWXYZ", "αβκδεφγχιγκλμνοπκρστυβωξυζοΑΒΚΔΕΦΓΧΙΓΚΛΜΝΟΠΚΡΣΤΥΒΩΞΥΖ")
+
+
+def gender(word: str) -> str:
+    """f or m where a given name tells, else an empty text."""
+    low = word.casefold()
+    if low in _KNOWN_WOMEN or low in _KNOWN_MEN:
+        return "f" if low in _KNOWN_WOMEN else "m"
+    return "f" if _FEMALE.search(low) else "m" if _MALE.search(low) else ""
+
+
+def _in_script(made: str, like: str) -> str:
+    """Letters of a surrogate in the script of the word it stands for."""
+    if any("Ѐ" <= c <= "ӿ" for c in like):
+        return made.translate(_CYRILLIC)
+    return made.translate(_GREEK) if any("Ͱ" <= c <= "Ͽ" for c in like) else made
 
 
 def _number(key: bytes, *parts: str) -> int:
@@ -480,7 +514,7 @@ def _name_word(key: bytes, word: str, given: bool, salt: int) -> str:
     """The surrogate of a name's word; each salt has a syllable more, so that the space grows with the collisions."""
     n = _number(key, "g" if given else "f", word.casefold(), str(salt))
     if given:
-        names = _WOMEN if _FEMALE.search(word.casefold()) else _MEN
+        names = {"f": _WOMEN, "m": _MEN, "": _ANY}[gender(word)]
         n, a = divmod(n, len(names))
         n, b = divmod(n, 4 * len(_TAILS))
         out = names[a] + ("" if b % 4 == 0 else _TAILS[b // 4][:2])
@@ -492,9 +526,22 @@ def _name_word(key: bytes, word: str, given: bool, salt: int) -> str:
     for _ in range(salt):
         n, d = divmod(n, len(_HEADS))
         out += _HEADS[d].lower()
+    out = _in_script(out, word)
     return out.upper() if word.isupper() and len(word) > 1 else out
 
 
+def _email_like(key: bytes, seed: str, found: str, more: str) -> str:
+    """An address of the same form: letters and digits replaced, signs and disguise kept, the last label being `example`."""
+    at = re.search(_AT if "@" not in found or _AT_MARK.search(found) else "@", found)
+    local, sign, domain = found[: at.start()], at.group(), found[at.end() :]
+    labels = re.split(f"({_DOT})", domain)
+    host = "".join(labels[:-1])
+    shaped = _shaped(key, "email", seed, local + more + "\x00" + re.sub(_DOT, lambda m: "\x01", host))
+    local, _, host = shaped.partition("\x00")
+    dots = iter(labels[1::2])
+    return local + sign + "".join(next(dots) if c == "\x01" else c for c in host) + "example"
+
+
 @lru_cache(1000)
 def _initial(key: bytes, letter: str) -> str:
     """An initial's surrogate: a keyed order of the alphabet, so that different initials stay different."""
@@ -554,7 +601,7 @@ def surrogate(key: bytes, kind: str, found: str, salts: dict | None = None) -> s
     seed = f"{canonical(kind, found)}\x1f{salt}" if salt else canonical(kind, found)
     more = "0" * max(0, salt - 3)  # room where all numbers of the form are taken
     if kind == "email":
-        return f"u{_number(key, kind, seed) % 10**12:012d}@mail.example"
+        return _email_like(key, seed, found, more)
     if kind == "phone":
         head = re.match(r"\+\d{1,3}|00\d{1,2}(?=\D)|\(?0", found)
         kept = head.group() if head else ""
@@ -573,8 +620,8 @@ def surrogate(key: bytes, kind: str, found: str, salts: dict | None = None) -> s
     return _shaped(key, kind, seed, found + more)
 
 
-def collisions(found: DataFrame, key: bytes) -> dict:
-    """{(kind, item): salt} with which no two items have one surrogate, after `found` of items(); refused above MAX_NAMES.
+def collisions(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, item, salt), the salts above 0 with which no two items have one surrogate, after `found` of items().
 
     Names are told apart by their words, kinds g and f, so that a word has one surrogate in
     all names. Of the items that meet, the one with the lowest salt, then the first, keeps
@@ -582,16 +629,6 @@ def collisions(found: DataFrame, key: bytes) -> dict:
     """
     schema = "kind string, item string, found string, salt int, made string"
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = set()
-            for kind, text, alone in zip(batch["kind"], batch["found_text"], batch["alone"]):
-                if kind == "name":
-                    out |= {(role, w.casefold(), w.casefold()) for role, w in name_parts("given" if alone else kind, text) if role in ("g", "f")}
-                else:
-                    out.add((kind, canonical(kind, text), text))
-            yield pd.DataFrame(sorted(out), columns=["kind", "item", "found"])
-
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []
@@ -600,7 +637,7 @@ def collisions(found: DataFrame, key: bytes) -> dict:
                 made.append(before or canonical(like, surrogate(key, kind, text, {(kind, item): salt} if salt else None)))
             yield batch.assign(made=made)[["kind", "item", "found", "salt", "made"]]
 
-    rows = found.select("kind", "found_text", "alone").distinct().mapInPandas(units, "kind string, item string, found string")
+    rows = found.select("kind", "found_text", "alone").distinct().mapInPandas(_units, "kind string, item string, found string")
     rows = rows.groupBy("kind", "item").agg(F.min("found").alias("found")).select("*", F.lit(0).alias("salt"), F.lit(None).cast("string").alias("made"))
     space = F.when(F.col("kind").isin("g", "f"), "name").otherwise(F.col("kind"))
     state = cut(rows.mapInPandas(make, schema))
@@ -612,40 +649,71 @@ def collisions(found: DataFrame, key: bytes) -> dict:
         meets = F.col("keeps").isNotNull() & (F.struct("salt", "kind", "item") != F.col("keeps"))
         again = held.select("kind", "item", "found", F.when(meets, F.col("salt") + 1).otherwise(F.col("salt")).alias("salt"), F.when(~meets, F.col("made")).alias("made"))
         state = cut(again.mapInPandas(make, schema))
-    rows = state.where("salt > 0").select("kind", "item", "salt").limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError("too many collisions: the surrogates' space is too small")
-    return {(r.kind, r["item"]): r.salt for r in rows}
+    return state.where("salt > 0").select("kind", "item", "salt")
 
 
-def replaced(df: DataFrame, fields: list[str], names: DataFrame, key: bytes, how: str = "placeholder", salts: dict | None = None) -> DataFrame:
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The things that get a surrogate each, of items() or of rows with a key: names by their words."""
+    for batch in batches:
+        out = set()
+        for row in batch.itertuples(index=False):
+            if row.kind == "name":
+                parts = name_parts("given" if row.alone else row.kind, row.found_text)
+                out |= {(*row[:-3], role, w.casefold(), w.casefold()) for role, w in parts if role in ("g", "f")}
+            else:
+                out.add((*row[:-3], row.kind, canonical(row.kind, row.found_text), row.found_text))
+        yield pd.DataFrame(sorted(out), columns=[*batch.columns[:-3], "kind", "item", "found"])
+
+
+def _rows_with_salts(df: DataFrame, names: DataFrame, fields: list[str], salts: DataFrame | dict | None) -> tuple[DataFrame, object]:
+    """The rows with a column of salts to look up, and the broadcast salts if they are few enough."""
+    none = F.lit(None).cast("array<struct<kind:string,item:string,salt:int>>")
+    if salts is None or isinstance(salts, dict):
+        return df.withColumn("_salts", none), df.sparkSession.sparkContext.broadcast(salts or {})
+    few = salts.limit(MAX_NAMES + 1).collect()
+    if len(few) <= MAX_NAMES:
+        return df.withColumn("_salts", none), df.sparkSession.sparkContext.broadcast({(r.kind, r["item"]): r.salt for r in few})
+    keyed = df.withColumn("_key", F.xxhash64(*fields))
+    found = items(keyed.dropDuplicates(["_key"]), "_key", fields, names).select(F.col("id").cast("long").alias("_key"), "kind", "found_text", "alone")
+    held = found.mapInPandas(_units, "_key long, kind string, item string, found string").join(salts, ["kind", "item"])
+    held = held.groupBy("_key").agg(F.collect_set(F.struct("kind", "item", "salt")).alias("_salts"))
+    return keyed.join(held, "_key", "left").drop("_key"), None
+
+
+def replaced(df: DataFrame, fields: list[str], names: DataFrame, key: bytes, how: str = "placeholder", salts: DataFrame | dict | None = None) -> DataFrame:
     """The frame with the items of the text columns replaced and all else unchanged.
 
     `placeholder` writes [KIND_code], the code being keyed; `surrogate` writes a surrogate.
     """
     kept = [c for c in df.columns if c not in fields]
-    rows, sent = _rows_with_names(df.select(F.struct(*kept).alias("_kept"), *(F.col(f).cast("string").alias(f) for f in fields)), names, fields)
+    rows, salted = _rows_with_salts(df.select(F.struct(*kept).alias("_kept"), *(F.col(f).cast("string").alias(f) for f in fields)), names, fields, salts)
+    rows, sent = _rows_with_names(rows, names, fields)
 
-    def put(kind: str, found: str) -> str:
+    def put(kind: str, found: str, own: dict) -> str:
         if how == "surrogate":
-            return surrogate(key, kind, found, salts)
+            return surrogate(key, kind, found, own)
         kind = "name" if kind == "given" else kind
         return f"[{kind.upper()}_{_number(key, kind, canonical(kind, found)) % 16**20:020x}]"
 
-    def write(texts: pd.Series, held: pd.Series) -> pd.Series:
-        out, once = [], lru_cache(100_000)(put)
-        for text, own in zip(texts, held):
+    def write(texts: pd.Series, held: pd.Series, with_salts: pd.Series) -> pd.Series:
+        out = []
+        once = lru_cache(100_000)(lambda kind, found: put(kind, found, salted.value)) if salted is not None else None
+        for text, own, mine in zip(texts, held, with_salts):
             if not text:
                 out.append(text)
                 continue
+            replace_ = once
+            if replace_ is None:
+                salts_ = {(x["kind"], x["item"]): x["salt"] for x in (mine if mine is not None else [])}
+                replace_ = lambda kind, found: put(kind, found, salts_)  # noqa: B023, E731
             lexicon = sent.value if sent is not None else Lexicon.of([(n["kind"], n["name"]) for n in (own if own is not None else [])])
             parts, at = [], 0
             for s, e, kind in find_items(text, lexicon):
-                parts += [text[at:s], once(kind, text[s:e])]
+                parts += [text[at:s], replace_(kind, text[s:e])]
                 at = e
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
     udf = F.pandas_udf(write, "string")
-    done = rows.select("_kept", *(udf(F.col(f), F.col("_names")).alias(f) for f in fields))
+    done = rows.select("_kept", *(udf(F.col(f), F.col("_names"), F.col("_salts")).alias(f) for f in fields))
     return done.select(*(F.col("_kept").getField(c).alias(c) if c in kept else F.col(c) for c in df.columns))

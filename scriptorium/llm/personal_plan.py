@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,14 @@ from scriptorium.session import cut
 from scriptorium.tables import spread, table
 
 FIELDS = ["body", "subject", "to_addr"]
-#: The key of the replacements; whoever runs the queries on real mail sets their own.
-KEY = b"scriptorium"
+#: The setting that holds the key of the replacements; without it, each process draws a key of its own.
+KEY_SETTING = "spark.scriptorium.replacement.key"
+_DRAWN = secrets.token_bytes(32)
+
+
+def _key(spark: SparkSession) -> bytes:
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _DRAWN
 
 
 def _names(spark: SparkSession, directory: str) -> DataFrame:
@@ -32,14 +40,14 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p2_placeholders(spark: SparkSession, directory: str) -> DataFrame:
     """The emails with typed placeholders."""
-    return personal.replaced(_email(spark, directory), FIELDS, _names(spark, directory), KEY)
+    return personal.replaced(_email(spark, directory), FIELDS, _names(spark, directory), _key(spark))
 
 
 def p2_surrogates(spark: SparkSession, directory: str) -> DataFrame:
     """The emails with surrogates, different ones for different items."""
     email, names = _email(spark, directory), _names(spark, directory)
-    salts = personal.collisions(personal.items(email, "id", FIELDS, names), KEY)
-    return personal.replaced(email, FIELDS, names, KEY, "surrogate", salts)
+    salts = personal.collisions(personal.items(email, "id", FIELDS, names), _key(spark))
+    return personal.replaced(email, FIELDS, names, _key(spark), "surrogate", salts)
 
 
 QUERIES = {"p2_found": p2_found, "p2_placeholders": p2_placeholders, "p2_surrogates": p2_surrogates}
