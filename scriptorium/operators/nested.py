@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut
+
 ROOT = "$"
 #: The graph is held by the driver; more edges than this are a sign of data used as field names.
 MAX_EDGES = 20_000
@@ -260,16 +262,23 @@ def shred(df: DataFrame, id_col: str, json_col: str, layout: Layout) -> DataFram
     return source.where("doc is not null").mapInPandas(rows, _ROW_SCHEMA)
 
 
-def flat_tables(df: DataFrame, id_col: str, json_col: str, layout: Layout | None = None) -> dict[str, DataFrame]:
-    """One frame per table of the layout, its leaves as string columns."""
+def flat_tables(df: DataFrame, id_col: str, json_col: str, layout: Layout | None = None, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """One frame per table of the layout, or per name given, its leaves as string columns.
+
+    For more than one table the records are shredded once, to a checkpoint that all read.
+    """
     layout = layout or layout_of(df, json_col)
+    wanted = sorted(layout.tables) if names is None else names
     rows = shred(df, id_col, json_col, layout)
+    if len(wanted) > 1:
+        rows = cut(rows.where(F.col("element").isin(wanted)))
     keys = ["record", "path", "parent_element", "parent_path", "child_no"]
     out = {}
-    for name in sorted(layout.tables):
+    for name in wanted:
         taken = {k.lower() for k in keys}
         columns = []
-        for leaf in [*layout.leaves.get(name, []), *([] if name == ROOT else ["value"])]:
+        own = layout.leaves.get(name, [])
+        for leaf in [*own, *([] if name == ROOT or "value" in own else ["value"])]:
             alias = leaf
             while alias.lower() in taken:
                 alias += "_"

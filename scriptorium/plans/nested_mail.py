@@ -32,7 +32,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 def _flat(name: str):
     def query(spark: SparkSession, directory: str) -> DataFrame:
         payloads = _payloads(spark, directory)
-        return nested.flat_tables(payloads, "id", "payload")[name].distinct()
+        return nested.flat_tables(payloads, "id", "payload", names=[name])[name].distinct()
 
     return query
 
@@ -56,6 +56,9 @@ WITH RECURSIVE texts AS (
 )
 """
 
+_LEAVES = """json_extract_string(n, '$.filename') AS filename, json_extract_string(n, '$.mimeType') AS "mimeType", json_extract_string(n, '$.partId') AS "partId",
+  json_extract_string(n, '$.body.attachmentId') AS "body_attachmentId", json_extract_string(n, '$.body.data') AS body_data, json_extract_string(n, '$.body.size') AS body_size"""
+
 ORACLES = {
     "p4_found": _READ
     + """
@@ -68,5 +71,15 @@ SELECT DISTINCT id, path AS parent_path, kind AS child_kind, CAST(i AS INTEGER)
            WHEN 'OBJECT' THEN [node->'$.parts'] END AS items FROM nodes
   ) a WHERE items IS NOT NULL
 ) b WHERE item IS NOT NULL AND json_type(item) <> 'NULL'
-"""
+""",
+    "p4_messages": _READ
+    + f"""SELECT id AS record, '' AS path, NULL::VARCHAR AS parent_element, NULL::VARCHAR AS parent_path, 0 AS child_no, {_LEAVES} FROM (SELECT DISTINCT id, node::VARCHAR AS n FROM nodes WHERE path = '')""",
+    "p4_parts": _READ
+    + f"""SELECT id AS record, path, CASE WHEN contains(path, '.') THEN 'parts' ELSE '$' END AS parent_element, regexp_replace(path, '[.]?[0-9]+$', '') AS parent_path,
+  regexp_extract(path, '[0-9]+$')::INT AS child_no, {_LEAVES}, NULL::VARCHAR AS value FROM (SELECT DISTINCT id, path, node::VARCHAR AS n FROM nodes WHERE path <> '')""",
+    "p4_headers": _READ
+    + """SELECT DISTINCT id AS record, CASE WHEN path = '' THEN '' ELSE path || '.' END || i AS path, CASE WHEN path = '' THEN '$' ELSE 'parts' END AS parent_element, path AS parent_path, CAST(i AS INTEGER) AS child_no,
+  json_extract_string(item, '$.name') AS name, json_extract_string(item, '$.value') AS value FROM (SELECT id, path, unnest(range(len(items))) AS i, unnest(items) AS item FROM (
+    SELECT id, path, CASE json_type(node, '$.headers') WHEN 'ARRAY' THEN CAST(node->'$.headers' AS JSON[]) WHEN 'OBJECT' THEN [node->'$.headers'] END AS items FROM nodes) a WHERE items IS NOT NULL) b
+  WHERE item IS NOT NULL AND json_type(item) <> 'NULL'""",
 }
