@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import mail, payload
 from scriptorium.plans.mail import _ADDR, _STRIP
+from scriptorium.plans.mail import ORACLES as ORACLES_OF_MAIL
 from scriptorium.plans.nested_mail import _READ
 from scriptorium.tables import spread, table
 
@@ -110,6 +111,24 @@ f AS (SELECT bd.id, coalesce(plain, own, nullif(snippet, ''), '') AS body, coale
 _POSITION = rf"""CASE WHEN regexp_matches(lower({_SP('subject')}), '^(fwd:|fw:)') THEN 'forward' WHEN refs > 0 OR irt OR starts_with(lower({_SP('subject')}), 're:') THEN 'reply' ELSE 'initiating' END AS thread_position,
   CASE WHEN regexp_matches(lower({_SP('subject')}), '^(fwd:|fw:)') THEN 1 WHEN refs > 0 OR irt THEN greatest(refs, 1) WHEN starts_with(lower({_SP('subject')}), 're:') THEN 1 ELSE 0 END AS thread_depth"""
 
+_SPLIT = ORACLES_OF_MAIL["prj_reply"].split("SELECT id, length(quoted)")[0]
+_TONES = ORACLES_OF_MAIL["prj_reply"].split("AS reply_md5, ")[1].split(" AS tone_hints")[0]
+_PAIRS = (
+    _SPLIT
+    + rf""", sn AS (SELECT row_number() OVER () AS rid, snippet, body FROM email), pr0 AS (SELECT id, quoted, coalesce(nullif(reply, ''), nullif(snippet, '')) AS reply FROM g JOIN sn USING (rid) WHERE coalesce(body, '') <> ''),
+pr1 AS (SELECT *, {_TONES} AS tone_hints, list_filter(list_transform(string_split(replace(reply, chr(13), ''), chr(10)), lambda x: {_SP('x')}), lambda x: x <> '') AS ls FROM pr0 WHERE reply IS NOT NULL),
+pr AS (SELECT id, quoted <> '' AS has_context, md5(reply) AS reply_md5, coalesce(CASE WHEN regexp_matches(ls[1], '{_OPENS}') THEN ls[1] END, '') AS greeting,
+  coalesce(CASE WHEN len(ls) > 1 THEN list_filter(list_reverse(ls[-3:]), lambda x: regexp_matches(x, '{_ENDS}'))[1] END, '') AS closing, tone_hints,
+  len(list_filter(string_split_regex(reply, '[ \t\n\r\f\x0b]+'), lambda x: x <> ''))::INT AS word_count, contains(tone_hints, 'uses_contractions') AS has_contractions FROM pr1)"""
+)
+_BODIES = rf""", ml AS (SELECT DISTINCT email.id, coalesce(email.body, f.body, email.snippet, '') AS body, coalesce(nullif(f.subject, ''), email.subject, '') AS subject, coalesce(nullif(f.sender, ''), from_addr, '') AS sender,
+  CASE WHEN len(f.recipients) > 0 THEN f.recipients ELSE list_sort(list_distinct(regexp_extract_all(coalesce(to_addr, ''), '{_ADDR}'))) END AS rs, coalesce(f.cc, '') <> '' AS has_cc, coalesce(f.refs, 0) AS refs, coalesce(f.irt, false) AS irt,
+  coalesce(f.att, 0) AS att, TRY_CAST(internal_date AS BIGINT) AS ms FROM email LEFT JOIN f ON f.id = email.id),
+e2 AS (SELECT *, CASE WHEN ms BETWEEN 1 AND 253402300799999 THEN epoch_ms(ms) END AS tm, list_distinct(list_transform(rs, lambda x: lower(split_part(x, '@', 2)))) AS ds,
+  lower(split_part(regexp_extract(lower(sender), '{_ADDR}'), '@', 2)) AS own, row_number() OVER () AS k FROM ml)"""
+_FORM = ORACLES_OF_MAIL["agg_structure"].replace("WITH b AS (SELECT id,", "b AS (SELECT k AS id,").replace("FROM email)", "FROM e2)")
+_FORM_HEAD, _FORM_TAIL = _FORM.split("\nSELECT id,", 1)
+
 ORACLES = {
     "prj_body": f"{_FIELDS} SELECT id, subject, length(body) AS body_length, md5(body) AS body_md5 FROM f",
     "prj_headers": f"{_FIELDS} SELECT id, sender, cc, array_to_string(recipients, ',') AS recipients, len(recipients) AS n FROM f",
@@ -121,4 +140,11 @@ p AS (SELECT *, list_position(list_transform(ls, lambda x: contains(x, 'wrote:')
 t AS (SELECT id, s, {_SP("coalesce(array_to_string(CASE WHEN k > 0 THEN ls[1:k-1] ELSE ls END, chr(10)), '')")} AS b FROM p),
 j AS (SELECT id, CASE WHEN s <> '' AND NOT starts_with(lower(s), 're:') THEN s || chr(10) || chr(10) || b ELSE b END AS x FROM t),
 c AS (SELECT id, CASE WHEN length(x) > 2000 THEN substr(x, 1, 2000) || '...' ELSE x END AS x FROM j) SELECT id, length(x) AS n, md5(x) AS text_md5 FROM c WHERE length(x) >= 10""",
+    "prj_pairs": f"{_PAIRS} SELECT * FROM pr",
+    "val_pairs": f"""{_PAIRS} SELECT count(*) AS pairs, round(avg(has_context::INT), 6) AS with_context, round(avg((greeting <> '')::INT), 6) AS with_greeting, round(avg(has_contractions::INT), 6) AS with_contractions FROM pr""",
+    "prj_enrichment": f"""{_FIELDS}{_BODIES}, {_FORM_HEAD}, st AS (SELECT id AS k, {_FORM_TAIL})
+SELECT DISTINCT e2.id, len(rs)::INT AS recipient_count, CASE WHEN len(rs)=1 THEN 'individual' WHEN len(rs)<=5 THEN 'small_group' WHEN len(rs)<=15 THEN 'team' ELSE 'broadcast' END AS recipient_type,
+  CASE WHEN len(ds)=0 THEN 'unknown' WHEN len(list_filter(ds, lambda x: x=own))=len(ds) THEN 'internal' WHEN NOT list_contains(ds, own) THEN 'external' ELSE 'mixed' END AS audience, has_cc, {_POSITION}, att > 0 AS has_attachments,
+  CASE WHEN tm IS NULL THEN 'unknown' WHEN hour(tm) BETWEEN 5 AND 11 THEN 'morning' WHEN hour(tm) BETWEEN 12 AND 16 THEN 'afternoon' WHEN hour(tm) BETWEEN 17 AND 20 THEN 'evening' ELSE 'night' END AS time_of_day,
+  coalesce(lower(dayname(tm)), 'unknown') AS day_of_week, isodow(tm) >= 6 AS is_weekend, char_count, paragraph_count, bullet_count, greeting, closing, bullet_count > 0 AS has_bullets FROM e2 JOIN st USING (k)""",
 }
