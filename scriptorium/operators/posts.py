@@ -211,3 +211,73 @@ def persona(df: DataFrame, best: int = 3) -> DataFrame:
     top = rows.select("group", "post_id", F.row_number().over(order).alias("k")).where(F.col("k") <= best)
     top = top.groupBy("group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "post_id"))), lambda x: x["post_id"].cast("string")), ",").alias("examples"))
     return _tone(rows).drop("weighted_length").join(sums, "group").join(top, "group")
+
+
+def formatting(df: DataFrame) -> DataFrame:
+    """Whether bullets and hashtags occur, and how often emoji do: frequent from one a post, moderate from one in two, else rare or none."""
+    emo = F.sum(F.regexp_count("t", F.lit(EMOJI)))
+    return _posts(df).groupBy("group").agg(
+        F.bool_or(F.col("t").rlike("[•-]")).alias("uses_bullets"), F.bool_or(F.col("t").contains("#")).alias("uses_hashtags"),
+        F.when(emo == 0, "none").when(emo >= F.count("*"), "frequent").when(emo * 2 >= F.count("*"), "moderate").otherwise("rare").alias("emoji_frequency"),
+    )
+
+
+def variation(df: DataFrame) -> DataFrame:
+    """The ranges of emoji a post and of questions a sentence, and how hooks are spread."""
+    sents = F.size(T.filled(F.split("t", "[.!?]+", -1)))
+    asked = F.when(sents > 0, T.occurrences(F.col("t"), "?") / sents).otherwise(0.0)
+    opening = T.strip(F.get(F.split("t", "[.!\n]", -1), F.lit(0)))  # the question mark stays, so that a question is one
+    hook = F.when(opening.contains("?"), "question").when(F.lower(opening).rlike("|".join(CALLS)), "call_to_action").otherwise("observation")
+    rows = _posts(df).select("group", F.regexp_count("t", F.lit(EMOJI)).alias("e"), asked.alias("q"), hook.alias("h"))
+    share = lambda k: F.round(F.count_if(F.col("h") == k) / F.count("*"), 2).alias(k)
+    return rows.groupBy("group").agg(
+        F.min("e").alias("min_emoji"), F.max("e").alias("max_emoji"), F.round(F.min("q"), 2).alias("min_questions"), F.round(F.max("q"), 2).alias("max_questions"),
+        share("question"), share("call_to_action"), share("observation"),
+    )
+
+
+def best_post(df: DataFrame) -> DataFrame:
+    """(group, post_id, text): each group's post with the most likes, then the longest, then the lowest id."""
+    rows = _posts(df).groupBy("group").agg(F.min_by(F.struct("post_id", "t"), F.struct(-F.col("likes"), -F.length("t"), F.col("post_id"))).alias("b"))
+    return rows.select("group", "b.post_id", F.col("b.t").alias("text"))
+
+
+def batch_totals(df: DataFrame, held: float = 0.0, seed: int = 42) -> DataFrame:
+    """One row: posts, likes, comments and the posts held out, a share chosen by hash."""
+    chosen = F.pmod(F.xxhash64("post_id", F.lit(seed)), F.lit(10_000)) < int(held * 10_000)
+    return _posts(df).agg(F.count("*").alias("posts"), F.sum("likes").alias("likes"), F.sum("comments").alias("comments"), F.count_if(chosen).alias("held"))
+
+
+def sample_quality(n: Column) -> Column:
+    """What a profile of so many posts is good for."""
+    return F.when(n < 5, "insufficient").when(n < 10, "minimal").when(n < 15, "fair").when(n < 20, "good").otherwise("excellent")
+
+
+def ownership(post: dict[str, Column], owner: dict[str, Column]) -> Column:
+    """Whether a post is its owner's by any of four signs: the user id, the name in the address, the name in the author's address, the author's name."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    user = low(owner["username"])
+    signs = [
+        (low(post["user_id"]) == user), low(post["url"]).contains(user), low(post["author_url"]).contains(user), (low(owner["name"]) != "") & (low(post["author"]) == low(owner["name"])),
+    ]
+    return F.coalesce((user != "") & (signs[0] | signs[1] | signs[2]) | signs[3], F.lit(False))
+
+
+# The fields of a post's record with their types, in their order.
+RECORD = [
+    ("url", "string"), ("text", "string"), ("likes", "int"), ("comments", "int"), ("date_posted", "string"), ("user_id", "string"), ("validation_status", "string"), ("top_comments", "array<string>"),
+    ("headline", "string"), ("post_type", "string"), ("embedded_links", "array<string>"), ("images", "array<string>"), ("external_links", "array<string>"), ("tagged_people", "array<string>"),
+    ("tagged_companies", "array<string>"), ("is_repost", "boolean"), ("repost_data", "string"), ("original_commentary", "string"), ("author_followers", "int"), ("author_total_posts", "int"),
+    ("author_articles", "int"), ("account_type", "string"), ("post_html", "string"), ("content_type", "string"),
+]
+
+
+def record(df: DataFrame) -> DataFrame:
+    """Posts with all fields of a record: counts default to 0, lists to empty ones, the repost flag to false, texts to null."""
+    default = {"int": F.lit(0), "boolean": F.lit(False)}
+    out = []
+    for name, kind in RECORD:
+        value = F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        empty = F.array().cast(kind) if kind.startswith("array") else default.get(kind)
+        out.append((value if empty is None else F.coalesce(value, empty.cast(kind))).alias(name))
+    return df.select(*out)

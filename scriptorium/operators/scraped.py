@@ -5,7 +5,7 @@ Rows are independent; everything is an expression. Null texts give empty results
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -79,3 +79,40 @@ def queries(site: str, name: Column, words: Column, year: int, span: int = 3) ->
     """Search texts: the name with each of the last years, then with each keyword."""
     years = F.transform(F.sequence(F.lit(year), F.lit(year - span + 1), F.lit(-1)), lambda y: F.concat(F.lit(f"site:{site} \""), name, F.lit("\" "), y.cast("string")))
     return F.array_distinct(F.concat(years, F.transform(words, lambda w: F.concat(F.lit(f"site:{site} \""), name, F.lit("\" "), w))))
+
+
+def profile_facts(text: Column) -> Column:
+    """Followers, connections and the about text of a scraped profile; null where the page has none."""
+    number = lambda p: F.replace(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), p, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("int")
+    about = F.nullif(T.strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)About\s*\n(.+?)(?:\n\n|$)", 1)), F.lit(""))
+    return F.struct(number(r"(?i)([\d,]+)\s+followers").alias("followers"), number(r"(?i)([\d,]+)\+?\s+connections").alias("connections"), about.alias("about"))
+
+
+# Words of titles that make a search.
+TITLES = ["CEO", "founder", "director", "VP", "manager", "engineer", "consultant"]
+
+
+def smart_queries(company: Column, title: Column, past: Column, industry: Column, most: int = 6) -> Column:
+    """Search words of a profile: the company, the words of its title, up to three past companies, the industry; each once, longer than two letters."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    titles = F.filter(F.array(*map(F.lit, TITLES)), lambda t: low.contains(F.lower(t)))
+    every = F.concat(F.array(company), titles, F.slice(F.coalesce(past, F.array().cast("array<string>")), 1, 3), F.array(industry))
+    return F.slice(F.array_distinct(F.filter(F.transform(every, T.strip), lambda q: q.isNotNull() & (F.length(q) > 2))), 1, most)
+
+
+def own_urls(items: DataFrame, owner: str, url: str, username: str, order: str, most: int | None = None) -> DataFrame:
+    """(owner, url, place): each owner's addresses that hold the user name, once each by url_key, in the order given.
+
+    `most` limits an owner's list, as a search does; ranks are within owners.
+    """
+    from scriptorium.operators.posts import url_key
+
+    rows = items.where(F.lower(url).contains(F.lower(username)) & F.col(url).rlike("(?i)/posts/|activity|/pulse/"))
+    first = rows.withColumn("_k", url_key(F.col(url))).groupBy(owner, "_k").agg(F.min(F.struct(order, url)).alias("m")).select(owner, f"m.{url}", f"m.{order}")
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(order, url)))
+    return (ranked if most is None else ranked.where(F.col("place") <= most)).select(owner, url, "place")
+
+
+def search_results(results: DataFrame, owner: str) -> DataFrame:
+    """Results of searches (link, url): the address, from link or else url, of all queries and engines together."""
+    return results.select(owner, F.coalesce(F.nullif("link", F.lit("")), "url").alias("url"), "rank").where("url is not null")

@@ -43,10 +43,35 @@ def set_urls(spark, directory):
     return posts.first_union(p.where("post_id % 3 = 0"), p, "url")
 
 
+def _best(spark, directory):
+    return posts.best_post(_posts(spark, directory)).select("group", "post_id", F.md5("text").alias("text_md5"))
+
+
+def _count(spark, directory):
+    """What each author's posts are good for."""
+    rows = _posts(spark, directory).groupBy("group").agg(F.count("*").alias("n"))
+    return rows.withColumn("quality", posts.sample_quality(F.col("n")))
+
+
+def _owned(spark, directory):
+    """Posts that are their author's by any sign."""
+    n = F.col("post_id")
+    rows = _posts(spark, directory).withColumn("author_url", F.when(n % 5 == 0, F.concat(F.lit("https://x.example/in/"), "group"))).withColumn("author", F.when(n % 7 == 0, F.lit("No One")))
+    own = posts.ownership({c: F.col(c) for c in ("user_id", "author_url", "author")} | {"url": F.when(n % 3 == 0, F.col("url"))}, {"username": F.col("group"), "name": F.lit("No One")})
+    return rows.where(own).select("post_id")
+
+
+def _record(spark, directory):
+    """Posts as whole records."""
+    rows = posts.record(_posts(spark, directory).withColumn("tagged_people", F.when(F.col("post_id") % 2 == 0, F.array(F.lit("a")))).withColumn("likes", F.when(F.col("post_id") % 3 > 0, F.col("likes"))))
+    return rows.select(F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "url", "likes", "comments", F.size("tagged_people").alias("people"), F.size("images").alias("images"), "is_repost", "author_followers")
+
+
 QUERIES = {
     "flt_posts": flt_posts, "set_urls": set_urls, "post_tone": _query(posts.tone), "post_structure": _query(posts.structure), "post_keywords": _query(posts.keywords),
     "post_top_words": _query(posts.top_words), "post_linguistic": _query(posts.linguistic), "post_emoji": _query(posts.emoji), "post_platform": _query(posts.platform),
-    "post_persona": _query(posts.persona),
+    "post_persona": _query(posts.persona), "post_formatting": _query(posts.formatting), "post_variation": _query(posts.variation), "post_best": _best, "post_totals": _query(posts.batch_totals),
+    "cls_post_count": _count, "join_owned": _owned, "prj_record": _record,
 }
 
 _S = r"regexp_replace({}, '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g')"
@@ -102,4 +127,15 @@ ORACLES = {
        greatest(1, least(10, trunc(5 + (2*avg(length(t)-length(replace(t,'!',''))) + avg(length(t)-length(replace(t,'?',''))) + (min(em)+max(em))/2)/2)::INT)) AS enthusiasm, round(avg(w), 6) AS mean_weight FROM e GROUP BY 1),
       k AS (SELECT "group", post_id, row_number() OVER (PARTITION BY "group" ORDER BY likes DESC, length(t) DESC, post_id) AS k FROM p), b AS (SELECT "group", string_agg(post_id::VARCHAR, ',' ORDER BY k) AS examples FROM k WHERE k <= 3 GROUP BY 1)
       SELECT "group", formality, warmth, authority, directness, posts, confidence, enthusiasm, mean_weight, examples FROM tone JOIN s USING ("group") JOIN b USING ("group")""",
+    "post_formatting": rf"""WITH {_P}, e AS (SELECT *, len(regexp_extract_all(t, '{posts.EMOJI}')) AS em FROM p) SELECT "group", bool_or(regexp_matches(t, '[•-]')) AS uses_bullets, bool_or(contains(t, '#')) AS uses_hashtags,
+      CASE WHEN sum(em) = 0 THEN 'none' WHEN sum(em) >= count(*) THEN 'frequent' WHEN sum(em)*2 >= count(*) THEN 'moderate' ELSE 'rare' END AS emoji_frequency FROM e GROUP BY 1""",
+    "post_variation": rf"""WITH {_P}, e AS (SELECT *, len(regexp_extract_all(t, '{posts.EMOJI}')) AS em, len(list_filter(list_transform(string_split_regex(t, '[.!?]+'), lambda x: {_STRIP('x')}), lambda x: x <> '')) AS sn, length(t) - length(replace(t, '?', '')) AS qs,
+       {_STRIP("string_split_regex(t, '[.!\n]')[1]")} AS op FROM p), h AS (SELECT *, CASE WHEN sn > 0 THEN qs/sn ELSE 0 END AS q, CASE WHEN contains(op, '?') THEN 'q' WHEN regexp_matches(lower(op), '{"|".join(posts.CALLS)}') THEN 'c' ELSE 'o' END AS h FROM e)
+      SELECT "group", min(em) AS min_emoji, max(em) AS max_emoji, round(min(q), 2) AS min_questions, round(max(q), 2) AS max_questions, round(count(*) FILTER (h='q')/count(*), 2) AS question, round(count(*) FILTER (h='c')/count(*), 2) AS call_to_action,
+       round(count(*) FILTER (h='o')/count(*), 2) AS observation FROM h GROUP BY 1""",
+    "post_best": f"""WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY likes DESC, length(t) DESC, post_id) AS k FROM p) SELECT "group", post_id, md5(t) AS text_md5 FROM k WHERE k = 1""",
+    "post_totals": f"WITH {_P} SELECT count(*) AS posts, sum(likes)::BIGINT AS likes, sum(comments)::BIGINT AS comments, 0 AS held FROM p",
+    "cls_post_count": f"""WITH {_P} SELECT "group", count(*) AS n, CASE WHEN count(*) < 5 THEN 'insufficient' WHEN count(*) < 10 THEN 'minimal' WHEN count(*) < 15 THEN 'fair' WHEN count(*) < 20 THEN 'good' ELSE 'excellent' END AS quality FROM p GROUP BY 1""",
+    "join_owned": f"""WITH {_P} SELECT post_id FROM p WHERE user_id = lower("group") OR (post_id % 3 = 0 AND contains(lower(url), lower("group"))) OR post_id % 5 = 0 OR post_id % 7 = 0""",
+    "prj_record": f"""WITH {_P} SELECT md5(coalesce(text, '')) AS text_md5, url, CASE WHEN post_id % 3 > 0 THEN likes ELSE 0 END AS likes, comments, CASE WHEN post_id % 2 = 0 THEN 1 ELSE 0 END AS people, 0 AS images, false AS is_repost, 0 AS author_followers FROM p""",
 }

@@ -52,10 +52,12 @@ def _analysed(spark, directory):
     last = F.when(F.size(lines) > 0, F.reverse(F.slice(lines, -F.least(F.size(lines), F.lit(5)), F.lit(5))))
     closing = F.get(F.filter(F.transform(last, lambda x: T.first_label(x, style.CLOSINGS)), lambda x: x.isNotNull()), F.lit(0))
     hints = mail.tone_hints(body)
+    words, marks = F.size(F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), F.greatest(F.size(F.regexp_extract_all(body, F.lit("[.!?]+"), F.lit(0))), F.lit(1))
     return s.join(e, "email_id").select(
         "id", "persona_id", hints.alias("tone"), F.when(F.array_contains(hints, "formal"), "formal").when(F.array_contains(hints, "casual"), "casual").otherwise("semi-formal").alias("formality"),
         F.coalesce(T.first_label(F.get(lines, F.lit(0)), style.GREETINGS), F.lit("")).alias("greeting"), F.coalesce(closing, F.lit("")).alias("closing"),
         F.when(F.array_contains(hints, "uses_contractions"), "frequent").otherwise("rare").alias("contractions"),
+        F.when(words / marks < 8, "short").when(words / marks <= 20, "medium").otherwise("long").alias("sentence"), F.when(F.get(lines, F.lit(0)).contains("?"), "question").otherwise("statement").alias("hook"),
     )
 
 
@@ -67,6 +69,7 @@ def ml_assign(spark, directory):
     prof = p.select(
         "persona_id", tone.alias("tone"), formality.alias("formality"), F.col("typical_greeting").alias("greeting"), F.col("typical_closing").alias("closing"),
         F.when(F.col("p_contractions"), "frequent").otherwise("rare").alias("contractions"),
+        F.when(F.col("directness") >= 7, "short").otherwise("medium").alias("sentence"), F.when(F.col("warmth") >= 7, "question").otherwise("statement").alias("hook"),
     )
     return profiles.assign(_analysed(spark, directory).drop("persona_id"), prof)
 
@@ -115,9 +118,9 @@ def grp_feedback(spark, directory):
 
 
 def set_missing(spark, directory):
-    """Profiles that samples name but the table lacks, and profiles without a sample."""
-    named = table(spark, directory, "samples").select("persona_id").where("persona_id is not null").distinct()
-    known = table(spark, directory, "personas").select("persona_id")
+    """Profiles that samples of mails name but the table of those with a greeting lacks, and the other way round."""
+    named = table(spark, directory, "samples").where("persona_id is not null and persona_id <> 'per_03'").select("persona_id").distinct()
+    known = table(spark, directory, "personas").where("characteristics.typical_greeting is not null").select("persona_id")
     return named.exceptAll(known).withColumn("side", F.lit("unknown")).unionByName(known.exceptAll(named).withColumn("side", F.lit("unused")))
 
 
@@ -170,13 +173,14 @@ h AS (SELECT *, CASE WHEN b='' THEN [] ELSE list_filter([CASE WHEN regexp_matche
   CASE WHEN regexp_matches(replace(replace(b,'’',''''),'‘',''''), '(?i)\b(?:{_C})\b') THEN 'uses_contractions' END], lambda x: x IS NOT NULL) END AS tone FROM l),
 an AS (SELECT id, persona_id, tone, CASE WHEN list_contains(tone,'formal') THEN 'formal' WHEN list_contains(tone,'casual') THEN 'casual' ELSE 'semi-formal' END AS formality,
  coalesce(list_transform(ls[1:1], lambda x: {_case(style.GREETINGS)})[1], '') AS greeting, coalesce(list_filter(list_transform(list_reverse(ls[-5:]), lambda x: {_case(style.CLOSINGS)}), lambda y: y IS NOT NULL)[1], '') AS closing,
- CASE WHEN list_contains(tone,'uses_contractions') THEN 'frequent' ELSE 'rare' END AS contractions FROM h)"""
+ CASE WHEN list_contains(tone,'uses_contractions') THEN 'frequent' ELSE 'rare' END AS contractions, len(regexp_extract_all(b, '[\p{{L}}\p{{N}}_]+')) / greatest(len(regexp_extract_all(b, '[.!?]+')), 1) AS wl,
+ CASE WHEN wl < 8 THEN 'short' WHEN wl <= 20 THEN 'medium' ELSE 'long' END AS sentence, CASE WHEN contains(ls[1], '?') THEN 'question' ELSE 'statement' END AS hook FROM h)"""
 _TRAITS = f"""{_A}, pa AS (SELECT * FROM an WHERE persona_id IS NOT NULL), n AS (SELECT persona_id, count(*) AS n FROM pa GROUP BY 1), tt AS (SELECT persona_id, unnest(tone) AS t FROM pa),
 tn AS (SELECT tt.persona_id, t FROM tt JOIN n USING (persona_id) GROUP BY tt.persona_id, t, n.n HAVING count(*) >= 0.5*n.n), tl AS (SELECT persona_id, string_agg(t, ',' ORDER BY t) AS tone FROM tn GROUP BY 1),
-u AS (UNPIVOT (SELECT persona_id, formality, greeting, closing, contractions FROM pa) ON formality, greeting, closing, contractions INTO NAME k VALUE v), uc AS (SELECT persona_id, k, v, count(*) AS c FROM u WHERE v <> '' GROUP BY ALL),
-um AS (SELECT persona_id, k, max(c) AS c, first(v ORDER BY c DESC, v) AS v FROM uc GROUP BY 1, 2), ub AS (SELECT um.persona_id, max(v) FILTER (k='formality') AS formality, max(v) FILTER (k='contractions') AS contractions,
+u AS (UNPIVOT (SELECT persona_id, formality, greeting, closing, contractions, sentence FROM pa) ON formality, greeting, closing, contractions, sentence INTO NAME k VALUE v), uc AS (SELECT persona_id, k, v, count(*) AS c FROM u WHERE v <> '' GROUP BY ALL),
+um AS (SELECT persona_id, k, max(c) AS c, first(v ORDER BY c DESC, v) AS v FROM uc GROUP BY 1, 2), ub AS (SELECT um.persona_id, max(v) FILTER (k='formality') AS formality, max(v) FILTER (k='contractions') AS contractions, max(v) FILTER (k='sentence') AS sentence,
  max(v) FILTER (k='greeting' AND c >= 0.3*n) AS greeting, max(v) FILTER (k='closing' AND c >= 0.3*n) AS closing FROM um JOIN n USING (persona_id) GROUP BY 1),
-tr AS (SELECT n.persona_id, n.n, formality, contractions, greeting, closing, coalesce(tone, '') AS tone FROM n LEFT JOIN ub USING (persona_id) LEFT JOIN tl USING (persona_id))"""
+tr AS (SELECT n.persona_id, n.n, formality, contractions, sentence, greeting, closing, coalesce(tone, '') AS tone FROM n LEFT JOIN ub USING (persona_id) LEFT JOIN tl USING (persona_id))"""
 _SIM = lambda a, b: f"(lower({a}) = lower({b}) OR {_groups(f'lower({a})', f'lower({b})', profiles.OPENER_GROUPS)})"
 
 ORACLES = {
@@ -194,12 +198,12 @@ ORACLES = {
       characteristics.formality = characteristics.warmth AND characteristics.warmth = characteristics.authority AND characteristics.authority = characteristics.directness AS eq FROM personas)
       SELECT persona_id, len(er) = 0 AS valid, array_to_string(er, '; ') AS errors, CASE WHEN eq THEN 'all scores equal' ELSE '' END AS warnings FROM e""",
     "ml_assign": f"""WITH {_F}, {_A}, p AS (SELECT persona_id, list_filter([CASE WHEN formality>=7 THEN 'formal' END, CASE WHEN warmth>=7 THEN 'warm' END, CASE WHEN directness>=7 THEN 'concise' END], lambda x: x IS NOT NULL) AS pt,
-      CASE WHEN formality>=8 THEN 4 WHEN formality>=6 THEN 3 WHEN formality>=4 THEN 2 ELSE 1 END AS pf, tg, tc, CASE WHEN pc THEN 'frequent' ELSE 'rare' END AS pk FROM fl),
+      CASE WHEN formality>=8 THEN 4 WHEN formality>=6 THEN 3 WHEN formality>=4 THEN 2 ELSE 1 END AS pf, tg, tc, CASE WHEN pc THEN 'frequent' ELSE 'rare' END AS pk, CASE WHEN directness>=7 THEN 'short' ELSE 'medium' END AS ps, CASE WHEN warmth>=7 THEN 'question' ELSE 'statement' END AS ph FROM fl),
       z AS (SELECT an.id, p.persona_id, len(tone)>0 AND len(pt)>0 AS a, len(list_intersect(tone,pt))/greatest(len(list_distinct(list_concat(tone,pt))),1) AS av, 1-abs(CASE formality WHEN 'formal' THEN 4 WHEN 'semi-formal' THEN 3 ELSE 1 END-pf)/3 AS bv,
-       greeting<>'' AND tg<>'' AS g, {_SIM('greeting','tg')} AS gv, closing<>'' AND tc<>'' AS c, {_SIM('closing','tc')} AS cv, contractions=pk AS kv FROM an CROSS JOIN p),
-      w AS (SELECT id, persona_id, round((CASE WHEN a THEN av*0.25 ELSE 0 END + bv*0.2 + CASE WHEN g THEN gv::INT*0.15 ELSE 0 END + CASE WHEN c THEN cv::INT*0.15 ELSE 0 END + kv::INT*0.1)::DOUBLE/(CASE WHEN a THEN 0.25 ELSE 0 END+0.2+CASE WHEN g THEN 0.15 ELSE 0 END+CASE WHEN c THEN 0.15 ELSE 0 END+0.1)::DOUBLE, 6) AS score FROM z),
+       greeting<>'' AND tg<>'' AS g, {_SIM('greeting','tg')} AS gv, closing<>'' AND tc<>'' AS c, {_SIM('closing','tc')} AS cv, contractions=pk AS kv, sentence=ps AS sv, hook=ph AS hv FROM an CROSS JOIN p),
+      w AS (SELECT id, persona_id, round((CASE WHEN a THEN av*0.25 ELSE 0 END + bv*0.2 + CASE WHEN g THEN gv::INT*0.15 ELSE 0 END + CASE WHEN c THEN cv::INT*0.15 ELSE 0 END + kv::INT*0.1 + sv::INT*0.1 + hv::INT*0.15)::DOUBLE/(CASE WHEN a THEN 0.25 ELSE 0 END+0.2+CASE WHEN g THEN 0.15 ELSE 0 END+CASE WHEN c THEN 0.15 ELSE 0 END+0.1+0.1+0.15)::DOUBLE, 6) AS score FROM z),
       k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, persona_id) AS k FROM w) SELECT id, CASE WHEN score>=0.4 THEN persona_id END AS persona_id, score, CASE WHEN score>=0.7 THEN 'assigned' WHEN score>=0.4 THEN 'flagged' ELSE 'unassigned' END AS status FROM k WHERE k=1""",
-    "grp_traits": f"WITH {_TRAITS} SELECT * FROM tr",
+    "grp_traits": f"WITH {_TRAITS} SELECT tr.* FROM tr",
     "grp_rules": f"""WITH {_TRAITS} SELECT * FROM (SELECT persona_id, unnest(list_filter(['Open with: ' || greeting, 'Sign off with: ' || closing, CASE WHEN tone<>'' THEN 'Maintain ' || replace(tone, ',', ', ') || ' tone' END, 'Keep ' || formality || ' register',
       CASE contractions WHEN 'frequent' THEN 'Use contractions freely' WHEN 'rare' THEN 'Avoid contractions' END], lambda x: x IS NOT NULL)) AS rule FROM tr)""",
     "grp_merge": """WITH t AS (SELECT *, CASE persona_id WHEN 'per_02' THEN 'per_01' WHEN 'per_04' THEN 'per_03' ELSE persona_id END AS t FROM personas)
@@ -213,7 +217,7 @@ ORACLES = {
       SELECT source, content_hash, row_number() OVER (PARTITION BY source ORDER BY content_hash) AS seq FROM f""",
     "grp_feedback": """WITH r AS (SELECT user_id AS persona, count(*) FILTER (event_type='purchase') AS pos, count(*) FILTER (event_type='error') AS neg FROM events WHERE event_type IN ('purchase','error') GROUP BY 1)
       SELECT persona, pos, neg, CASE WHEN neg > pos THEN 'needs_refinement' WHEN pos >= 3 AND neg = 0 THEN 'well_calibrated' ELSE 'mixed' END AS status, round(greatest(pos, neg)/(pos+neg), 6) AS confidence FROM r""",
-    "set_missing": """(SELECT DISTINCT persona_id, 'unknown' AS side FROM samples WHERE persona_id IS NOT NULL AND persona_id NOT IN (SELECT persona_id FROM personas))
-      UNION ALL (SELECT persona_id, 'unused' FROM personas WHERE persona_id NOT IN (SELECT persona_id FROM samples WHERE persona_id IS NOT NULL))""",
+    "set_missing": """WITH n AS (SELECT DISTINCT persona_id FROM samples WHERE persona_id IS NOT NULL AND persona_id <> 'per_03'), k AS (SELECT persona_id FROM personas WHERE characteristics.typical_greeting IS NOT NULL)
+      SELECT persona_id, 'unknown' AS side FROM n WHERE persona_id NOT IN (SELECT persona_id FROM k) UNION ALL SELECT persona_id, 'unused' FROM k WHERE persona_id NOT IN (SELECT persona_id FROM n)""",
     "sta_export": """SELECT coalesce(persona_id, 'unassigned') AS persona_id, regexp_replace(lower(trim(source)), '[ -]', '_', 'g') AS source, count(*) AS n FROM (SELECT DISTINCT ON (id) * FROM samples ORDER BY id) GROUP BY 1, 2""",
 }

@@ -64,7 +64,33 @@ def gen_batches(spark, directory):
     return render.batch_text(table(spark, directory, "email"), "account_id", "id", ["subject", "body"], 5, 200).select("account_id", "n", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (prj_scraped, prj_keywords, prj_urls, gen_posts, gen_replies, gen_batches)}
+def prj_facts(spark, directory):
+    """Followers, connections and the about text of pages."""
+    n = F.col("post_id")
+    page = F.concat(F.lit("Name\n"), F.format_string("%,d", (n * 37).cast("int")), F.lit(" followers  "), F.when(n % 2 == 0, F.lit("500+ connections")).otherwise(F.lit("")), F.lit("\nAbout\n"), F.when(n % 3 > 0, F.lit("Writes mails.")).otherwise(F.lit("")), F.lit("\n\nMore"))
+    return _posts(spark, directory).select("post_id", scraped.profile_facts(page).alias("f")).select("post_id", "f.followers", "f.connections", "f.about")
+
+
+def prj_searches(spark, directory):
+    """Search words of each supplier as a profile."""
+    s = table(spark, directory, "supplier")
+    k = F.col("s_suppkey")
+    title = F.when(k % 3 == 0, F.lit("Founder and CEO")).when(k % 3 == 1, F.lit("Engineering Manager"))
+    past = F.array(F.lit("Acme"), F.lit("IO"), F.lit("Globex"), F.lit("Initech"))
+    return s.select("s_suppkey", F.array_join(scraped.smart_queries(F.col("s_name"), title, F.when(k % 2 == 0, past), F.lit("software")), ",").alias("queries"))
+
+
+def set_searches(spark, directory):
+    """Addresses found by searches of several engines and by the feed, united, the first five of each author in rank order."""
+    p = _posts(spark, directory)
+    n = F.col("post_id")
+    link = F.concat(F.lit("https://www.linkedin.com/posts/"), "group", F.lit("_activity-"), (n % 50).cast("string"), F.when(n % 2 == 0, F.lit("/?utm=1")).otherwise(F.lit("")))
+    engines = [p.select("group", F.when(n % 4 == i, F.lit("")).otherwise(link).alias("link"), F.concat(F.lit("https://other.example/"), n.cast("string")).alias("url"), (n * 10 + i).alias("rank")) for i in (0, 1)]
+    found = scraped.search_results(engines[0].unionByName(engines[1]), "group")
+    return scraped.own_urls(found.withColumn("username", F.col("group")), "group", "url", "username", "rank", 5)
+
+
+QUERIES = {f.__name__: f for f in (prj_scraped, prj_keywords, prj_urls, gen_posts, gen_replies, gen_batches, prj_facts, prj_searches, set_searches)}
 
 _P = """p AS (SELECT coalesce(author_id, 'none') AS "group", doc_id AS post_id, coalesce(text,'') AS text, doc_id*37%501 AS likes, doc_id*13%41 AS comments,
   'HTTP://posts.example/' || coalesce(author_id,'none') || '/' || (doc_id%97) || '/?t=' || doc_id AS url FROM documents WHERE replace(lower(trim(source)), '-', '_') = 'linkedin_post')"""
@@ -94,4 +120,10 @@ ORACLES = {
       SELECT persona_id, coalesce(nullif(g,''), CASE WHEN f>=7 THEN 'Good afternoon,' WHEN f>=5 THEN 'Hi,' ELSE 'Hey' END) || chr(10) || chr(10) || CASE WHEN u THEN b ELSE replace(replace(b, 'Here''s', 'Here is'), 'I''m', 'I am') END || chr(10) || chr(10) || coalesce(nullif(c,''), CASE WHEN f>=7 THEN 'Best regards,' WHEN f>=5 THEN 'Best,' ELSE 'Thanks' END) AS reply, count(*) AS n FROM b GROUP BY 1, 2""",
     "gen_batches": """WITH d AS (SELECT DISTINCT account_id, id, '## ' || id || chr(10) || substr(coalesce(subject,''), 1, 200) || chr(10) || substr(coalesce(body,''), 1, 200) AS b FROM email), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY id) AS k FROM d)
       SELECT account_id, count(*) AS n, md5(string_agg(b, chr(10) || chr(10) ORDER BY k)) AS text_md5 FROM r WHERE k <= 5 GROUP BY 1""",
+    "prj_facts": f"""WITH {_P} SELECT post_id, (post_id*37)::INT AS followers, CASE WHEN post_id % 2 = 0 THEN 500 END AS connections, CASE WHEN post_id % 3 > 0 THEN 'Writes mails.' END AS about FROM p""",
+    "prj_searches": """WITH s AS (SELECT s_suppkey, s_suppkey % 3 AS t, s_suppkey % 2 AS e, s_name FROM supplier) SELECT s_suppkey, array_to_string((list_concat(list_concat([trim(s_name)], CASE t WHEN 0 THEN ['CEO','founder'] WHEN 1 THEN ['manager','engineer'] ELSE [] END),
+      list_concat(CASE WHEN e = 0 THEN ['Acme','Globex'] ELSE [] END, ['software'])))[1:6], ',') AS queries FROM s""",
+    "set_searches": f"""WITH {_P}, e AS (SELECT *, 'https://www.linkedin.com/posts/' || "group" || '_activity-' || (post_id % 50) || CASE WHEN post_id % 2 = 0 THEN '/?utm=1' ELSE '' END AS link FROM p),
+      r AS (SELECT "group", link AS url, post_id*10+i AS rank FROM e, (VALUES (0), (1)) v(i) WHERE post_id % 4 <> i), k AS (SELECT *, regexp_replace(regexp_replace(lower(url), '/+$', ''), '[?].*$', '') AS k FROM r),
+      o AS (SELECT "group", k, min(struct_pack(rank := rank, url := url)) AS m FROM k GROUP BY 1, 2), q AS (SELECT "group", m.url AS url, row_number() OVER (PARTITION BY "group" ORDER BY m.rank, m.url)::INT AS place FROM o) SELECT * FROM q WHERE place <= 5""",
 }
