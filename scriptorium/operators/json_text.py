@@ -11,9 +11,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import strip
+
 _FENCED = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
 _COMMA = re.compile(r",(\s*[}\]])")
 _MARKS = re.compile(r'["\\{}\[\]]')
@@ -179,3 +181,57 @@ def migrate(personas: DataFrame) -> DataFrame:
         F.when(F.coalesce(uses, F.lit(False)), 0.5).otherwise(0.0).alias("contraction_rate"),
         F.coalesce(c("typical_greeting"), F.lit("Hi {name},")).alias("greeting"), F.coalesce(c("typical_closing"), F.lit("Best,")).alias("closing"),
     )
+
+
+def retry_prompt(prompt: Column, error: Column) -> Column:
+    """The prompt again, with what was wrong with the answer and what form it is to have."""
+    return F.concat(
+        prompt, F.lit("\n\nThe last answer was no valid JSON: "), F.coalesce(error, F.lit("unknown error")), F.lit("\nAnswer with one JSON object only: no text around it, no comma before a closing bracket, all brackets closed.")
+    )
+
+
+#: The sections of a profile, each with the fields it is to have.
+SECTIONS = {"voice": ["formality", "warmth", "authority", "directness"], "opening": ["typical_greeting"], "closing": ["typical_closing"], "mechanics": ["uses_contractions"]}
+
+
+def structure_warnings(data: Column, sections: dict[str, list[str]] = SECTIONS) -> Column:
+    """Sections that a profile's JSON text lacks, and fields missing in those it has."""
+    out = []
+    for name, fields in sections.items():
+        whole = F.get_json_object(data, f"$.{name}")
+        out.append(F.when(whole.isNull(), F.lit(f"no {name}")))
+        out += [F.when(whole.isNotNull() & (F.coalesce(strip(F.get_json_object(data, f"$.{name}.{f}")), F.lit("")) == ""), F.lit(f"no {name}.{f}")) for f in fields]
+    return F.array_compact(F.array(*out))
+
+
+def completed(data: Column, sections: dict[str, list[str]] = SECTIONS) -> tuple[Column, int]:
+    """How many of all fields of the sections are filled, and how many there are."""
+    filled = [F.coalesce(strip(F.get_json_object(data, f"$.{n}.{f}")) != "", F.lit(False)).cast("int") for n, fs in sections.items() for f in fs]
+    return sum(filled[1:], filled[0]), len(filled)
+
+
+def with_metrics(answers: DataFrame, metrics: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Answers of a model with the measured fields written over theirs; what was not measured stays as answered."""
+    held = metrics.select(key, *(F.col(f).alias(f"_{f}") for f in fields))
+    rows = answers.join(held, key, "left")
+    return rows.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in answers.columns))
+
+
+def merged_examples(examples: DataFrame, notes: DataFrame, key: str) -> DataFrame:
+    """Lists of examples (text, why, context) with the notes of the same place in another list where the example has none."""
+    a = examples.select(key, F.posexplode("examples").alias("pos", "e"))
+    b = notes.select(key, F.posexplode("notes").alias("pos", "n"))
+    pick = lambda f: F.coalesce(F.nullif(strip(F.col(f"e.{f}")), F.lit("")), F.col(f"n.{f}")).alias(f)
+    return a.join(b, [key, "pos"], "left").select(key, "pos", "e.text", pick("why"), pick("context"))
+
+
+def example_bank(samples: DataFrame, group: str, most: int = 5, least: float = 0.85) -> DataFrame:
+    """(group, rank, id, confidence): each group's surest samples, as an example bank holds them; ties go by id."""
+    rows = samples.where(F.col("confidence") >= least)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("confidence"), "id")))
+    return ranked.where(F.col("rank") <= most).select(group, "rank", "id", "confidence")
+
+
+def with_sources(bank: DataFrame, names: DataFrame, mails: DataFrame, group: str, longest: int = 1000) -> DataFrame:
+    """A bank's examples with their profile's name and their mail's text, shortened as an example is."""
+    return bank.join(names, group).join(mails, "id").select(*bank.columns, "name", F.substring(F.coalesce("body", F.lit("")), 1, longest).alias("example"))

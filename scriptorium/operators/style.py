@@ -197,3 +197,16 @@ def email_types(df: DataFrame, group: str, body: str = "body", audience: str = "
     return rows.select(
         group, kind.alias("email_type"), F.round(sure, 4).alias("confidence"), F.floor(F.col("mean_length") * 0.5).alias("min_length"), F.floor(F.col("mean_length") * 1.5).alias("max_length")
     )
+
+
+def all_measures(df: DataFrame, group: str) -> DataFrame:
+    """The six measures in one row a group: rhythm, formatting, greetings, closings and signatures, subjects, mechanics.
+
+    Each measure is a small table of a row a group, so joining them shuffles no mails.
+    """
+    pick = lambda rows, label: rows.where("is_primary").select(group, F.col(label).alias(f"primary_{label}"), F.col("ratio").alias(f"{label}_ratio"))
+    parts = [rhythm(df, group), pick(greetings(df, group), "greeting"), pick(closings(df, group), "closing"), signature_blocks(df, group), subjects(df, group), mechanics(df, group)]
+    out = formatting(df, group)
+    for part in parts:
+        out = out.join(part.drop(*(c for c in part.columns if c != group and c in out.columns)), group, "left")
+    return out
