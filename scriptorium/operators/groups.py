@@ -355,15 +355,19 @@ def coverage(runs: DataFrame, analysed: DataFrame, id_col: str, least: float = 0
     )
 
 
-def health(runs: DataFrame) -> DataFrame:
-    """A run's number of groups, share of noise and warnings; sizes are the lists' own, not the recorded ones."""
+def health(runs: DataFrame, silhouettes: DataFrame | None = None) -> DataFrame:
+    """A run's number of groups, share of noise and warnings; sizes are the lists' own, not the recorded ones.
+
+    With (run_id, silhouette), runs of more than one group below 0.15 are warned of too.
+    """
     sizes = runs.select("run_id", F.explode("clusters").alias("c")).select("run_id", F.coalesce("c.is_noise", F.lit(False)).alias("noise"), F.greatest(F.size("c.sample_ids"), F.lit(0)).alias("n"))
     rows = sizes.groupBy("run_id").agg(F.count_if(~F.col("noise")).alias("groups"), F.coalesce(F.sum(F.when(F.col("noise"), F.col("n"))), F.lit(0)).alias("noise"), F.sum("n").alias("total"))
     share = F.coalesce(F.col("noise") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0))
     warnings = F.array_compact(F.array(
         F.when(F.col("groups") < 3, F.lit("few_groups")), F.when(F.col("groups") > 10, F.lit("many_groups")),
-        F.when(share > 0.3, F.lit("high_noise")).when(share > 0.1, F.lit("moderate_noise")),
+        F.when(share > 0.3, F.lit("high_noise")).when(share > 0.1, F.lit("moderate_noise")), F.when((F.col("silhouette") < 0.15) & (F.col("groups") > 1), F.lit("low_silhouette")),
     ))
+    rows = rows.withColumn("silhouette", F.lit(None).cast("double")) if silhouettes is None else rows.join(silhouettes, "run_id", "left")
     return rows.select("run_id", "groups", "noise", "total", F.round(share, 6).alias("noise_share"), F.array_join(warnings, ",").alias("warnings"))
 
 
@@ -408,3 +412,41 @@ def alike(df: DataFrame, id_col: str, text_col: str, least: float = 0.3) -> Data
     za, zb = norms.select(F.col("i").alias("id_a"), F.col("z").alias("za")), norms.select(F.col("i").alias("id_b"), F.col("z").alias("zb"))
     out = dots.join(za, "id_a").join(zb, "id_b").select("id_a", "id_b", F.round(F.col("d") / (F.col("za") * F.col("zb")), 6).alias("cosine"))
     return out.where(F.col("cosine") >= least)
+
+
+def run(df: DataFrame, id_col: str, vector: str, algorithm: str = "auto", k: int | None = None, least: int = 5) -> DataFrame:
+    """(id, cluster): by density from 20 rows on, else by k-means, unless one is asked for."""
+    if algorithm not in ("auto", "density", "kmeans"):
+        raise ValueError(f"unknown algorithm {algorithm}")
+    if algorithm == "auto":
+        algorithm = "density" if df.where(F.col(vector).isNotNull()).limit(20).count() == 20 else "kmeans"
+    return density(df, id_col, vector, least) if algorithm == "density" else kmeans(df, id_col, vector, k).select(id_col, "cluster")
+
+
+def overview(assigned: DataFrame, noise: int = -1) -> DataFrame:
+    """(cluster, size, is_noise, place): groups, the largest first and what is outside last."""
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("is_noise", F.col("cluster") == noise)
+    return sizes.withColumn("place", F.row_number().over(Window.orderBy("is_noise", F.desc("size"), "cluster")))  # a row a group
+
+
+def alike_vectors(df: DataFrame, id_col: str, vector: str, least: float = 0.85) -> DataFrame:
+    """(id_a, id_b, cosine), id_a < id_b: rows whose vectors are alike, compared in blocks; all-zero vectors are like none."""
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.withColumn("z", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).where("z > 0")
+    first = rows.first()
+    kind = rows.schema["i"].dataType.simpleString()
+    if first is None:
+        return rows.select(F.col("i").alias("id_a"), F.col("i").alias("id_b"), F.col("z").alias("cosine"))
+    dims = len(first.v)
+    blocks = _blocks(rows.select("i", F.transform("v", lambda x: x / F.col("z")).alias("v")), DENSITY_BLOCK)
+    pairs = blocks.crossJoin(blocks.select(F.col("b").alias("c"), F.col("i").alias("j"), F.col("v").alias("w"))).where("b <= c")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b, i, v, c, j, w in batch[["b", "i", "v", "c", "j", "w"]].itertuples(index=False):
+                near = np.frombuffer(v).reshape(-1, dims) @ np.frombuffer(w).reshape(-1, dims).T
+                x, y = np.nonzero(np.triu(near >= least - 1e-12, 1) if b == c else near >= least - 1e-12)
+                p, q = np.asarray(i)[x], np.asarray(j)[y]
+                yield pd.DataFrame({"id_a": np.minimum(p, q) if p.dtype != object else [min(u) for u in zip(p, q)], "id_b": np.maximum(p, q) if p.dtype != object else [max(u) for u in zip(p, q)], "cosine": near[x, y]})
+
+    return pairs.mapInPandas(compare, f"id_a {kind}, id_b {kind}, cosine double").withColumn("cosine", F.round("cosine", 6))

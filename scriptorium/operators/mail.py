@@ -152,29 +152,21 @@ def split_reply(df: DataFrame) -> DataFrame:
     """Adds quoted_text and reply_text.
 
     Lines that begin with > or | and lines after them, or after a line `On ... wrote`, are
-    quoted until a blank line that no such line follows.
+    quoted until a blank line that no such line follows. Lines are letters of a text of
+    kinds, in which patterns find the quoted runs, so a mail's cost is linear in its lines.
     """
     body = F.replace(F.coalesce("body", F.lit("")), F.lit("\r"), F.lit(""))
-    kind = F.transform(
-        "_raw", lambda x: F.when(T.strip(x).rlike("^[>|]"), "q").when(T.strip(x).rlike(r"(?i)^On .+wrote:?$"), "w").when(T.strip(x) == "", "b").otherwise("o")
-    )
-    after = F.concat(F.slice("_kind", F.lit(2), F.greatest(F.size("_kind"), F.lit(1))), F.array(F.lit("end")))
-    numbered = F.arrays_zip(F.col("_raw").alias("x"), F.col("_kind").alias("k"), F.col("_after").alias("n"))
-    empty = F.struct(F.lit(False).alias("s"), F.array().cast("array<string>").alias("q"), F.array().cast("array<string>").alias("r"))
-
-    def step(acc, line):
-        s, k, n = acc["s"], line["k"], line["n"]
-        state = F.when(k.isin("q", "w"), True).when((k == "b") & (n != "q"), False).otherwise(s)
-        bare = T.strip(line["x"])
-        quoted = F.when(k == "q", T.strip(F.regexp_replace(bare, "^[>|]+", ""))).when(s & (k == "b") & (n == "q"), "").when(s & (k == "o"), bare)
-        reply = F.when(~s & k.isin("b", "o"), line["x"]).when(s & (k == "b") & ~n.isin("q", "end"), line["x"])
-        add = lambda a, v: F.when(v.isNotNull(), F.concat(a, F.array(v))).otherwise(a)
-        return F.struct(state.alias("s"), add(acc["q"], quoted).alias("q"), add(acc["r"], reply).alias("r"))
-
-    done = df.withColumn("_raw", F.split(body, "\n", -1)).withColumn("_kind", kind).withColumn("_after", after).withColumn("_split", F.aggregate(numbered, empty, step))
-    return done.select(
-        *df.columns, T.strip(F.array_join("_split.q", "\n")).alias("quoted_text"), T.strip(F.array_join("_split.r", "\n")).alias("reply_text")
-    )
+    kind = lambda x: F.when(x.rlike("^[>|]"), "q").when(x.rlike(r"(?i)^On .+wrote:?$"), "w").when(x == "", "b").otherwise("o")
+    # B: a blank line before a quoted one. In a quoted run other lines become O and the blank line that ends it c, or e at the mail's end.
+    kinds = F.regexp_replace(F.array_join(F.transform("_bare", kind), ""), "b(?=q)", "B")
+    runs = F.regexp_extract_all("_kinds", F.lit("[qw][qwoB]*b?|[^qw]+"), F.lit(0))
+    run = lambda s: F.when(s.rlike("^[qw]"), F.translate(F.regexp_replace(s, "b$", "c"), "o", "O")).otherwise(F.translate(s, "B", "b"))
+    done = df.withColumn("_raw", F.split(body, "\n", -1)).withColumn("_bare", F.transform("_raw", T.strip)).withColumn("_kinds", kinds)
+    done = done.withColumn("_marks", F.regexp_extract_all(F.regexp_replace(F.array_join(F.transform(runs, run), ""), "c$", "e"), F.lit("."), F.lit(0)))
+    lines = F.arrays_zip(F.col("_raw").alias("x"), F.col("_bare").alias("s"), F.col("_marks").alias("m"))
+    quoted = F.transform(F.filter(lines, lambda y: y["m"].isin("q", "O", "B")), lambda y: F.when(y["m"] == "q", T.strip(F.regexp_replace(y["s"], "^[>|]+", ""))).otherwise(y["s"]))
+    reply = F.transform(F.filter(lines, lambda y: y["m"].isin("o", "b", "c")), lambda y: y["x"])
+    return done.select(*df.columns, T.strip(F.array_join(quoted, "\n")).alias("quoted_text"), T.strip(F.array_join(reply, "\n")).alias("reply_text"))
 
 
 # Phrases of the tone hints, contractions.
@@ -201,6 +193,13 @@ def tone_hints(reply: Column) -> Column:
     return F.when(F.coalesce(reply, F.lit("")) == "", F.array().cast("array<string>")).otherwise(hints)
 
 
+def signature(body: Column) -> Column:
+    """The lines below a mail's last closing line, '' without one."""
+    lines = F.reverse(T.filled(T.lines(F.coalesce(body, F.lit("")))))
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(CLOSING)), True)
+    return F.when(at > 1, F.array_join(F.reverse(F.slice(lines, F.lit(1), (at - 1).cast("int"))), "\n")).otherwise("")
+
+
 # Words of the recipients' seniority.
 EXECUTIVE = (
     r"\bCEO\b|\bCFO\b|\bCTO\b|\bCOO\b|\bCMO\b|\bCIO\b|\bChief\s+\w+\s+Officer\b|\bVP\b|\bVice\s+President\b|\bPresident\b|\bDirector\b|\bSVP\b|\bEVP\b"

@@ -73,9 +73,38 @@ def join_samples(spark, directory):
     return s.join(e, "email_id", "left").select("id", "email_id", F.coalesce("n", F.lit(0)).alias("body_length"))
 
 
+def ml_overview(spark, directory):
+    """The labels of the vectors as groups, label 0 standing for what is outside."""
+    return groups.overview(table(spark, directory, "embeddings").select("vec_id", F.col("label").alias("cluster")), 0)
+
+
+def ml_silhouette(spark, directory):
+    """How well the labels part the vectors."""
+    e = table(spark, directory, "embeddings")
+    return spark.range(1).select(F.lit(round(groups.silhouette(e, "embedding", "label"), 6)).alias("silhouette"))
+
+
+def cls_quality(spark, directory):
+    """Warnings of runs with silhouettes, those being made from the run's number."""
+    runs = _runs(spark, directory)[0]
+    return groups.health(runs, runs.select("run_id", (F.col("run_id") % 5 / 10).alias("silhouette"))).select("run_id", "warnings")
+
+
+def ml_vectors(spark, directory):
+    """Labels whose mean vectors are alike."""
+    e = table(spark, directory, "embeddings").select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("v"))
+    return groups.alike_vectors(means, "label", "v", -0.2)
+
+
+def ml_auto(spark, directory):
+    """Sizes of the groups that the automatic choice of a method finds."""
+    return groups.overview(groups.run(table(spark, directory, "embeddings"), "vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (ml_central, ml_kmeans, ml_density, join_remaining, grp_coverage, grp_incomplete, cls_health, srt_chunks, srt_next, ml_summary, ml_alike, join_samples)
+    for f in (ml_central, ml_kmeans, ml_density, join_remaining, grp_coverage, grp_incomplete, cls_health, srt_chunks, srt_next, ml_summary, ml_alike, join_samples, ml_overview, ml_silhouette, cls_quality, ml_vectors, ml_auto)
 }
 
 _M = """c AS (SELECT run_id, unnest(clusters) AS c FROM clusters), m0 AS (SELECT run_id, c.id AS cluster, coalesce(c.is_noise, false) AS is_noise, c.sample_ids AS ids FROM c WHERE c.sample_ids IS NOT NULL),
@@ -109,4 +138,14 @@ ORACLES = {
       SELECT id_a, id_b, round(d/(x.z*y.z), 6) AS cosine FROM d JOIN z x ON x.i = id_a JOIN z y ON y.i = id_b WHERE round(d/(x.z*y.z), 6) >= 0.1""",
     "join_samples": """SELECT id, s.email_id, coalesce(n, 0) AS body_length FROM (SELECT DISTINCT id, email_id FROM samples) s
       LEFT JOIN (SELECT DISTINCT id AS email_id, length(coalesce(body,'')) AS n FROM email) e ON s.email_id = e.email_id""",
+    "ml_overview": """SELECT label AS cluster, count(*) AS size, label = 0 AS is_noise, row_number() OVER (ORDER BY label = 0, count(*) DESC, label)::INT AS place FROM embeddings GROUP BY label""",
+    "ml_silhouette": """WITH e AS (SELECT vec_id AS i, label AS l, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), s AS (SELECT l, d, sum(x) AS s, sum(x*x) AS q, count(*) AS n FROM e GROUP BY 1, 2),
+      t AS (SELECT e.i, e.l, s.l AS o, s.n, sum(e.x*e.x*s.n - 2*e.x*s.s + s.q) AS t FROM e JOIN s USING (d) GROUP BY 1, 2, 3, 4), a AS (SELECT i, max(t/greatest(n-1, 1)) FILTER (l = o) AS a, min(t/n) FILTER (l <> o) AS b, max(n) FILTER (l = o) AS n FROM t GROUP BY 1)
+      SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b-a)/greatest(a, b) END), 6) AS silhouette FROM a""",
+    "cls_quality": """WITH c AS (SELECT run_id, unnest(clusters) AS c FROM clusters), s AS (SELECT run_id, coalesce(c.is_noise, false) AS noise, coalesce(len(c.sample_ids), 0) AS n FROM c),
+      r AS (SELECT run_id, count(*) FILTER (NOT noise) AS groups, coalesce(sum(n) FILTER (noise), 0) AS noise, sum(n) AS total FROM s GROUP BY 1), x AS (SELECT *, coalesce(noise/nullif(total,0), 0) AS sh FROM r)
+      SELECT run_id, array_to_string(list_filter([CASE WHEN groups < 3 THEN 'few_groups' END, CASE WHEN groups > 10 THEN 'many_groups' END, CASE WHEN sh > 0.3 THEN 'high_noise' WHEN sh > 0.1 THEN 'moderate_noise' END,
+       CASE WHEN run_id % 5 / 10 < 0.15 AND groups > 1 THEN 'low_silhouette' END], lambda v: v IS NOT NULL), ',') AS warnings FROM x""",
+    "ml_vectors": """WITH e AS (SELECT label AS l, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT l, d, avg(x) AS m FROM e GROUP BY 1, 2), z AS (SELECT l, sqrt(sum(m*m)) AS z FROM m GROUP BY 1),
+      c AS (SELECT a.l AS id_a, b.l AS id_b, sum(a.m*b.m) AS p FROM m a JOIN m b ON a.d = b.d AND a.l < b.l GROUP BY 1, 2) SELECT id_a, id_b, round(p/(x.z*y.z), 6) AS cosine FROM c JOIN z x ON x.l = id_a JOIN z y ON y.l = id_b WHERE p/(x.z*y.z) >= -0.2""",
 }

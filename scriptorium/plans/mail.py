@@ -62,10 +62,9 @@ def prj_reply(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def cls_seniority(spark: SparkSession, directory: str) -> DataFrame:
-    """Whom each mail addresses, the signature read from the body's end."""
+    """Whom each mail addresses, by recipients and the signature."""
     done = mail.enrich(_email(spark, directory))
-    tail = F.substring(F.coalesce("body", F.lit("")), -200, 200)
-    return done.select("id", mail.seniority(F.col("to_addr"), tail, F.col("from_addr"), F.col("body"), F.col("audience")).alias("seniority"))
+    return done.select("id", mail.seniority(F.col("to_addr"), mail.signature(F.col("body")), F.col("from_addr"), F.col("body"), F.col("audience")).alias("seniority"))
 
 
 def prj_hash(spark: SparkSession, directory: str) -> DataFrame:
@@ -183,8 +182,10 @@ SELECT id, length(quoted) AS quoted_length, md5(quoted) AS quoted_md5, md5(reply
   CASE WHEN regexp_matches(lower(reply), 'hope you|thank you so much|really appreciate|wonderful') THEN 'warm' END,
   CASE WHEN length(reply) - length(replace(reply,'?','')) > 2 THEN 'inquisitive' END, CASE WHEN length(reply) < 100 THEN 'concise' END, CASE WHEN length(reply) > 500 THEN 'detailed' END,
   CASE WHEN regexp_matches(replace(replace(reply, '’', ''''), '‘', ''''), '(?i)\b(?:{_TONE})\b') THEN 'uses_contractions' END], lambda x: x IS NOT NULL), ',') END AS tone_hints FROM g""",
-    "cls_seniority": rf"""WITH {_ENRICHED}, z AS (SELECT *, concat_ws(' ', coalesce(to_addr,''), right(coalesce(body,''), 200)) AS tx,
-   lower(regexp_extract(coalesce(to_addr,''), '@([\p{{L}}\p{{N}}_.-]+)', 1)) AS th, lower(regexp_extract(coalesce(from_addr,''), '@([\p{{L}}\p{{N}}_.-]+)', 1)) AS he FROM e)
+    "cls_seniority": rf"""WITH {_ENRICHED}, sg AS (SELECT *, list_reverse(list_filter(list_transform(string_split(replace(coalesce(body,''), chr(13), ''), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')) AS ls FROM e),
+   sk AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '{mail.CLOSING}')), true), 0) AS k FROM sg),
+   z AS (SELECT *, concat_ws(' ', coalesce(to_addr,''), CASE WHEN k > 1 THEN array_to_string(list_reverse(ls[1:k-1]), chr(10)) ELSE '' END) AS tx,
+   lower(regexp_extract(coalesce(to_addr,''), '@([\p{{L}}\p{{N}}_.-]+)', 1)) AS th, lower(regexp_extract(coalesce(from_addr,''), '@([\p{{L}}\p{{N}}_.-]+)', 1)) AS he FROM sk)
   SELECT id, CASE WHEN regexp_matches(tx, '(?i){mail.EXECUTIVE}') THEN 'executive' WHEN audience='external' OR (th<>'' AND he<>'' AND th<>he) THEN 'external_client'
    WHEN regexp_matches(coalesce(body,''), '(?i){mail.RECRUITING}') THEN 'candidate' WHEN regexp_matches(tx, '(?i){mail.JUNIOR}') THEN 'report'
    WHEN audience='internal' OR (audience='' AND coalesce(to_addr,'')='') THEN 'peer' ELSE 'unknown' END AS seniority FROM z""",

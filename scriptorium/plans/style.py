@@ -19,10 +19,8 @@ def _query(function, enriched: bool = False):
 
 
 def agg_all(spark, directory):
-    """The measures of rhythm, formatting and mechanics in one row an account."""
-    df = spread(table(spark, directory, "email"))
-    out = style.formatting(df, GROUP).join(style.rhythm(df, GROUP), GROUP, "left").join(style.mechanics(df, GROUP), GROUP, "left")
-    return out.select(GROUP, "uses_bullets_rate", "avg_words_per_sentence", "contraction_rate", F.coalesce("visual_density", F.lit("medium")).alias("visual_density"))
+    """All six measures in one row an account."""
+    return style.all_measures(spread(table(spark, directory, "email")), GROUP)
 
 
 QUERIES = {
@@ -108,6 +106,9 @@ g AS (SELECT account_id, avg(regexp_matches(b, 'status|update|progress|completed
 SELECT account_id, CASE WHEN s > 0.5 AND bu > 0.4 THEN 'internal_status_update' WHEN o > 0.4 AND x > 0.5 THEN 'cold_outreach' WHEN r > 0.5 THEN 'request' ELSE 'general' END AS email_type,
  round(CASE WHEN s > 0.5 AND bu > 0.4 THEN least(0.9, s + 0.3 * bu) WHEN o > 0.4 AND x > 0.5 THEN least(0.85, o + 0.2) WHEN r > 0.5 THEN least(0.8, r) ELSE 0.6 END, 4) AS confidence,
  floor(ml * 0.5)::BIGINT AS min_length, floor(ml * 1.5)::BIGINT AS max_length FROM g""",
-    "agg_all": f"""WITH {_MECH}, {_RHYTHM}, {_FORMAT} SELECT fmt.account_id, uses_bullets_rate, avg_words_per_sentence, contraction_rate, coalesce(visual_density, 'medium') AS visual_density
-      FROM fmt LEFT JOIN rhythm ON fmt.account_id = rhythm.account_id LEFT JOIN mech ON fmt.account_id = mech.account_id""",
 }
+
+ORACLES["agg_all"] = f"""SELECT f.*, r.* EXCLUDE (account_id), g.greeting AS primary_greeting, g.ratio AS greeting_ratio, c.closing AS primary_closing, c.ratio AS closing_ratio, s.* EXCLUDE (account_id), j.* EXCLUDE (account_id), m.* EXCLUDE (account_id)
+  FROM ({ORACLES['agg_formatting']}) f LEFT JOIN ({ORACLES['agg_rhythm']}) r USING (account_id) LEFT JOIN (SELECT * FROM ({ORACLES['agg_greetings']}) WHERE is_primary) g USING (account_id)
+  LEFT JOIN (SELECT * FROM ({ORACLES['agg_closings']}) WHERE is_primary) c USING (account_id) LEFT JOIN ({ORACLES['agg_signature']}) s USING (account_id) LEFT JOIN ({ORACLES['agg_subjects']}) j USING (account_id)
+  LEFT JOIN ({ORACLES['agg_mechanics']}) m USING (account_id)"""
