@@ -11,9 +11,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import ship
+
 from scriptorium.functions.text import strip
 
 _FENCED = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
@@ -121,6 +123,7 @@ def parse(text: str | None, strict: bool = False) -> dict:
 
 def parsed(text: Column, strict: bool = False) -> Column:
     """parse() as a struct column."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("success boolean, data string, error string, repaired boolean, extracted string")
     def udf(texts: pd.Series) -> pd.DataFrame:
@@ -150,6 +153,7 @@ def _texts(function: Callable[[str | None, str | None], str | None]):
 
 def merged(base: Column, overlay: Column) -> Column:
     """merge() of two columns of JSON text; one that is unreadable counts as empty."""
+    ship(SparkSession.active())
 
     def both(a, b):
         value = merge(_loads(a)[1] if a else None, _loads(b)[1] if b else None)

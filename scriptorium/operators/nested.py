@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut
+from scriptorium.session import cut, ship
 
 ROOT = "$"
 #: The graph is held by the driver; more edges than this are a sign of data used as field names.
@@ -140,6 +140,7 @@ def schema_edges(df: DataFrame, json_col: str) -> DataFrame:
             columns=["element", "field", "seen", "objects", "lists", "scalars", "most", "keys"],
         )
 
+    ship(df.sparkSession)
     found = df.select(F.col(json_col).cast("string").alias("doc")).where("doc is not null").mapInPandas(edges, _EDGE_SCHEMA)
     return found.groupBy("element", "field").agg(
         *(F.sum(c).alias(c) for c in ("seen", "objects", "lists", "scalars")), F.max("most").alias("most")
@@ -258,6 +259,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, layout: Layout) -> DataFram
                         walk(record, item, out)
             yield pd.DataFrame(out, columns=columns)
 
+    ship(df.sparkSession)
     source = df.select(F.col(id_col).cast("string").alias("record"), F.col(json_col).cast("string").alias("doc"))
     return source.where("doc is not null").mapInPandas(rows, _ROW_SCHEMA)
 

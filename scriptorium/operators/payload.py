@@ -16,9 +16,11 @@ import binascii
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.session import ship
+
 from scriptorium.functions import text as T
 from scriptorium.operators.nested import read_record
 
@@ -78,6 +80,7 @@ def read_fields(payload: str | None, snippet: str | None) -> tuple:
 def fields(payload: Column, snippet: Column) -> Column:
     """read_fields() as a struct column."""
     names = [f.split()[0] for f in FIELDS.split(", ")]
+    ship(SparkSession.active())
 
     @F.pandas_udf(FIELDS)
     def udf(payloads: pd.Series, snippets: pd.Series) -> pd.DataFrame:

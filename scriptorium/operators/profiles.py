@@ -13,10 +13,10 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut
+from scriptorium.session import cut, ship
 
 MAX_PROFILES = 10_000
 TILE = 1000
@@ -211,9 +211,10 @@ def leaders(samples: DataFrame, threshold: float = 0.5, least: int = 3) -> DataF
     combos = [{"tone": set(r.tone), "formality": r.formality, "greeting": r.greeting, "row": r} for r in found]
     free, out = [True] * len(combos), []
     for i, c in enumerate(combos):
-        bare = not likeness(c, c)  # nothing to compare: each of them stays alone
+        if not free[i] or not likeness(c, c):  # taken, or nothing to compare: then each of them stays alone
+            continue
         for k in range(i, len(combos)):
-            if free[k] and not bare and likeness(c, combos[k]) >= threshold:
+            if free[k] and likeness(c, combos[k]) >= threshold:
                 free[k] = False
                 out.append((sorted(combos[k]["tone"]), combos[k]["formality"], combos[k]["greeting"], c["row"].first))
     table = samples.sparkSession.createDataFrame(out, "tone array<string>, formality string, greeting string, leader string")
@@ -257,6 +258,7 @@ def rules(found: DataFrame) -> DataFrame:
 
 def name_ratio(a: Column, b: Column) -> Column:
     """The share of characters in matching blocks of two lower-cased names; a matching no built-in expresses."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -306,7 +308,7 @@ def new_samples(samples: DataFrame, known: DataFrame) -> DataFrame:
     """(source, content_hash, seq): samples whose hash is new, once each, numbered within their spread-out source."""
     clean = samples.where("content_hash is not null").select(F.lower(F.trim("source")).alias("source"), F.lower("content_hash").alias("content_hash"))
     fresh = clean.groupBy("content_hash").agg(F.min("source").alias("source")).join(known.select(F.lower("content_hash").alias("content_hash")).distinct(), "content_hash", "left_anti")
-    return numbered_within(fresh, "source", "content_hash", "seq")
+    return numbered_within(fresh.select("source", "content_hash"), "source", "content_hash", "seq")
 
 
 def numbered_within(df: DataFrame, group: str, by: str, name: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import profiles, render, scraped
+from scriptorium.operators import profiles, render, scraped, style
 from scriptorium.plans.posts import _posts
+from scriptorium.plans.style import ORACLES as ORACLES_OF_STYLE
 from scriptorium.tables import table
 
 
@@ -60,8 +61,39 @@ def gen_replies(spark, directory):
 
 
 def gen_batches(spark, directory):
-    """A batch of the first mails of each account."""
-    return render.batch_text(table(spark, directory, "email"), "account_id", "id", ["subject", "body"], 5, 200).select("account_id", "n", F.md5("text").alias("text_md5"))
+    """All mails of each account in batches of thirty, with their whole texts."""
+    return render.batch_text(table(spark, directory, "email"), "account_id", "id", ["subject", "body"]).select("account_id", "batch", "n", F.md5("text").alias("text_md5"))
+
+
+def gen_unread(spark, directory):
+    """The first thirty mails that were not analysed."""
+    read = table(spark, directory, "samples").where("email_id is not null").select(F.col("email_id").alias("id"))
+    return render.first_unread(table(spark, directory, "email").select("id"), "id", read)
+
+
+def gen_prompts(spark, directory):
+    """A prompt for each batch of each account, with what was measured."""
+    email = table(spark, directory, "email")
+    rows = render.batch_text(email, "account_id", "id", ["subject", "body"])
+    rate = style.formatting(email, "account_id").select("account_id", F.concat(F.lit("bullets "), F.col("uses_bullets_rate").cast("string")).alias("measured"))
+    prompt = render.group_prompt(F.col("n"), F.lit(None).cast("string"), F.lit("Scores go from 1 to 10."), F.col("measured"), F.col("text"))
+    return rows.join(rate, "account_id").select("account_id", "batch", F.length(prompt).alias("length"), F.md5(F.regexp_replace(prompt, r"bullets [0-9.E-]+", "bullets")).alias("prompt_md5"))
+
+
+def _profiles(spark, directory):
+    c = lambda k: F.col(f"characteristics.{k}")
+    p = {"name": F.col("persona_name"), "description": F.col("description")} | {k: c(k) for k in ("formality", "warmth", "authority", "directness", "typical_greeting", "typical_closing")}
+    return table(spark, directory, "personas").select("persona_id", render.profile_markdown(p).alias("section"))
+
+
+def gen_profiles(spark, directory):
+    """Each profile as a section."""
+    return _profiles(spark, directory).select("persona_id", F.md5("section").alias("section_md5"))
+
+
+def gen_document(spark, directory):
+    """All profiles as one document."""
+    return render.document(_profiles(spark, directory), "persona_id", "section", "Profiles").select(F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
 
 def prj_facts(spark, directory):
@@ -90,7 +122,7 @@ def set_searches(spark, directory):
     return scraped.own_urls(found.withColumn("username", F.col("group")), "group", "url", "username", "rank", 5)
 
 
-QUERIES = {f.__name__: f for f in (prj_scraped, prj_keywords, prj_urls, gen_posts, gen_replies, gen_batches, prj_facts, prj_searches, set_searches)}
+QUERIES = {f.__name__: f for f in (prj_scraped, prj_keywords, prj_urls, gen_posts, gen_replies, gen_batches, gen_unread, gen_prompts, gen_profiles, gen_document, prj_facts, prj_searches, set_searches)}
 
 _P = """p AS (SELECT coalesce(author_id, 'none') AS "group", doc_id AS post_id, coalesce(text,'') AS text, doc_id*37%501 AS likes, doc_id*13%41 AS comments,
   'HTTP://posts.example/' || coalesce(author_id,'none') || '/' || (doc_id%97) || '/?t=' || doc_id AS url FROM documents WHERE replace(lower(trim(source)), '-', '_') = 'linkedin_post')"""
@@ -104,6 +136,11 @@ def _clean(x: str) -> str:
 
 _STOP = ", ".join(f"'{w}'" for w in scraped.STOPWORDS)
 
+_BATCH = """d AS (SELECT account_id, id, min('## ' || id || chr(10) || coalesce(subject,'') || chr(10) || coalesce(body,'')) AS b FROM email GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY id) AS k FROM d),
+bt AS (SELECT account_id, ((k-1)//30)::INT AS batch, count(*) AS n, string_agg(b, chr(10) || chr(10) ORDER BY k) AS text FROM r GROUP BY 1, 2)"""
+_SECTION = """sc AS (SELECT persona_id, concat_ws(chr(10), '## ' || coalesce(persona_name, 'Unnamed'), nullif(description, ''), '- formality: ' || characteristics.formality, '- warmth: ' || characteristics.warmth, '- authority: ' || characteristics.authority,
+ '- directness: ' || characteristics.directness, '- typical greeting: ' || characteristics.typical_greeting, '- typical closing: ' || characteristics.typical_closing) AS s FROM personas)"""
+
 ORACLES = {
     "prj_scraped": rf"""WITH {_P}, c AS (SELECT *, 'Sign in  Join for free' || chr(10) || text || chr(10) || CASE WHEN post_id%2=0 THEN '[' || likes || ']' ELSE likes || ' Reactions' END || '  ' || comments || ' Comments Report this post' AS c FROM p), t AS (SELECT *, {_clean('c')} AS t FROM c),
       n AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(c, '\[(\d+)\]', 1), '') AS INT), 0) AS a, coalesce(TRY_CAST(nullif(regexp_extract(c, '(?i)(\d+)\s+reactions?', 1), '') AS INT), 0) AS b, coalesce(TRY_CAST(nullif(regexp_extract(c, '(?i)(\d+)\s+comments?', 1), '') AS INT), 0) AS cm FROM t)
@@ -118,8 +155,12 @@ ORACLES = {
       b AS (SELECT *, CASE WHEN contains(s,'update') THEN CASE WHEN d THEN 'Here''s the update:' ELSE 'I wanted to share an update on this.' END WHEN contains(s,'question') OR contains(q,'?') THEN CASE WHEN d THEN 'Quick answer:' WHEN w >= 6 THEN 'Happy to help with this.' ELSE 'Here''s what I can share:' END
        ELSE CASE WHEN d THEN 'Three things:' WHEN a >= 7 THEN 'Here''s my take:' ELSE 'Thanks for reaching out.' END END AS b FROM v CROSS JOIN f)
       SELECT persona_id, coalesce(nullif(g,''), CASE WHEN f>=7 THEN 'Good afternoon,' WHEN f>=5 THEN 'Hi,' ELSE 'Hey' END) || chr(10) || chr(10) || CASE WHEN u THEN b ELSE replace(replace(b, 'Here''s', 'Here is'), 'I''m', 'I am') END || chr(10) || chr(10) || coalesce(nullif(c,''), CASE WHEN f>=7 THEN 'Best regards,' WHEN f>=5 THEN 'Best,' ELSE 'Thanks' END) AS reply, count(*) AS n FROM b GROUP BY 1, 2""",
-    "gen_batches": """WITH d AS (SELECT DISTINCT account_id, id, '## ' || id || chr(10) || substr(coalesce(subject,''), 1, 200) || chr(10) || substr(coalesce(body,''), 1, 200) AS b FROM email), r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY id) AS k FROM d)
-      SELECT account_id, count(*) AS n, md5(string_agg(b, chr(10) || chr(10) ORDER BY k)) AS text_md5 FROM r WHERE k <= 5 GROUP BY 1""",
+    "gen_batches": f"""WITH {_BATCH} SELECT account_id, batch, n, md5(text) AS text_md5 FROM bt""",
+    "gen_unread": "SELECT DISTINCT id FROM email WHERE id NOT IN (SELECT email_id FROM samples WHERE email_id IS NOT NULL) ORDER BY id LIMIT 30",
+    "gen_prompts": f"""WITH {_BATCH}, fm AS ({ORACLES_OF_STYLE['agg_formatting']}), x AS (SELECT account_id, batch, 'Describe the way of writing of these ' || n || ' mails.' || chr(10) || chr(10) || '# Calibration' || chr(10) || 'Scores go from 1 to 10.' || chr(10) || chr(10)
+      || '# Measured' || chr(10) || 'bullets ' || uses_bullets_rate::DOUBLE || chr(10) || chr(10) || '# Mails' || chr(10) || text AS p FROM bt JOIN fm USING (account_id)) SELECT account_id, batch, length(p) AS length, md5(regexp_replace(p, 'bullets [0-9.E-]+', 'bullets', 'g')) AS prompt_md5 FROM x""",
+    "gen_profiles": f"WITH {_SECTION} SELECT persona_id, md5(s) AS section_md5 FROM sc",
+    "gen_document": f"WITH {_SECTION}, d AS (SELECT '# Profiles' || chr(10) || chr(10) || string_agg(s, chr(10) || chr(10) ORDER BY persona_id) AS t FROM sc) SELECT md5(t) AS text_md5, length(t) AS n FROM d",
     "prj_facts": f"""WITH {_P} SELECT post_id, (post_id*37)::INT AS followers, CASE WHEN post_id % 2 = 0 THEN 500 END AS connections, CASE WHEN post_id % 3 > 0 THEN 'Writes mails.' END AS about FROM p""",
     "prj_searches": """WITH s AS (SELECT s_suppkey, s_suppkey % 3 AS t, s_suppkey % 2 AS e, s_name FROM supplier) SELECT s_suppkey, array_to_string((list_concat(list_concat([trim(s_name)], CASE t WHEN 0 THEN ['CEO','founder'] WHEN 1 THEN ['manager','engineer'] ELSE [] END),
       list_concat(CASE WHEN e = 0 THEN ['Acme','Globex'] ELSE [] END, ['software'])))[1:6], ',') AS queries FROM s""",

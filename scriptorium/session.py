@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoints that no frame uses any more are deleted; a cluster's own settings should say the same.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -65,6 +67,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df):
     """The frame with its lineage cut by a reliable checkpoint in the shared folder."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

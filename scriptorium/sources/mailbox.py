@@ -4,7 +4,9 @@ A message is id, threadId, labelIds, snippet, internalDate (milliseconds as text
 payload, as mail servers deliver it; the folder stands for the server, and another
 `fetch` may take its place. A stream's offset is the newest time read, and each
 poll takes at most `count` newer messages, oldest first, with all of the last one's time,
-so none is skipped. Unreadable files are passed over; a missing time counts as 0 and is
+so none is skipped; a message that arrives with an older time than that is read in batch
+only. `after` and `before` bound the times of a batch: before the oldest known, older mail
+is pulled. Unreadable files are passed over; a missing time counts as 0 and is
 read in batch only.
 """
 
@@ -26,10 +28,14 @@ def message_time(message: dict) -> int:
         return 0
 
 
-def fetch(folder: str) -> Iterator[dict]:
-    for path in sorted(Path(folder).glob("*.json")):
+def listed(folder: str) -> list[str]:
+    return sorted(str(p) for p in Path(folder).glob("*.json"))
+
+
+def fetch(paths: list[str]) -> Iterator[dict]:
+    for path in paths:
         try:
-            message = json.loads(path.read_text(encoding="utf-8"))
+            message = json.loads(Path(path).read_text(encoding="utf-8"))
         except ValueError:
             continue
         if isinstance(message, dict) and message.get("id"):
@@ -46,40 +52,53 @@ def row(message: dict) -> tuple:
 
 
 class _Part(InputPartition):
-    def __init__(self, number: int, parts: int):
-        self.number, self.parts = number, parts
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
+    """The folder is listed once, by the driver; each partition reads its own files."""
+
     def __init__(self, options: dict):
         self.folder, self.parts = options["path"], int(options.get("partitions", 4))
-        self.after = int(options.get("after", -1))
+        self.after, self.before = int(options.get("after", -1)), int(options.get("before", 2**63 - 1))
 
     def partitions(self) -> list[_Part]:
-        return [_Part(i, self.parts) for i in range(self.parts)]
+        paths = listed(self.folder)
+        return [_Part(paths[i :: self.parts]) for i in range(self.parts)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for i, message in enumerate(fetch(self.folder)):
-            if i % partition.parts == partition.number and message_time(message) > self.after:
+        for message in fetch(partition.paths):
+            if self.after < message_time(message) < self.before:
                 yield row(message)
 
 
 class _Poll(SimpleDataSourceStreamReader):
+    """Keeps the time of each file it has read, so that a poll parses only new files and those it returns."""
+
     def __init__(self, options: dict):
         self.folder, self.count = options["path"], int(options.get("count", 100))
+        self.times: dict[str, int] = {}
+
+    def _known(self) -> list[tuple[int, str]]:
+        for path in listed(self.folder):
+            if path not in self.times:
+                self.times[path] = next((message_time(m) for m in fetch([path])), 0)
+        return sorted((at, path) for path, at in self.times.items())
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"newest": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        newer = sorted((message_time(m), str(m["id"])) for m in fetch(self.folder) if message_time(m) > start["newest"])
+        newer = [x for x in self._known() if x[0] > start["newest"]]
         if not newer:
             return iter([]), start
         newest = newer[min(self.count, len(newer)) - 1][0]
         return self.readBetweenOffsets(start, {"newest": newest}), {"newest": newest}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([row(m) for m in fetch(self.folder) if start["newest"] < message_time(m) <= end["newest"]])
+        paths = [path for at, path in self._known() if start["newest"] < at <= end["newest"]]
+        return iter([row(m) for m in fetch(paths)])
 
 
 class MailboxSource(DataSource):

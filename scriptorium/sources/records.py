@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import cut
+
 POST = "url string, text string, likes int, comments int, date_posted string, user_id string, content_type string"
 
 
@@ -32,13 +34,26 @@ def numbered(df: DataFrame, by: str, prefix: str) -> DataFrame:
 
     Numbers come from counts of ranges of that order, so no task sees all rows.
     """
-    spread_ = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    spread_ = cut(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     counts = spread_.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "first", "before")
     place = F.col("before") + F.col("_m") - F.col("first") + 1
     return spread_.join(F.broadcast(before), "_p").select(*df.columns, F.format_string(f"{prefix}_%03d", place).alias("record_name"))
 
 
+def save_posts(df: DataFrame, path: str, by: str = "url", held: float = 0.0) -> None:
+    """Posts numbered by name, those held out (a share by hash of `by`) beside the others in their own partition."""
+    share = F.pmod(F.xxhash64(by, F.lit(42)), F.lit(10_000)) < int(held * 10_000)
+    numbered(df, by, "linkedin_post").withColumn("held", share).write.mode("overwrite").partitionBy("held").parquet(path)
+
+
+def save_profile(posts: DataFrame, profile: DataFrame, path: str) -> None:
+    """Posts and the profile they come from with their totals, in a folder each."""
+    posts.write.mode("overwrite").parquet(f"{path}/posts")
+    totals = posts.agg(F.count("*").alias("posts"), F.coalesce(F.sum("likes"), F.lit(0)).alias("likes"))
+    profile.join(totals, F.lit(True)).write.mode("overwrite").parquet(f"{path}/profile")
+
+
 def save_state(state: DataFrame, path: str) -> None:
     """Water marks as a table; written whole each time."""
     state.coalesce(1).write.mode("overwrite").json(path)

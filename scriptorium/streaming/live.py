@@ -7,6 +7,7 @@ are dropped and windows closed by watermarks, so the state is bounded by the tim
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,26 +48,51 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, order: str, log: str):
-    """Starts a stream that keeps in `path` the latest row of each key, batch by batch.
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.sparkContext.wholeTextFiles(path).values().first() if fs.exists(target) else None
 
-    Each batch writes a new version beside the old and then names it in a pointer file, so
-    a failed batch leaves the table whole, and a batch run again writes the same version.
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hadoop.Path(f"{path}.new"), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(hadoop.Path(path), False)
+    fs.rename(hadoop.Path(f"{path}.new"), hadoop.Path(path))
+
+
+def current(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that upsert_batches keeps, as its last whole batch left it."""
+    held = json.loads(_read_text(spark, f"{path}/current.json") or "{}")
+    folders = [f"{path}/v{version}/_b={bucket}" for bucket, version in held.get("buckets", {}).items()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def upsert_batches(stream: DataFrame, path: str, key: str, order: str, log: str, buckets: int = 64):
+    """Starts a stream that keeps in `path` the latest row of each key, batch by batch; read it by current().
+
+    Keys are dealt to buckets by hash, and a batch writes anew only the buckets it touches,
+    beside the old, before it names them in the pointer file current.json; so a failed batch
+    leaves the table whole, and a batch run again writes the same.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        fs = hadoop.Path(path).getFileSystem(conf)
-        last = number - 1
-        while last >= 0 and not fs.exists(hadoop.Path(f"{path}/v{last}/_SUCCESS")):
-            last -= 1
-        rows = batch
-        if last >= 0:
-            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{last}"))
+        held = json.loads(_read_text(spark, f"{path}/current.json") or '{"batch": -1, "buckets": {}}')
+        if held["batch"] >= number:
+            return
+        new = batch.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = sorted(r["_b"] for r in new.select("_b").distinct().collect())  # at most `buckets`
+        known = held["buckets"]
+        folders = [f"{path}/v{known[str(b)]}/_b={b}" for b in touched if str(b) in known]
+        rows = new if not folders else new.unionByName(spark.read.schema(batch.schema).parquet(*folders).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
         names = batch.columns
-        best = rows.groupBy(key).agg(F.max(F.struct(order, *[c for c in names if c not in (key, order)])).alias("s"))
-        best.select(*(F.col(key) if c == key else F.col(f"s.{c}") for c in names)).write.mode("overwrite").parquet(f"{path}/v{number}")
+        best = rows.groupBy("_b", key).agg(F.max(F.struct(order, *[c for c in names if c not in (key, order)])).alias("s"))
+        best = best.select("_b", *(F.col(key) if c == key else F.col(f"s.{c}") for c in names))
+        best.write.mode("overwrite").partitionBy("_b").parquet(f"{path}/v{number}")
+        _write_text(spark, f"{path}/current.json", json.dumps({"batch": number, "buckets": known | {str(b): number for b in touched}}))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
