@@ -83,20 +83,20 @@ def plan_rates(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> list[dict
     spark = sizes.sparkSession
     rows = targets.select(
         "mix_id", source_key(F.col("source")).alias("source"), "target_share", "max_repeats", "corpus_share"
-    ).limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
+    ).orderBy("mix_id", "source").collect()  # what the mixtures are to be, a row a target
     if len({(r.mix_id, r.source) for r in rows}) < len(rows):
         raise ValueError("a source stands twice in a mixture")
     if not rows:
         return []
-    keys = F.broadcast(spark.createDataFrame([(r.mix_id, r.source) for r in rows], "mix_id int, source string"))
-    binned = sizes.join(keys, "source").select(
-        "mix_id", "source", F.least(F.floor(uniform(F.lit(seed), "id", "mix_id") * BINS).cast("int"), F.lit(BINS - 1)).alias("bin"), "size"
-    )
     spreads: dict = {(r.mix_id, r.source): [0.0] * BINS for r in rows}
-    for r in binned.groupBy("mix_id", "source", "bin").agg(F.sum("size").alias("size")).collect():  # at most MAX_TARGETS * BINS rows
-        spreads[r.mix_id, r.source][r.bin] = float(r["size"])
+    for start in range(0, len(rows), MAX_TARGETS):  # at most MAX_TARGETS * BINS rows at a time
+        some = [(r.mix_id, r.source) for r in rows[start : start + MAX_TARGETS]]
+        keys = F.broadcast(spark.createDataFrame(some, "mix_id int, source string"))
+        binned = sizes.join(keys, "source").select(
+            "mix_id", "source", F.least(F.floor(uniform(F.lit(seed), "id", "mix_id") * BINS).cast("int"), F.lit(BINS - 1)).alias("bin"), "size"
+        )
+        for r in binned.groupBy("mix_id", "source", "bin").agg(F.sum("size").alias("size")).collect():
+            spreads[r.mix_id, r.source][r.bin] = float(r["size"])
     total = float(sizes.agg(F.sum("size")).first()[0] or 0)
     out = []
     for r in rows:

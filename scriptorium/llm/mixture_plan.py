@@ -29,6 +29,25 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixture.shares(mixture.mixtures(_sizes(spark, directory), targets), targets)
 
 
-QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares}
-
-ORACLES: dict[str, str] = {}
+def p7_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """For each target whether its mixture keeps to the repeats and the share it was to reach, where its documents suffice.
+
+    A source suffices that could be used again: one below `max_repeats` in every document
+    reached its share within a fiftieth of the mixture or the size of one document.
+    """
+    sizes, targets = _sizes(spark, directory), table(spark, directory, "mix_target")
+    got = mixture.shares(mixture.mixtures(sizes, targets), targets)
+    whole = sizes.agg(F.sum("size").alias("all"), F.max("size").alias("largest"))
+    asked = targets.select("mix_id", mixture.source_key(F.col("source")).alias("source"), "corpus_share")
+    have = sizes.groupBy("source").agg(F.sum("size").alias("have"))
+    rows = got.join(asked, ["mix_id", "source"]).join(have, "source", "left").join(whole, F.lit(True))
+    want = F.col("target_share") * F.col("corpus_share") * F.col("all")
+    reached = F.abs(F.col("actual_size") - want) <= F.greatest(want / 50, F.col("largest"))
+    enough = F.coalesce("have", F.lit(0)) * F.col("max_repeats") >= want
+    return rows.select("mix_id", "source", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"), (reached | ~enough).alias("share_reached"))
+
+
+QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept}
+
+#: What every mixture must keep to.
+ORACLES = {"p7_kept": "SELECT mix_id, replace(lower(trim(source)), '-', '_') AS source, true AS within_repeats, true AS share_reached FROM mix_target"}

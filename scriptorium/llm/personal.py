@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import cut
+from scriptorium.session import cut, ship
 
 #: Names that may be broadcast; with more, each row is joined with the names it holds.
 MAX_NAMES = 500_000
@@ -373,6 +373,7 @@ def learn_names(addresses: DataFrame, given_names: DataFrame | None = None) -> D
 
 def _rows_with_names(df: DataFrame, names: DataFrame, fields: list[str]) -> tuple[DataFrame, object]:
     """The rows with a column of names to look up, and the broadcast lexicon if it is small enough."""
+    ship(df.sparkSession)
     few = names.limit(MAX_NAMES + 1).count() <= MAX_NAMES
     if few:
         lexicon = df.sparkSession.sparkContext.broadcast(Lexicon.of([tuple(r) for r in names.collect()]))
@@ -652,6 +653,24 @@ def collisions(found: DataFrame, key: bytes) -> DataFrame:
     return state.where("salt > 0").select("kind", "item", "salt")
 
 
+def shared_surrogates(found: DataFrame, key: bytes, salts: DataFrame | None) -> DataFrame:
+    """(kind, items, shared): distinct items of each kind, names by their words, and surrogates that two of them share."""
+    rows = found.select("kind", "found_text", "alone").distinct().mapInPandas(_units, "kind string, item string, found string")
+    rows = rows.groupBy("kind", "item").agg(F.min("found").alias("found"))
+    rows = rows.join(salts, ["kind", "item"], "left") if salts is not None else rows.withColumn("salt", F.lit(None).cast("int"))
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for kind, item, text, salt in batch[["kind", "item", "found", "salt"]].itertuples(index=False):
+                salts_ = None if pd.isna(salt) else {(kind, item): int(salt)}
+                made.append(("name" if kind in ("g", "f") else kind, canonical("name" if kind in ("g", "f") else kind, surrogate(key, kind, text, salts_))))
+            yield pd.DataFrame(made, columns=["kind", "made"])
+
+    made = rows.mapInPandas(make, "kind string, made string").groupBy("kind", "made").agg(F.count("*").alias("n"))
+    return made.groupBy("kind").agg(F.sum("n").alias("items"), F.count_if(F.col("n") > 1).alias("shared"))
+
+
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The things that get a surrogate each, of items() or of rows with a key: names by their words."""
     for batch in batches:

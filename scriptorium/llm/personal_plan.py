@@ -46,10 +46,17 @@ def p2_placeholders(spark: SparkSession, directory: str) -> DataFrame:
 def p2_surrogates(spark: SparkSession, directory: str) -> DataFrame:
     """The emails with surrogates, different ones for different items."""
     email, names = _email(spark, directory), _names(spark, directory)
-    salts = personal.collisions(personal.items(email, "id", FIELDS, names), _key(spark))
+    salts = cut(personal.collisions(personal.items(email, "id", FIELDS, names), _key(spark)))
     return personal.replaced(email, FIELDS, names, _key(spark), "surrogate", salts)
 
 
-QUERIES = {"p2_found": p2_found, "p2_placeholders": p2_placeholders, "p2_surrogates": p2_surrogates}
+def p2_distinct(spark: SparkSession, directory: str) -> DataFrame:
+    """For each kind how many surrogates two items share."""
+    found = cut(personal.items(_email(spark, directory), "id", FIELDS, _names(spark, directory)))
+    return personal.shared_surrogates(found, _key(spark), personal.collisions(found, _key(spark))).select("kind", "shared")
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"p2_found": p2_found, "p2_placeholders": p2_placeholders, "p2_surrogates": p2_surrogates, "p2_distinct": p2_distinct}
+
+#: Different items must have different surrogates.
+ORACLES = {"p2_distinct": "SELECT unnest(['address', 'email', 'id_number', 'name', 'phone']) AS kind, 0 AS shared"}

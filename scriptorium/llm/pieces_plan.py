@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import pieces, tokens
@@ -38,6 +38,15 @@ def p8_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return _pieces(spark, directory)
 
 
-QUERIES = {"p8_found": p8_found, "p8_pieces": p8_pieces}
+def p8_whole(spark: SparkSession, directory: str) -> DataFrame:
+    """Each document put together from its pieces under each limit, what two pieces share taken once."""
+    p = _pieces(spark, directory).select("doc_id", "limit_id", "piece_no", "start_char", "end_char", "piece")
+    before = F.lag("end_char").over(Window.partitionBy("doc_id", "limit_id").orderBy("piece_no"))
+    own = p.withColumn("before", before).select("doc_id", "limit_id", "piece_no", F.expr("substring(piece, greatest(coalesce(before, start_char) - start_char, 0) + 1)").alias("own"))
+    whole = own.groupBy("doc_id", "limit_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "own"))).alias("l"))
+    return whole.select("doc_id", "limit_id", F.md5(F.array_join(F.transform("l", lambda x: x["own"]), "")).alias("text_md5"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"p8_found": p8_found, "p8_pieces": p8_pieces, "p8_whole": p8_whole}
+
+ORACLES = {"p8_whole": "SELECT doc_id, limit_id, md5(text) AS text_md5 FROM documents, piece_limit WHERE text IS NOT NULL AND text <> ''"}

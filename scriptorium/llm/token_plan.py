@@ -21,6 +21,12 @@ def p6_use(spark: SparkSession, directory: str) -> DataFrame:
     return ids.select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("uses"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_use": p6_use}
+def p6_round(spark: SparkSession, directory: str) -> DataFrame:
+    """Each document's text out of its token ids again."""
+    ids, tokenizer = p6_ids(spark, directory), tokens.public(spark)
+    return tokens.texts(ids, "ids", tokenizer, "text").select("doc_id", F.md5("text").alias("text_md5"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"p6_ids": p6_ids, "p6_use": p6_use, "p6_round": p6_round}
+
+ORACLES = {"p6_round": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"}

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.transducer import Encoder
+from scriptorium.session import ship
 
 #: A larger rank file is refused rather than broadcast.
 MAX_FILE = 64 << 20
@@ -35,6 +36,7 @@ class Tokenizer:
         with open(path, "rb") as file:
             data = file.read()
         self.key = (path, hash(data), pattern)
+        ship(spark)
         self.sent = spark.sparkContext.broadcast((data, pattern))
 
     def encoder(self) -> Encoder:
@@ -78,3 +80,15 @@ def with_token_count(df: DataFrame, text_col: str, tokenizer: Tokenizer, name: s
             yield pd.Series([counted(t) for t in texts], dtype="int32")
 
     return df.withColumn(name, count(F.col(text_col).cast("string")))
+
+
+def texts(df: DataFrame, ids_col: str, tokenizer: Tokenizer, name: str) -> DataFrame:
+    """The frame with the text of a column of token ids; null has an empty one."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoded = tokenizer.encoder().decode
+        for lists in batches:
+            yield pd.Series(["" if x is None else decoded(x) for x in lists], dtype=object)
+
+    return df.withColumn(name, decode(F.col(ids_col)))

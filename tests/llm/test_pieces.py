@@ -65,3 +65,15 @@ def test_rows(spark):
     counts = {(r.id, r.piece_no): r["count"] for r in got.groupBy("id", "piece_no").count().collect()}
     assert set(counts.values()) == {2} and {k[0] for k in counts} == {1}
     assert pieces.pieces(df.limit(0), "piece_no", "piece", [pieces.Limit(1, 64, 8)], tokens.public(spark)).collect() == []
+
+
+def test_an_edit_alters_near_pieces_at_the_tables_overlap(cutter):
+    """With an overlap as in piece_limit: pieces away from the edit keep their texts."""
+    text = essay(5, 400)
+    at = text.index(". ", len(text) // 2) + 2
+    changed = text[:at] + "An entirely new sentence stands here now. " + text[at:]
+    for limit in (pieces.Limit(1, 64, 8), pieces.Limit(2, 128, 16), pieces.Limit(3, 64, 0)):
+        a = [text[b:e] for *_, b, e, _ in check(cutter, text, limit)]
+        b = [changed[b:e] for *_, b, e, _ in check(cutter, changed, limit)]
+        same = len(set(a) & set(b))
+        assert same >= 0.8 * len(a), (limit, same, len(a))
