@@ -511,6 +511,7 @@ def _shaped(key: bytes, kind: str, seed: str, found: str) -> str:
     return "".join(out)
 
 
+@lru_cache(200_000)
 def _name_word(key: bytes, word: str, given: bool, salt: int) -> str:
     """The surrogate of a name's word; each salt has a syllable more, so that the space grows with the collisions."""
     n = _number(key, "g" if given else "f", word.casefold(), str(salt))
@@ -533,6 +534,10 @@ def _name_word(key: bytes, word: str, given: bool, salt: int) -> str:
 
 def _email_like(key: bytes, seed: str, found: str, more: str) -> str:
     """An address of the same form: letters and digits replaced, signs and disguise kept, the last label being `example`."""
+    local, sign, host = found.partition("@")
+    if sign and not any(c in found for c in " ([\xa0\t") and " DOT" not in host:  # no disguise
+        host, dot, _ = host.rpartition(".")
+        return _shaped(key, "email", seed, f"{local}{more}@{host}") + dot + "example"
     at = re.search(_AT if "@" not in found or _AT_MARK.search(found) else "@", found)
     local, sign, domain = found[: at.start()], at.group(), found[at.end() :]
     labels = re.split(f"({_DOT})", domain)
@@ -554,6 +559,7 @@ def _initial(key: bytes, letter: str) -> str:
 _INITIALS = "".join(c for c in map(chr, range(65, 0x17F)) if re.match(f"[{_U}]", c))
 
 
+@lru_cache(100_000)
 def name_parts(kind: str, found: str) -> list[tuple[str, str]]:
     """(role, text) of the parts of a name: g given and f family names, i initials, and what lies between as it is."""
     words = re.findall(rf"{_W}[\w’'\-]*\.?|[^\w]+|\d+", found)
@@ -714,9 +720,13 @@ def replaced(df: DataFrame, fields: list[str], names: DataFrame, key: bytes, how
         kind = "name" if kind == "given" else kind
         return f"[{kind.upper()}_{_number(key, kind, canonical(kind, found)) % 16**20:020x}]"
 
-    def write(texts: pd.Series, held: pd.Series, with_salts: pd.Series) -> pd.Series:
-        out = []
+    def write(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         once = lru_cache(100_000)(lambda kind, found: put(kind, found, salted.value)) if salted is not None else None
+        for texts, held, with_salts in batches:
+            yield written(texts, held, with_salts, once)
+
+    def written(texts: pd.Series, held: pd.Series, with_salts: pd.Series, once) -> pd.Series:
+        out = []
         for text, own, mine in zip(texts, held, with_salts):
             if not text:
                 out.append(text)
