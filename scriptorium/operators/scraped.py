@@ -83,7 +83,7 @@ def queries(site: str, name: Column, words: Column, year: int, span: int = 3) ->
 
 def profile_facts(text: Column) -> Column:
     """Followers, connections and the about text of a scraped profile; null where the page has none."""
-    number = lambda p: F.replace(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), p, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("int")
+    number = lambda p: F.replace(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), p, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("long")
     about = F.nullif(T.strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)About[ \t]*\n(\S.*?)(?:\n\n|$)", 1)), F.lit(""))
     return F.struct(number(r"(?i)([\d,]+)\s+followers").alias("followers"), number(r"(?i)([\d,]+)\+?\s+connections").alias("connections"), about.alias("about"))
 

@@ -99,7 +99,7 @@ def gen_document(spark, directory):
 def prj_facts(spark, directory):
     """Followers, connections and the about text of pages."""
     n = F.col("post_id")
-    page = F.concat(F.lit("Name\n"), F.format_string("%,d", (n * 37).cast("int")), F.lit(" followers  "), F.when(n % 2 == 0, F.lit("500+ connections")).otherwise(F.lit("")), F.lit("\nAbout\n"), F.when(n % 3 > 0, F.lit("Writes mails.")).otherwise(F.lit("")), F.lit("\n\nMore"))
+    page = F.concat(F.lit("Name\n"), F.format_string("%,d", n * 37), F.lit(" followers  "), F.when(n % 2 == 0, F.lit("500+ connections")).otherwise(F.lit("")), F.lit("\nAbout\n"), F.when(n % 3 > 0, F.lit("Writes mails.")).otherwise(F.lit("")), F.lit("\n\nMore"))
     return _posts(spark, directory).select("post_id", scraped.profile_facts(page).alias("f")).select("post_id", "f.followers", "f.connections", "f.about")
 
 

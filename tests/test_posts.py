@@ -32,3 +32,13 @@ def test_addresses(spark):
     assert (one(likes), one(comments)) == (512, 45)
     assert one(scraped.clean(F.lit("Sign in  a \n b Report this post"))) == "a b"
     assert one(scraped.keywords(F.lit("Head of Data | Big Data at ACME"), F.lit("Unknown"), F.lit(None))) == ["Head", "Data", "Big", "ACME"]
+
+
+def test_facts_of_large_numbers(spark, tmp_path):
+    from scriptorium.plans.scraped import prj_facts
+
+    ids = [3, 58_040_098, 58_040_099, 9_000_000_001_000]
+    df = spark.createDataFrame([("linkedin_post", "a", i, "t") for i in ids], "source string, author_id string, doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.post_id: (r.followers, r.connections, r.about) for r in prj_facts(spark, str(tmp_path)).collect()}
+    assert got == {i: (i * 37, None if i % 2 else 500, "Writes mails." if i % 3 else None) for i in ids}
